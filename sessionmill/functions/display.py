@@ -19,12 +19,23 @@ TONES = (50, 70, 90)
 # ---------------------------------------------------------------------------
 
 
+def _fixed(v: Column, digits: int, exact_ties: list[float]) -> Column:
+    """Fixed decimals by the exact binary value of ``v``.
+
+    ``format_number`` rounds the exact value half to even; only the fractions
+    in ``exact_ties`` are true ties, and those go up.
+    """
+    tie = (v - F.floor(v)).isin(exact_ties)
+    up = F.when(tie, v + F.lit(0.5 * 10.0 ** -digits)).otherwise(v)
+    return F.replace(F.format_number(up, digits), F.lit(","), F.lit(""))
+
+
 def compact(n: Column) -> Column:
     """1234 as ``1.2k``, 3400000 as ``3.4M``."""
     d = n.cast("double")
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", d / 1_000_000))
-        .when(n >= 1_000, F.format_string("%.1fk", d / 1_000))
+        F.when(n >= 1_000_000, F.concat(_fixed(d / 1_000_000, 1, [0.25, 0.75]), F.lit("M")))
+        .when(n >= 1_000, F.concat(_fixed(d / 1_000, 1, [0.25, 0.75]), F.lit("k")))
         .otherwise(n.cast("string"))
     )
 
@@ -69,7 +80,7 @@ def money(v: Column) -> Column:
     return (
         F.when(v.isNull(), "—")
         .when(v >= 100, F.concat(F.lit("$"), F.format_number(F.floor(v + 0.5), 0)))
-        .otherwise(F.concat(F.lit("$"), F.format_string("%.2f", v)))
+        .otherwise(F.concat(F.lit("$"), _fixed(v, 2, [0.125, 0.375, 0.625, 0.875])))
     )
 
 

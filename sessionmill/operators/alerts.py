@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import timedelta
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -59,7 +60,7 @@ def throttle(
     rows = alerts.select(F.col(key).alias("k"), F.unix_micros(at).alias("t")).distinct().withColumn(
         "segment", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
 
-    def exits(key_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def exits(key_: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         ts = np.sort(pdf["t"].to_numpy())
         last = _last_fire_per_entry(ts, width)
         # an incoming chain blocks at most one cooldown into the segment
@@ -94,7 +95,7 @@ def throttle(
 
     entries = walked.mapInPandas(walk, "k string, segment bigint, blocked bigint")
 
-    def replay(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def replay(key_: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ts = np.sort(left["t"].to_numpy())
         blocked = right["blocked"].iloc[0] if len(right) else None
         start = np.iinfo(np.int64).min if blocked is None or pd.isna(blocked) else int(blocked)

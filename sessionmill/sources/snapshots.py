@@ -66,11 +66,9 @@ def ingest_snapshots(bodies: DataFrame, body: str = "body") -> tuple[DataFrame,
         "__items", F.coalesce(F.try_variant_get("__v", "$", "array<variant>"), F.when(F.col("__v").isNotNull(), F.array("__v"))))
     judged = staged.withColumn(
         "__ok", F.coalesce(F.forall("__items", _snapshot_valid), F.lit(False)))
-    accepted = (
-        judged.where("__ok").drop("__v", body, "__ok")
-        .select("*", F.posexplode("__items").alias("position", "__item")).drop("__items")
-        .withColumn("__s", _snapshot(F.col("__item"))).select("*", "__s.*").drop("__s", "__item")
-    )
+    rows = F.transform("__items", lambda item, at: _snapshot(item).withField("position", at))
+    carried = [c for c in bodies.columns if c != body]
+    accepted = judged.where("__ok").select(*carried, F.inline(rows))
     rejected = judged.where(~F.col("__ok")).drop("__v", "__items", "__ok")
     return accepted, rejected
 
