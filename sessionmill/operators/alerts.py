@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import timedelta
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from sessionmill import contracts as C
 from sessionmill.functions import paths
 from sessionmill.functions.times import micros
+from sessionmill.plans.tables import materialize
 
 # Span of one segment in cooldowns; alerts of one key inside it form one task.
 SEGMENT_COOLDOWNS = 32
@@ -60,49 +60,54 @@ def throttle(
     rows = alerts.select(F.col(key).alias("k"), F.unix_micros(at).alias("t")).distinct().withColumn(
         "segment", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
 
-    def exits(key_: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["t"].to_numpy())
-        last = _last_fire_per_entry(ts, width)
-        # an incoming chain blocks at most one cooldown into the segment
-        reach = min(len(ts), int(np.searchsorted(ts, key_[1] * span + width)) + 1)
-        entry, leave = ts[:reach], last[:reach]
-        keep = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({"k": key_[0], "segment": key_[1], "upto": [entry[keep].tolist()], "leave": [leave[keep].tolist()]})
-
-    maps = rows.groupBy("k", "segment").applyInPandas(
-        exits, "k string, segment bigint, upto array<bigint>, leave array<bigint>")
-    initial = F.lit(None).cast("bigint")
+    # bounded by the alerts of one key within the span of a segment
+    grouped = rows.groupBy("k", "segment").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    grouped = materialize(grouped, "alerts")
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            upto, leave = [], []
+            for segment, ts in zip(pdf["segment"], pdf["ts"]):
+                last = _last_fire_per_entry(ts, width)
+                # an incoming chain blocks at most one cooldown into the segment
+                reach = min(len(ts), int(np.searchsorted(ts, segment * span + width)) + 1)
+                keep = np.append(last[1:reach] != last[: reach - 1], True)
+                upto.append(ts[:reach][keep])
+                leave.append(last[:reach][keep])
+            yield pd.DataFrame({"k": pdf["k"], "segment": pdf["segment"], "upto": upto, "leave": leave})
+
+    maps = grouped.mapInPandas(exits, "k string, segment bigint, upto array<bigint>, leave array<bigint>")
     walked = maps.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("segment", "upto", "leave"))).alias("maps"))
     if last_fired is not None:
         walked = walked.join(last_fired.select(F.col(key).alias("k"), F.unix_micros("fired_at").alias("fired")), "k", "left")
     else:
-        walked = walked.withColumn("fired", initial)
+        walked = walked.withColumn("fired", F.lit(None).cast("bigint"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {"k": [], "segment": [], "blocked": []}
+            out: dict[str, list] = {"k": [], "segment": [], "blocked": []}
             for k, steps, fired in zip(pdf["k"], pdf["maps"], pdf["fired"]):
                 blocked = None if pd.isna(fired) else int(fired) + width
                 for step in steps:
                     out["k"].append(k)
                     out["segment"].append(step["segment"])
                     out["blocked"].append(blocked)
-                    upto = np.asarray(step["upto"])
-                    i = 0 if blocked is None else int(np.searchsorted(upto, blocked))
-                    if i < len(upto):
+                    i = 0 if blocked is None else int(np.searchsorted(step["upto"], blocked))
+                    if i < len(step["upto"]):
                         blocked = int(step["leave"][i]) + width
             yield pd.DataFrame(out).astype({"blocked": "Int64"})
 
     entries = walked.mapInPandas(walk, "k string, segment bigint, blocked bigint")
 
-    def replay(key_: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(left["t"].to_numpy())
-        blocked = right["blocked"].iloc[0] if len(right) else None
-        start = np.iinfo(np.int64).min if blocked is None or pd.isna(blocked) else int(blocked)
-        return pd.DataFrame({"k": key_[0], "t": ts[_fires(ts, width, start)]})
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            start = pdf["blocked"].fillna(np.iinfo(np.int64).min).astype("int64")
+            fired = [ts[_fires(ts, width, b)] for ts, b in zip(pdf["ts"], start)]
+            yield pd.DataFrame({
+                "k": np.repeat(pdf["k"].to_numpy(), [len(f) for f in fired]),
+                "t": np.concatenate(fired) if fired else np.array([], dtype=np.int64)})
 
-    fired = rows.groupBy("k", "segment").cogroup(entries.groupBy("k", "segment")).applyInPandas(
-        replay, "k string, t bigint")
+    fired = grouped.join(entries, ["k", "segment"]).select("k", "ts", "blocked").mapInPandas(replay, "k string, t bigint")
     return fired.select(F.col("k").alias(key), F.timestamp_micros("t").alias(at))
 
 

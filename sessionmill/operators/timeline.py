@@ -84,7 +84,7 @@ def _segment_starts(effects: DataFrame) -> tuple[DataFrame, DataFrame]:
             "file", "call_id", "k_touch",
             (F.col("k") + 1).alias("lo"),
             F.least(F.col("k_touch"), F.col("k_clear"), F.col("segments")).alias("hi"),
-            F.struct("e.since", "at").alias("rank"), F.struct("e.since", "e.task").alias("best"),
+            F.struct("e.since", "at").alias("rank"), F.struct("e.since", "at", "e.task").alias("best"),
         )
         .where(F.col("hi") >= F.col("lo"))
     )
@@ -111,16 +111,15 @@ def _segment_starts(effects: DataFrame) -> tuple[DataFrame, DataFrame]:
     file_seeds = starts.select(
         *PLACE, "source", F.lit(-2).cast("bigint").alias("line"), F.lit(0).alias("pos"), "active_ts", "interrupted", "finished",
         F.lit(False).alias("clears"), F.col("pending").cast("bigint").alias("step"), "todo_effect",
-        F.when(F.col("best").isNotNull(), F.lit(True)).alias("opens"), F.col("best.since").alias("since"), F.col("best.task").alias("task"),
-    )
+        F.when(F.col("best").isNotNull(), F.lit(True)).alias("opens"), F.struct("best.since", "best.at").alias("rank"), F.col("best.task").alias("task"),
+    ).withColumn("rank", F.when(F.col("opens"), F.col("rank")))
     call_seeds = (
         named.select("file", F.col("hi").alias("k"), "call_id", "rank", "best")
         .join(numbered.select(*PLACE, "k", "source"), ["file", "k"])
         .select(
             *PLACE, "source", F.lit(-1).cast("bigint").alias("line"), F.lit(0).alias("pos"),
             F.lit(False).alias("clears"), F.lit(0).cast("bigint").alias("step"), "call_id", F.lit(True).alias("opens"),
-            F.col("best.since").alias("since"), F.col("best.task").alias("task"),
-            F.col("rank.at").alias("seed_rank"),
+            F.col("best.task").alias("task"), "rank", F.col("rank.at").alias("seed_rank"),
         )
     )
     return file_seeds, call_seeds
@@ -132,8 +131,9 @@ def evaluated(records: DataFrame) -> DataFrame:
     rows = (
         effects.withColumns({
             "todo_effect": _todo_effect(), "step": F.lit(None).cast("bigint"),
+            "rank": F.when(F.col("opens"), F.struct("since", order_key().alias("at"))),
             "seed_rank": F.lit(None).cast("struct<seq:bigint,line:bigint,pos:int>"),
-        }).drop("todo", "todos_set")
+        }).drop("todo", "todos_set", "since")
     )
     place = F.struct(*SEGMENT)
     several = effects.groupBy("file").agg((F.min(place) != F.max(place)).alias("cut"))
@@ -166,8 +166,8 @@ def evaluated(records: DataFrame) -> DataFrame:
     whole_epoch = per_epoch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({
         "pending": F.sum("step").over(in_epoch),
-        "open": F.last(F.when(F.col("opens"), F.struct("since", "ends", "task")), True).over(in_epoch),
-        "latest_since": F.max(F.when(F.col("opens"), F.col("since"))).over(in_epoch),
+        "open": F.last(F.when(F.col("opens"), F.struct("rank", "ends", "task")), True).over(in_epoch),
+        "latest": F.max("rank").over(in_epoch),
         "epoch_end": F.max("place").over(whole_epoch),
     })
     return materialize(rows, "evaluated")
@@ -215,7 +215,7 @@ def timeline(records: DataFrame) -> DataFrame:
     )
     newest_is_open = (
         (F.col("open.ends").isNull() | (F.col("open.ends") > F.col("place")))
-        & (F.col("open.since") >= F.col("latest_since"))
+        & (F.col("open.rank") == F.col("latest"))
     )
     clear = changes.where((F.col("pending") <= 0) | newest_is_open).withColumn(
         "task", F.when(F.col("pending") > 0, F.col("open.task")).otherwise(F.col("todo")))
@@ -223,7 +223,7 @@ def timeline(records: DataFrame) -> DataFrame:
     intervals = rows.where(F.col("opens")).select(
         *PLACE, F.col("place").alias("lo"),
         F.coalesce(F.col("ends") - 1, F.col("epoch_end")).alias("hi"),
-        F.struct("since", F.col("place").alias("at")).alias("rank"), F.struct("since", "task").alias("best"),
+        "rank", F.struct("task").alias("best"),
     ).join(unclear.select(*PLACE).distinct(), PLACE, "left_semi")
     found = newest_covering(intervals, unclear, PLACE, "lo", "hi", "place", "rank", "best")
     looked_up = unclear.drop("task").join(found, [*PLACE, "place"], "left").withColumn("task", F.col("best.task")).drop("best")

@@ -15,8 +15,12 @@ from sessionmill.functions.times import render_millis
 from sessionmill.operators import alerts, blocks, entities, facts, feed, periods, registry, reports, timeline, usage, views
 from sessionmill.plans import oracle as O
 from sessionmill.plans import standin as S
+from sessionmill.plans.tables import new_folder, spread
 from sessionmill.sources import snapshots as SN
 from sessionmill.sources import transcripts as TR
+from sessionmill.streaming import tracking
+from sessionmill.streaming.registry_stream import run_registry
+from sessionmill.streaming.registry_stream import sessions as registry_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,23 +527,24 @@ def _feed(spark, sf) -> DataFrame:
     """Opening state after a third of the arrivals, all diffs, then one sweep at the end."""
     changes, obs = _changes(spark, sf), S.observations(spark, sf)
     top = obs.agg(F.max("arrival")).first()[0]
-    opening = feed.full_state(registry.latest(obs.where(F.col("arrival") <= top // 3)), F.lit(top // 3).cast("bigint"))
-    sweep = registry.housekeeping(registry.latest(obs), S.now_of(spark, sf)).withColumn("arrival", F.lit(top + 1).cast("bigint"))
+    # one row per logical session, as a full state has
+    seen = registry.latest(obs.where(F.col("arrival") <= top // 3), keys=["source", "agent_id"])
+    opening = feed.full_state(seen, F.lit(top // 3).cast("bigint"))
+    sweep = registry.housekeeping(registry.latest(obs), S.now_of(spark, sf)).withColumn(
+        "arrival", F.when(F.col("machine") == "wsl", top + 2).otherwise(top + 1).cast("bigint"))
     rows = feed.change_feed(changes.where(F.col("arrival") != top // 3), sweep)
     keep = ["event", "key", "logical_key", "machine", "status", "arrival"]
-    # inside the opening state the machine name breaks the tie of one logical session
-    position = F.col("arrival") * 4 + F.when(F.col("event") == "full", F.when(F.col("machine") == "wsl", 1).otherwise(0)).otherwise(2)
-    return rows.select(*keep).unionByName(opening.select(*keep)).withColumn("arrival", position)
+    return rows.select(*keep).unionByName(opening.select(*keep))
 
 
 _FEED = """
 top AS (SELECT max(event_id) AS top, max(event_id) // 3 AS cut FROM events),
-opening AS (SELECT * EXCLUDE (r) FROM (SELECT obs.*, row_number() OVER (PARTITION BY machine, source, agent_id ORDER BY arrival DESC) AS r FROM obs, top WHERE arrival <= cut) WHERE r = 1),
+opening AS (SELECT * EXCLUDE (r) FROM (SELECT obs.*, row_number() OVER (PARTITION BY source, agent_id ORDER BY arrival DESC) AS r FROM obs, top WHERE arrival <= cut) WHERE r = 1),
 fd AS (
-  SELECT 'upsert' AS event, key, logical_key, machine, status, arrival * 4 + 2 AS arrival FROM chg, top WHERE change_type <> 'unchanged' AND arrival <> cut
+  SELECT 'upsert' AS event, key, logical_key, machine, status, arrival FROM chg, top WHERE change_type <> 'unchanged' AND arrival <> cut
   UNION ALL SELECT CASE WHEN silent24 THEN 'removed' ELSE 'upsert' END, machine || '/' || source || '/' || agent_id, source || '/' || agent_id, machine,
-    CASE WHEN decays AND silent30 THEN 'stale' ELSE status END, (top + 1) * 4 + 2 FROM aged, top WHERE silent24 OR (decays AND silent30)
-  UNION ALL SELECT 'full', machine || '/' || source || '/' || agent_id, source || '/' || agent_id, machine, status, cut * 4 + CASE WHEN machine = 'wsl' THEN 1 ELSE 0 END FROM opening, top
+    CASE WHEN decays AND silent30 THEN 'stale' ELSE status END, top + CASE WHEN machine = 'wsl' THEN 2 ELSE 1 END FROM aged, top WHERE silent24 OR (decays AND silent30)
+  UNION ALL SELECT 'full', machine || '/' || source || '/' || agent_id, source || '/' || agent_id, machine, status, cut FROM opening, top
 )"""
 
 
@@ -549,8 +554,8 @@ def change_feed(spark, sf):
 
 
 @query(O.OBS, _FEED, """
-v AS (SELECT fd.* FROM fd WHERE arrival >= (SELECT min(arrival) FROM fd WHERE event = 'full')),
-sh AS (SELECT logical_key, arg_max({'k': key, 's': status, 'a': arrival, 'm': machine}, {'a': arrival, 'm': machine}) AS w FROM v WHERE event <> 'removed' GROUP BY 1)""", """
+v AS (SELECT fd.* FROM fd, top WHERE arrival >= cut),
+sh AS (SELECT logical_key, arg_max({'k': key, 's': status, 'a': arrival, 'm': machine}, arrival) AS w FROM v WHERE event <> 'removed' GROUP BY 1)""", """
 SELECT logical_key, w.k AS key, w.m AS machine, w.s AS status FROM sh
 WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.event = 'removed' AND v.key = sh.w.k AND v.arrival >= sh.w.a)""")
 def card_view(spark, sf):
@@ -676,7 +681,7 @@ def stats_panel(spark, sf):
 
 def _bodies(spark, sf) -> DataFrame:
     """One snapshot body per event: an object, or an array of two; every 17th holds a bad element."""
-    obs = S.observations(spark, sf).withColumn("extra", F.lit(1))
+    obs = spread(S.observations(spark, sf)).withColumn("extra", F.lit(1))
     one = F.to_json(F.struct(*[f.name for f in C.SNAPSHOT.fields], "extra"))
     bad = F.when(F.col("arrival") % 34 == 0, F.regexp_replace(one, '"status":"', '"status":"x')).otherwise(F.regexp_replace(one, '"needs_user":(true|false)', '"needs_user":"no"'))
     body = (
@@ -715,3 +720,51 @@ def ingested_reports(spark, sf):
     body = F.to_json(F.struct(*[f.name for f in C.USAGE_REPORT.fields]))
     newest = reports.newest_per_machine(SN.parse_reports(r.select("arrival", body.alias("body"))), "arrival")
     return newest.select("machine", "arrival", F.col("codex.primary.used_percent").alias("used"))
+
+
+# --- landed files and streams ----------------------------------------------
+
+def _land(spark, sf) -> str:
+    """Write the derived transcript lines into a landing folder for the file stream."""
+    root = new_folder(spark, "landing")
+    S.transcript_lines(spark, sf).write.parquet(root)
+    return root
+
+
+def _landed_lines(spark, root: str) -> DataFrame:
+    return spark.readStream.schema(C.LINES).option(
+        "maxFilesPerTrigger", 4).parquet(root)
+
+
+@query(O.FX, O.MSG, O.FACTS, f"""
+SELECT file, source, CASE WHEN state = 'needs_you' THEN 'x' ELSE state END AS state, pending, {SQL_TOK}, parse_errors, sidechain_records FROM
+  (SELECT s.*, u.* EXCLUDE (file, source) FROM (SELECT * REPLACE (CASE WHEN state = 'needs_you' THEN CASE WHEN pending > 0 THEN 'tool_running' WHEN fin THEN 'done'
+     WHEN now - last_activity >= INTERVAL 30 MINUTE THEN 'stale' WHEN now - last_activity >= INTERVAL 10 SECOND THEN 'idle' ELSE 'thinking' END ELSE state END AS state)
+     FROM stated, nowt) s JOIN used u ON u.file = s.file)""")
+def stream_tracking(spark, sf):
+    root, out = _land(spark, sf), new_folder(spark, "tracking")
+    lines = _landed_lines(spark, root)
+    for q in tracking.track(lines, out):
+        q.awaitTermination()
+    state = tracking.tracked(spark, out, lines)
+    f = facts.with_pending(state.facts, state.calls)
+    u = facts.session_usage(f, state.messages)
+    return f.join(u, "file").select("file", "source", facts.state_at(S.now_of(spark, sf)).alias("state"), "pending", *tokens("usage"),
+                                    "parse_errors", "sidechain_records")
+
+
+@query(O.OBS, "SELECT machine, agent_id, CASE WHEN decays AND silent30 THEN 'stale' ELSE status END AS status, last_activity FROM aged WHERE NOT silent24")
+def stream_registry(spark, sf):
+    root, out = new_folder(spark, "snapshots"), new_folder(spark, "registry")
+    obs = S.observations(spark, sf).withColumnRenamed("ts", "received_at").withColumnRenamed("arrival", "sent")
+    # three landed files in arrival order, one per trigger
+    top = obs.agg(F.max("sent")).first()[0]
+    for part in range(3):
+        low, high = top * part // 3, top * (part + 1) // 3
+        obs.where((F.col("sent") > low if part else F.col("sent") >= 0) & (F.col("sent") <= high)).coalesce(1).write.mode("append").parquet(root)
+    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    now = S.now_of(spark, sf)
+    # sweep only once all rows are in: a sweep at a later time than the rows would drop live sessions
+    run_registry(stream, out, ["sent"], now=lambda: now, keep=timedelta(days=36500), stale=timedelta(days=36500)).awaitTermination()
+    current = registry_sessions(spark, out)
+    return registry.retained(registry.mark_stale(current, now), now).select("machine", "agent_id", "status", "last_activity")

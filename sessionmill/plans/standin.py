@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sessionmill import contracts as C
 from sessionmill.operators.records import parse_records
-from sessionmill.plans.tables import materialize
+from sessionmill.plans.tables import materialize, spread
 from sessionmill.session import configure
 
 # Lines per landed chunk of the derived transcripts.
@@ -101,7 +101,7 @@ _B_BODY = """CASE event_type
 
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, source, seq, line, value): one JSON line per event, broken every 97th."""
-    base = events(spark, sf_dir)
+    base = spread(events(spark, sf_dir))
     for name, text in _FIELDS.items():
         base = base.withColumn(name, F.expr(text))
     whole = F.when(F.col("b"), F.concat(F.lit("{"), F.expr(_B_BODY), F.col("stamp"), F.lit("}"))).otherwise(F.concat(

@@ -18,23 +18,40 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _text_or_null(v: Column, path: str) -> Column:
-    """A string, JSON null or a missing key."""
-    return ~V.present_nonnull(v, path) | V.text(v, path).isNotNull()
+# One pass over the object; every field stays VARIANT so that its stored type can be checked.
+_LOOSE = "struct<" + ",".join(
+    [f"{f.name}:variant" for f in C.SNAPSHOT.fields if f.name not in ("usage", "jump")]
+    + ["usage:struct<" + ",".join(f"{f.name}:variant" for f in C.USAGE.fields) + ">", "jump:struct<type:variant,target:variant>"]
+) + ">"
 
 
-def _snapshot_valid(v: Column) -> Column:
-    usage = "$.usage"
-    tests = [V.text(v, f"$.{f}").isNotNull() for f in ("agent_id", "machine", "project", "last_activity")]
+def _loose(v: Column) -> Column:
+    return F.try_variant_get(v, "$", _LOOSE)
+
+
+def _kind(x: Column) -> Column:
+    return F.schema_of_variant(x)
+
+
+def _text(x: Column) -> Column:
+    return F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+
+def _absent(x: Column) -> Column:
+    return x.isNull() | F.is_variant_null(x)
+
+
+def _snapshot_valid(s: Column, jump_given: Column) -> Column:
+    """All required fields with their types; optional ones may be missing or null."""
+    u, jump = s["usage"], s["jump"]
+    pct = _kind(u["context_pct"])
+    tests = [_kind(s[f]) == "STRING" for f in ("agent_id", "machine", "project", "last_activity")]
     tests += [
-        V.text(v, "$.source").isin(C.SOURCES),
-        V.text(v, "$.status").isin(C.STATUSES),
-        F.schema_of_variant(V.node(v, "$.needs_user")) == "BOOLEAN",
-        *[V.unsigned(v, f"{usage}.{f}").isNotNull() for f in C.TOKEN_FIELDS],
-        ~V.present_nonnull(v, f"{usage}.context_pct") | V.number(v, f"{usage}.context_pct").isNotNull(),
-        *[_text_or_null(v, f"$.{f}") for f in ("git_branch", "current_task", "needs_user_reason")],
-        ~V.present_nonnull(v, "$.jump")
-        | (V.text(v, "$.jump.type").isin(C.JUMP_TYPES) & V.text(v, "$.jump.target").isNotNull()),
+        _text(s["source"]).isin(C.SOURCES), _text(s["status"]).isin(C.STATUSES), _kind(s["needs_user"]) == "BOOLEAN",
+        *[(_kind(u[f]) == "BIGINT") & (F.try_variant_get(u[f], "$", "bigint") >= 0) for f in C.TOKEN_FIELDS],
+        _absent(u["context_pct"]) | (pct == "BIGINT") | (pct == "DOUBLE") | pct.startswith("DECIMAL"),
+        *[_absent(s[f]) | (_kind(s[f]) == "STRING") for f in ("git_branch", "current_task", "needs_user_reason")],
+        ~jump_given | (_text(jump["type"]).isin(C.JUMP_TYPES) & (_kind(jump["target"]) == "STRING")),
     ]
     ok = tests[0]
     for t in tests[1:]:
@@ -42,15 +59,21 @@ def _snapshot_valid(v: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _snapshot(v: Column) -> Column:
+def _jump_given(v: Column) -> Column:
+    return F.coalesce(V.present_nonnull(v, "$.jump"), F.lit(False))
+
+
+def _snapshot(s: Column) -> Column:
+    u = s["usage"]
     usage = F.struct(
-        *[V.unsigned(v, f"$.usage.{f}").alias(f) for f in C.TOKEN_FIELDS],
-        V.number(v, "$.usage.context_pct").cast("float").alias("context_pct"))
-    jump = F.when(V.present_nonnull(v, "$.jump"), F.struct(
-        V.text(v, "$.jump.type").alias("type"), V.text(v, "$.jump.target").alias("target")))
-    fields = {f: V.text(v, f"$.{f}") for f in (
-        "agent_id", "source", "machine", "project", "status", "git_branch", "current_task", "needs_user_reason", "last_activity")}
-    fields |= {"needs_user": F.try_variant_get(v, "$.needs_user", "boolean"), "usage": usage, "jump": jump}
+        *[F.try_variant_get(u[f], "$", "bigint").alias(f) for f in C.TOKEN_FIELDS],
+        F.try_variant_get(u["context_pct"], "$", "float").alias("context_pct"))
+    jump = F.when(s["jump"]["target"].isNotNull(), F.struct(
+        F.try_variant_get(s["jump"]["type"], "$", "string").alias("type"),
+        F.try_variant_get(s["jump"]["target"], "$", "string").alias("target")))
+    fields = {f.name: F.try_variant_get(s[f.name], "$", f.dataType.simpleString())
+              for f in C.SNAPSHOT.fields if f.name not in ("usage", "jump")}
+    fields |= {"usage": usage, "jump": jump}
     return F.struct(*[fields[f.name].alias(f.name) for f in C.SNAPSHOT.fields])
 
 
@@ -61,15 +84,17 @@ def ingest_snapshots(bodies: DataFrame, body: str = "body") -> tuple[DataFrame,
     whole body. Unknown fields are ignored. The verdict is taken inside the
     body's own row, so no grouping is needed.
     """
-    v = F.try_parse_json(F.col(body))
-    staged = bodies.withColumn("__v", v).withColumn(
-        "__items", F.coalesce(F.try_variant_get("__v", "$", "array<variant>"), F.when(F.col("__v").isNotNull(), F.array("__v"))))
+    staged = bodies.withColumn("__v", F.try_parse_json(F.col(body)))
+    listed = F.coalesce(F.try_variant_get("__v", "$", "array<variant>"), F.when(F.col("__v").isNotNull(), F.array("__v")))
     judged = staged.withColumn(
-        "__ok", F.coalesce(F.forall("__items", _snapshot_valid), F.lit(False)))
-    rows = F.transform("__items", lambda item, at: _snapshot(item).withField("position", at))
+        "__items", F.transform(listed, lambda v: F.struct(_loose(v).alias("s"), _jump_given(v).alias("jump_given")))
+    )
+    ok = F.coalesce(F.forall("__items", lambda i: _snapshot_valid(i["s"], i["jump_given"])), F.lit(False))
+    rows = F.transform("__items", lambda i, at: _snapshot(i["s"]).withField("position", at))
     carried = [c for c in bodies.columns if c != body]
-    accepted = judged.where("__ok").select(*carried, F.inline(rows))
-    rejected = judged.where(~F.col("__ok")).drop("__v", "__items", "__ok")
+    # the verdict sits inside the generator: as a filter it would be pushed down and parse the body again
+    accepted = judged.select(*carried, F.inline(F.when(ok, rows)))
+    rejected = judged.select(F.inline(F.when(~ok, F.array(F.struct(*bodies.columns)))))
     return accepted, rejected
 
 
@@ -101,8 +126,6 @@ def to_stored(current: DataFrame, updated_at: Column) -> DataFrame:
 
 def load_sessions(stored: DataFrame) -> DataFrame:
     """Warm start: snapshots of the persisted table; rows that no longer parse are skipped."""
-    v = F.try_parse_json(F.col("snapshot"))
-    return (
-        stored.withColumn("__v", v).where(_snapshot_valid(F.col("__v")))
-        .select(_snapshot(F.col("__v")).alias("s")).select("s.*")
-    )
+    v = F.col("__v")
+    parsed = stored.select(F.try_parse_json("snapshot").alias("__v")).select(_loose(v).alias("s"), _jump_given(v).alias("jump_given"))
+    return parsed.where(_snapshot_valid(F.col("s"), F.col("jump_given"))).select(_snapshot(F.col("s")).alias("s")).select("s.*")
