@@ -60,6 +60,10 @@ def throttle(
     rows = alerts.select(F.col(key).alias("k"), F.unix_micros(at).alias("t")).distinct().withColumn(
         "segment", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
 
+    if last_fired is not None:
+        # what the earlier fire blocks cannot fire, and the first alert after that always does
+        until = last_fired.select(F.col(key).alias("k"), (F.unix_micros("fired_at") + width).alias("until"))
+        rows = rows.join(until, "k", "left").where(F.col("until").isNull() | (F.col("t") >= F.col("until"))).drop("until")
     # bounded by the alerts of one key within the span of a segment
     grouped = rows.groupBy("k", "segment").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     grouped = materialize(grouped, "alerts")
@@ -78,16 +82,12 @@ def throttle(
 
     maps = grouped.mapInPandas(exits, "k string, segment bigint, upto array<bigint>, leave array<bigint>")
     walked = maps.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("segment", "upto", "leave"))).alias("maps"))
-    if last_fired is not None:
-        walked = walked.join(last_fired.select(F.col(key).alias("k"), F.unix_micros("fired_at").alias("fired")), "k", "left")
-    else:
-        walked = walked.withColumn("fired", F.lit(None).cast("bigint"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: dict[str, list] = {"k": [], "segment": [], "blocked": []}
-            for k, steps, fired in zip(pdf["k"], pdf["maps"], pdf["fired"]):
-                blocked = None if pd.isna(fired) else int(fired) + width
+            for k, steps in zip(pdf["k"], pdf["maps"]):
+                blocked = None
                 for step in steps:
                     out["k"].append(k)
                     out["segment"].append(step["segment"])

@@ -26,6 +26,12 @@ def existing_roots(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> lis
     return kept
 
 
+def _outer_roots(roots: list[tuple[str, str]]) -> list[str]:
+    """Roots to scan; one inside another is covered by the outer scan."""
+    paths = {r.rstrip("/") for r, _ in roots}
+    return sorted(p for p in paths if not any(p != q and p.startswith(q + "/") for q in paths))
+
+
 def tag_source(files: DataFrame, roots: Iterable[tuple[str, str]], path: str = "path") -> DataFrame:
     """Add ``source`` from the deepest root that contains the file; others are dropped.
 
@@ -74,7 +80,7 @@ def _landed(raw: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:
     named = (
         tagged.withColumn("file", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
         .withColumn("seq", F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.jsonl$", 1).try_cast("bigint"))
-        .where(F.col("seq").isNotNull() & ~is_subagent(F.col("file")))
+        .where(F.col("seq").isNotNull() & ~is_subagent(F.col("file")) & ~is_subagent(F.col("path")))
     )
     return complete_lines(named).select("file", "source", "seq", "line", "value")
 
@@ -89,7 +95,7 @@ def read_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFr
     raw = (
         spark.read.format("text").option("wholetext", True)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-        .load([r for r, _ in roots])
+        .load(_outer_roots(roots))
         .select("value", F.col("_metadata.file_path").alias("path"))
     ) if roots else spark.createDataFrame([], "value string, path string")
     return _landed(raw, roots)
@@ -101,7 +107,7 @@ def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_fil
     if not roots:
         raise ValueError("no transcript root exists yet")
     out = None
-    for root, _ in roots:
+    for root in _outer_roots(roots):
         raw = (
             spark.readStream.format("text").schema("value string").option("wholetext", True)
             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
@@ -124,7 +130,7 @@ def read_closed_files(spark: SparkSession, roots: Iterable[tuple[str, str]]) ->
     roots = existing_roots(spark, roots)
     raw = (
         spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-        .load([r for r, _ in roots])
+        .load(_outer_roots(roots))
         .select(
             F.regexp_replace("value", "\r$", "").alias("value"),
             F.col("_metadata.file_path").alias("path"),
