@@ -18,22 +18,23 @@ def _freshness() -> Column:
     return F.coalesce(F.unix_micros(parse_rfc3339(F.col("last_activity"))), F.lit(-(1 << 62)))
 
 
-def _merge(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the freshest row per key; needs_user is never lost, its reason moves along."""
-    columns = [c for c in rows.columns if c not in keys]
-    # max_by keeps the greatest, so the tie-break must favour the smaller name: rank by min on negated time
+def _merge_aggregates(columns: list[str]) -> list[Column]:
+    """Freshest row as ``w``, whether any row needs the user, and the freshest needing row's reason."""
     order = F.struct((-F.col("__fresh")).alias("age"), F.col("machine"), F.col("agent_id"))
-    needing = F.when(F.col("needs_user"), order)
-    merged = rows.groupBy(*keys).agg(
+    return [
         F.min_by(F.struct(*columns), order).alias("w"),
-        F.bool_or("needs_user").alias("__any"),
-        F.min_by("needs_user_reason", needing).alias("__reason"),
-    )
-    return merged.select(
-        *keys, *[F.col(f"w.{c}").alias(c) for c in columns if c not in ("needs_user", "needs_user_reason")],
-        F.coalesce("__any", F.lit(False)).alias("needs_user"),
-        F.when(F.col("w.needs_user"), F.col("w.needs_user_reason")).otherwise(F.col("__reason")).alias("needs_user_reason"),
-    )
+        F.coalesce(F.bool_or("needs_user"), F.lit(False)).alias("__any"),
+        F.min_by("needs_user_reason", F.when(F.col("needs_user"), order)).alias("__reason"),
+    ]
+
+
+def _merged(columns: list[str]) -> list[Column]:
+    """Columns of the merged row: needs_user is never lost, its reason moves along."""
+    special = {
+        "needs_user": F.col("__any"),
+        "needs_user_reason": F.when(F.col("w.needs_user"), F.col("w.needs_user_reason")).otherwise(F.col("__reason")),
+    }
+    return [special.get(c, F.col(f"w.{c}")).alias(c) for c in columns]
 
 
 def logical_sessions(sessions: DataFrame, overlap: timedelta = C.OVERLAP_WINDOW) -> DataFrame:
@@ -44,27 +45,32 @@ def logical_sessions(sessions: DataFrame, overlap: timedelta = C.OVERLAP_WINDOW)
        machines, active within ``overlap``: one session. Three or more
        sessions of a project are ambiguous and stay apart.
 
-    A project with very many sessions never meets in one task: group facts
-    (count, machines, span) are aggregated, and only groups of two are merged.
+    A project with very many sessions never meets in one task: the group facts
+    and the merged row of a project come from one aggregate with map-side
+    merging, and sessions swallowed by a pair are removed by their own unique
+    key, not by project.
     """
-    columns = sessions.columns
-    fresh = sessions.withColumn("__fresh", _freshness())
-    one = _merge(fresh.withColumn("logical_key", logical_key()), ["logical_key"])
-    one = one.withColumns({
+    columns = [*sessions.columns, "logical_key"]
+    one = (
+        sessions.withColumns({"logical_key": logical_key(), "__fresh": _freshness()})
+        .groupBy("logical_key").agg(*_merge_aggregates(sessions.columns))
+        .select("logical_key", *_merged(sessions.columns))
+    )
+    keyed = one.withColumns({
         "__project": normalize_project(F.col("project")),
         "__at": F.unix_micros(parse_rfc3339(F.col("last_activity"))),
         "__fresh": _freshness(),
     })
-    groups = one.groupBy("source", "__project").agg(
+    pairs = keyed.groupBy("source", "__project").agg(
         F.count(F.lit(1)).alias("n"), F.min("machine").alias("m0"), F.max("machine").alias("m1"),
         F.count("__at").alias("dated"), (F.max("__at") - F.min("__at")).alias("gap"),
-    )
-    pairs = groups.where(
-        (F.col("n") == 2) & (F.col("m0") != F.col("m1")) & (F.col("dated") == 2) & (F.col("gap") <= micros(overlap))
-    ).select("source", "__project", F.lit(True).alias("__pair"))
-    tagged = one.join(pairs, ["source", "__project"], "left").withColumn("__pair", F.coalesce("__pair", F.lit(False)))
-    merged = _merge(tagged.where("__pair"), ["source", "__project"])
-    return tagged.where(~F.col("__pair")).select(*columns, "logical_key").unionByName(merged.select(*columns, "logical_key"))
+        F.array(F.min("logical_key"), F.max("logical_key")).alias("members"),
+        *_merge_aggregates(columns),
+    ).where(
+        (F.col("n") == 2) & (F.col("m0") != F.col("m1")) & (F.col("dated") == 2) & (F.col("gap") <= micros(overlap)))
+    members = pairs.select(F.explode("members").alias("logical_key"))
+    alone = one.join(members, "logical_key", "left_anti")
+    return alone.select(*columns).unionByName(pairs.select(*_merged(columns)))
 
 
 def newest_first(sessions: DataFrame) -> DataFrame:

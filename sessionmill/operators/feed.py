@@ -29,11 +29,8 @@ def card_view(feed: DataFrame, order: str = "arrival") -> DataFrame:
     key wins; a later removal counts only when it names the machine shown.
     Two aggregates and one join on unique keys, no ordered fold.
     """
-    reset = feed.where(F.col("event") == "full").agg(F.max(order).alias("__reset"))
-    valid = (
-        feed.crossJoin(F.broadcast(reset))  # one row
-        .where(F.col("__reset").isNull() | (F.col(order) >= F.col("__reset"))).drop("__reset")
-    )
+    reset = feed.where(F.col("event") == "full").agg(F.max(order)).scalar()
+    valid = feed.where(F.coalesce(F.col(order) >= reset, F.lit(True)))
     shown_columns = [c for c in feed.columns if c not in ("logical_key", "event")]
     shown = (
         valid.where(F.col("event").isin("full", "upsert")).groupBy("logical_key")

@@ -79,8 +79,7 @@ def usage_panel(reports: DataFrame, account: DataFrame, now: Column) -> DataFram
         F.col("e.label").alias("label"), *percent(F.col("e.w.used_percent")),
         F.lit(None).cast("string").alias("tokens"),
         F.coalesce(D.resets_in(F.timestamp_seconds("e.w.resets_at"), now), F.lit("")).alias("resets"))
-    has_exact = exact.agg((F.count(F.lit(1)) > 0).alias("__exact"))  # one row
-    estimates = reports.where(F.col("claude").isNotNull()).crossJoin(F.broadcast(has_exact)).where(~F.col("__exact")).select(
+    estimates = reports.where(F.col("claude").isNotNull() & ~exact.exists()).select(
         "machine", F.explode(F.array(
             F.struct(F.lit("5h").alias("label"), F.col("claude.five_hour").alias("w"), F.col("claude.five_hour_resets_at").alias("r")),
             F.struct(F.lit("week").alias("label"), F.col("claude.weekly").alias("w"), F.lit(None).cast("timestamp").alias("r")))).alias("e")

@@ -368,11 +368,14 @@ def _reports(spark, sf) -> DataFrame:
     return reports.usage_report(f, est, reports.fresh_readings(readings, now), reports.newest_limits(f), now)
 
 
-@query(O.FX, O.MSG, _LIMITS, _READ, """
+_BY_MACHINE = """
 om AS (SELECT * EXCLUDE (rn) FROM (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'wsl' ELSE 'windows' END AS machine,
   row_number() OVER (PARTITION BY user_id % 2, message_id ORDER BY ts DESC, file DESC) AS rn FROM message WHERE ts IS NOT NULL) WHERE rn = 1),
 wk AS (SELECT machine, sum(tin + tout + tread + twrite) AS tot, count(*) AS n FROM om, nowt WHERE ts <= now AND now - ts <= INTERVAL 7 DAY GROUP BY 1),
-ex AS (SELECT CASE WHEN machine IN ('m0', 'm2') THEN 'wsl' ELSE 'windows' END AS machine, arg_max(e, ts) AS e, max(ts) AS ts FROM exact GROUP BY 1)""", """
+ex AS (SELECT CASE WHEN machine IN ('m0', 'm2') THEN 'wsl' ELSE 'windows' END AS machine, arg_max(e, ts) AS e, max(ts) AS ts FROM exact GROUP BY 1)"""
+
+
+@query(O.FX, O.MSG, _LIMITS, _READ, _BY_MACHINE, """
 SELECT wk.machine, CAST(wk.tot AS BIGINT) AS week_tokens, wk.n AS week_messages, 'estimated' AS confidence, CAST(ex.e % 100 AS DOUBLE) AS exact_used,
   CAST(lim.m.e % 101 AS DOUBLE) + 0.5 AS codex_used, strftime(now, '%Y-%m-%dT%H:%M:%S.%gZ') AS reported_at
 FROM wk LEFT JOIN ex ON ex.machine = wk.machine LEFT JOIN lim ON lim.machine = wk.machine, nowt""")
@@ -649,9 +652,12 @@ def page_paths(spark, sf):
     return pages.select("page_id", P.project_name(F.col("url")).alias("name"), P.encode_path(F.col("url")).alias("encoded"))
 
 
+_COUNTDOWN = """CASE WHEN s IS NULL OR s <= 0 THEN '' WHEN s // 3600 > 24 THEN 'resets in ' || (s // 3600 // 24) || 'd ' || (s // 3600 % 24) || 'h'
+  WHEN s // 3600 > 0 THEN 'resets in ' || (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' ELSE 'resets in ' || (s // 60) || 'm' END"""
+
+
 @query("nowt AS (SELECT max(ts) AS now FROM events)", """
-SELECT event_id, CASE WHEN s <= 0 THEN '' WHEN s // 3600 > 24 THEN 'resets in ' || (s // 3600 // 24) || 'd ' || (s // 3600 % 24) || 'h'
-  WHEN s // 3600 > 0 THEN 'resets in ' || (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' ELSE 'resets in ' || (s // 60) || 'm' END AS resets,
+SELECT event_id, """ + _COUNTDOWN + """ AS resets,
   CASE WHEN value >= 100 THEN '$' || CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('$%.2f', value) END AS money
 FROM (SELECT event_id, value, CAST(floor((epoch_ms(ts + INTERVAL 20 DAY) - epoch_ms(now)) / 1000) AS BIGINT) AS s FROM events, nowt)""")
 def countdowns(spark, sf):
@@ -660,7 +666,26 @@ def countdowns(spark, sf):
         "event_id", D.resets_in(F.col("ts") + F.lit(timedelta(days=20)), now).alias("resets"), D.money(F.col("value")).alias("money"))
 
 
-@query()
+@query(O.FX, O.MSG, _LIMITS, _READ, _BY_MACHINE, O.HOURS.replace("user_id % 5 AS account", "machine AS account").replace("FROM owned", "FROM om"), """
+b5 AS (SELECT blk.* FROM blk, nowt WHERE start <= now AND start + INTERVAL 5 HOUR > now),
+best AS (SELECT arg_max(e, ts) AS e FROM ex HAVING count(*) > 0),
+shown AS (
+  SELECT 'account' AS machine, 'claude' AS who, 'exact' AS confidence, '5h' AS label, CAST(e % 100 AS DOUBLE) AS used, NULL AS tok, epoch_ms(TIMESTAMP '2024-02-01') AS target FROM best
+  UNION ALL SELECT 'account', 'claude', 'exact', 'week', e % 60 + 0.25, NULL, NULL FROM best
+  UNION ALL SELECT 'account', 'claude', 'exact', 'opus', 3.0, NULL, NULL FROM best WHERE e % 2 <> 0
+  UNION ALL SELECT machine, 'codex', 'exact', '5h', m.e % 101 + 0.5, NULL, (1700000000 + m.e) * 1000 FROM lim
+  UNION ALL SELECT machine, 'codex', 'exact', 'week', m.e % 11, NULL, NULL FROM lim WHERE m.e % 4 <> 0
+  UNION ALL SELECT mm.machine, 'claude', 'estimated', '5h', NULL, coalesce(b5.tin + b5.tout + b5.tread + b5.twrite, 0), epoch_ms(b5.start + INTERVAL 5 HOUR)
+    FROM (SELECT DISTINCT machine FROM om) mm LEFT JOIN b5 ON b5.account = mm.machine WHERE NOT EXISTS (SELECT 1 FROM best)
+  UNION ALL SELECT mm.machine, 'claude', 'estimated', 'week', NULL, coalesce(wk.tot, 0), NULL
+    FROM (SELECT DISTINCT machine FROM om) mm LEFT JOIN wk ON wk.machine = mm.machine WHERE NOT EXISTS (SELECT 1 FROM best)
+)""", f"""
+SELECT machine, who, confidence, label, CAST(floor(used + 0.5) AS BIGINT) AS pct,
+  CASE WHEN used IS NULL THEN NULL WHEN used > 90 THEN 'critical' WHEN used > 70 THEN 'high' WHEN used > 50 THEN 'elevated' ELSE 'ok' END AS tone,
+  CASE WHEN tok >= 1000000 THEN printf('%.1fM', (tok + CASE WHEN tok % 1000000 IN (250000, 750000) THEN 50000 ELSE 0 END) / 1e6)
+    WHEN tok >= 1000 THEN printf('%.1fk', (tok + CASE WHEN tok % 1000 IN (250, 750) THEN 50 ELSE 0 END) / 1e3) ELSE CAST(tok AS VARCHAR) END AS tokens,
+  {_COUNTDOWN} AS resets
+FROM (SELECT shown.*, CAST(floor((target - epoch_ms(now)) / 1000) AS BIGINT) AS s FROM shown, nowt)""")
 def usage_panel(spark, sf):
     rows = reports.newest_per_machine(_reports(spark, sf).withColumn("arrival", F.lit(1)), "arrival")
     return views.usage_panel(rows, reports.account_exact(rows), S.now_of(spark, sf))
@@ -722,6 +747,18 @@ def ingested_reports(spark, sf):
     return newest.select("machine", "arrival", F.col("codex.primary.used_percent").alias("used"))
 
 
+@query(O.FX, O.MSG, O.FACTS, _PRICED, """
+SELECT machine, period, CAST(max(CASE WHEN source = 'codex' THEN messages END) AS BIGINT) AS codex_messages,
+  CAST(max(CASE WHEN source <> 'codex' THEN tin END) AS BIGINT) AS claude_input FROM tot GROUP BY 1, 2""")
+def ingested_stats(spark, sf):
+    sent = periods.usage_stats(_totals(spark, sf), S.now_of(spark, sf))
+    body = F.to_json(F.struct(*[f.name for f in C.USAGE_STATS.fields]))
+    newest = reports.newest_per_machine(SN.parse_stats(sent.select(body.alias("body"))), "computed_at")
+    return newest.select("machine", F.explode("periods").alias("p")).select(
+        "machine", F.col("p.key").alias("period"), F.col("p.codex.messages").alias("codex_messages"),
+        F.col("p.claude.input_tokens").alias("claude_input"))
+
+
 # --- landed files and streams ----------------------------------------------
 
 def _land(spark, sf) -> str:
