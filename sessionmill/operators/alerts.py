@@ -19,25 +19,6 @@ from sessionmill.plans.tables import materialize
 SEGMENT_COOLDOWNS = 32
 
 
-def _fires(ts: np.ndarray, cooldown: int, blocked_until: int) -> np.ndarray:
-    """Indexes that fire, first alert at or after ``blocked_until`` first."""
-    out, at = [], int(np.searchsorted(ts, blocked_until))
-    while at < len(ts):
-        out.append(at)
-        at = int(np.searchsorted(ts, ts[at] + cooldown))
-    return np.array(out, dtype=np.int64)
-
-
-def _last_fire_per_entry(ts: np.ndarray, cooldown: int) -> np.ndarray:
-    """For a chain of fires that starts at each alert: the time of its last fire."""
-    after = np.searchsorted(ts, ts + cooldown)
-    here = np.arange(len(ts))
-    hop = np.where(after < len(ts), after, here)
-    while not np.array_equal(hop, hop[hop]):
-        hop = hop[hop]
-    return ts[hop]
-
-
 def throttle(
     alerts: DataFrame,
     cooldown: timedelta = C.ALERT_COOLDOWN,
@@ -68,11 +49,29 @@ def throttle(
     grouped = rows.groupBy("k", "segment").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     grouped = materialize(grouped, "alerts")
 
+    # helpers live in here so that workers get them by value and need no installed package
+    def fires(ts: np.ndarray, cooldown: int, blocked_until: int) -> np.ndarray:
+        """Indexes that fire, first alert at or after ``blocked_until`` first."""
+        out, at = [], int(np.searchsorted(ts, blocked_until))
+        while at < len(ts):
+            out.append(at)
+            at = int(np.searchsorted(ts, ts[at] + cooldown))
+        return np.array(out, dtype=np.int64)
+
+    def last_fire_per_entry(ts: np.ndarray, cooldown: int) -> np.ndarray:
+        """For a chain of fires that starts at each alert: the time of its last fire."""
+        after = np.searchsorted(ts, ts + cooldown)
+        here = np.arange(len(ts))
+        hop = np.where(after < len(ts), after, here)
+        while not np.array_equal(hop, hop[hop]):
+            hop = hop[hop]
+        return ts[hop]
+
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             upto, leave = [], []
             for segment, ts in zip(pdf["segment"], pdf["ts"]):
-                last = _last_fire_per_entry(ts, width)
+                last = last_fire_per_entry(ts, width)
                 # an incoming chain blocks at most one cooldown into the segment
                 reach = min(len(ts), int(np.searchsorted(ts, segment * span + width)) + 1)
                 keep = np.append(last[1:reach] != last[: reach - 1], True)
@@ -102,7 +101,7 @@ def throttle(
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             start = pdf["blocked"].fillna(np.iinfo(np.int64).min).astype("int64")
-            fired = [ts[_fires(ts, width, b)] for ts, b in zip(pdf["ts"], start)]
+            fired = [ts[fires(ts, width, b)] for ts, b in zip(pdf["ts"], start)]
             yield pd.DataFrame({
                 "k": np.repeat(pdf["k"].to_numpy(), [len(f) for f in fired]),
                 "t": np.concatenate(fired) if fired else np.array([], dtype=np.int64)})

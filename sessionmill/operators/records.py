@@ -21,19 +21,6 @@ from sessionmill.functions.times import parse_rfc3339
 
 
 
-def _row(**cols: Column) -> Column:
-    unknown = set(cols) - set(C.RECORD_FIELDS)
-    if unknown:
-        raise KeyError(unknown)
-    return F.struct(*[
-        cols.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in C.RECORD_FIELDS.items()
-    ])
-
-
-def _one(row: Column) -> Column:
-    return F.array(row)
-
-
 def _stage_a(v: Column) -> list[dict[str, Column]]:
     """Helper columns of dialect A, computed once per line."""
     dialect = F.col("source") != C.SOURCE_B
@@ -47,18 +34,18 @@ def _stage_a(v: Column) -> list[dict[str, Column]]:
          "__stop": F.when(F.col("__says"), V.text(v, "$.message.stop_reason")),
          "__counts": F.col("__says") & V.present(v, "$.message.usage")},
         {"__fresh": F.col("__asks") & ~F.col("__meta") & ~F.coalesce(
-            F.exists("__blocks", lambda b: V.text(b, "$.type") == "tool_result"), F.lit(False))},
+            F.exists("__blocks", lambda b: V.text(b, "$.type") == "tool_result"), F.lit(False)),
+         "__whole": F.when(F.col("__asks") & F.col("__blocks").isNull(), V.text(v, "$.message.content"))},
     ]
 
 
-def _dialect_a(v: Column, ts: Column) -> Column:
-    sidechain, meta, says, asks = (F.col(c) for c in ("__side", "__meta", "__says", "__asks"))
-    blocks, stop, has_usage, cleared = (F.col(c) for c in ("__blocks", "__stop", "__counts", "__fresh"))
-
-    head = _row(
-        kind=F.lit("record"), pos=F.lit(-1), ts=ts,
-        active_ts=F.when(says | asks, ts),
-        parse_error=F.lit(False), sidechain=sidechain,
+def _record_a(v: Column) -> dict[str, Column]:
+    """Effects of a dialect-A record as a whole."""
+    says, cleared, stop, has_usage = (F.col(c) for c in ("__says", "__fresh", "__stop", "__counts"))
+    return dict(
+        kind=F.lit("record"),
+        active_ts=F.when(says | F.col("__asks"), F.col("__ts")),
+        sidechain=F.col("__side"),
         session_id=V.text_nonempty(v, "$.sessionId"),
         cwd=V.text_nonempty(v, "$.cwd"),
         git_branch=V.text_nonempty(v, "$.gitBranch"),
@@ -76,48 +63,39 @@ def _dialect_a(v: Column, ts: Column) -> Column:
         .when(cleared, F.struct(F.lit(None).cast("string").alias("reason"))),
     )
 
-    def text_row(pos: Column, text: Column) -> Column:
-        marked = text.contains(C.INTERRUPT_MARKER)
-        return _row(
-            kind=F.lit("text"), pos=pos, ts=ts,
-            interrupted=F.when(marked, F.lit(True)).when(~meta & (text != ""), F.lit(False)),
-            clears=F.when(marked, F.lit(True)),
-        )
-
-    def said(block: Column, pos: Column) -> Column:
-        name = F.coalesce(V.text(block, "$.name"), F.lit(C.DEFAULT_TOOL))
-        todos = F.transform(V.items(block, "$.input.todos"), lambda t: F.struct(
-            F.coalesce(V.text(t, "$.content"), F.lit("")).alias("content"),
-            F.coalesce(V.text(t, "$.status"), F.lit("")).alias("status"),
-            V.text(t, "$.activeForm").alias("active_form"),
-        ))
-        call_id = V.text(block, "$.id")
-        return F.when(V.text(block, "$.type") == "tool_use", _row(
-            kind=F.lit("call"), pos=pos, ts=ts,
-            call_id=call_id, opens=F.when(call_id.isNotNull(), F.lit(True)),
-            call_name=name, call_label=V.text(block, "$.input.description"),
-            todos=F.when(name == C.TODO_TOOL, todos),
-        ))
-
-    def asked(block: Column, pos: Column) -> Column:
-        text = V.flat_text(block, "$.content")
-        call_id = V.text(block, "$.tool_use_id")
-        kind = V.text(block, "$.type")
-        return F.when(kind == "tool_result", _row(
-            kind=F.lit("result"), pos=pos, ts=ts,
-            call_id=call_id, opens=F.when(call_id.isNotNull(), F.lit(False)),
-            interrupted=F.when(F.lower(text).contains(C.REJECTED_WORD), F.lit(True)),
-            result_text=text,
-        )).when(kind == "text", text_row(pos, F.coalesce(V.text(block, "$.text"), F.lit(""))))
-
-    whole_text = V.text(v, "$.message.content")
-    effects = (
-        F.when(says, F.transform(blocks, said))
-        .when(asks & blocks.isNotNull(), F.transform(blocks, asked))
-        .when(asks & whole_text.isNotNull(), _one(text_row(F.lit(0), whole_text)))
+
+def _call_a(block: Column) -> dict[str, Column]:
+    name = F.coalesce(V.text(block, "$.name"), F.lit(C.DEFAULT_TOOL))
+    todos = F.transform(V.items(block, "$.input.todos"), lambda t: F.struct(
+        F.coalesce(V.text(t, "$.content"), F.lit("")).alias("content"),
+        F.coalesce(V.text(t, "$.status"), F.lit("")).alias("status"),
+        V.text(t, "$.activeForm").alias("active_form"),
+    ))
+    call_id = F.col("__id")
+    return dict(
+        kind=F.lit("call"), call_id=call_id, opens=F.when(call_id.isNotNull(), F.lit(True)),
+        call_name=name, call_label=V.text(block, "$.input.description"),
+        todos=F.when(name == C.TODO_TOOL, todos),
+    )
+
+
+def _result_a() -> dict[str, Column]:
+    text, call_id = F.col("__text"), F.col("__id")
+    return dict(
+        kind=F.lit("result"), call_id=call_id, opens=F.when(call_id.isNotNull(), F.lit(False)),
+        interrupted=F.when(F.lower(text).contains(C.REJECTED_WORD), F.lit(True)),
+        result_text=text,
+    )
+
+
+def _text_a() -> dict[str, Column]:
+    text = F.col("__text")
+    marked = text.contains(C.INTERRUPT_MARKER)
+    return dict(
+        kind=F.lit("text"),
+        interrupted=F.when(marked, F.lit(True)).when(~F.col("__meta") & (text != ""), F.lit(False)),
+        clears=F.when(marked, F.lit(True)),
     )
-    effects = F.filter(effects, lambda e: e.isNotNull())
-    return F.when(effects.isNotNull(), F.concat(_one(head), effects)).otherwise(_one(head))
 
 
 def _limit_window(v: Column, path: str) -> Column:
@@ -129,7 +107,9 @@ def _limit_window(v: Column, path: str) -> Column:
     ))
 
 
-def _dialect_b(v: Column, ts: Column) -> Column:
+def _record_b(v: Column) -> dict[str, Column]:
+    """Effects of a dialect-B envelope; one row holds them all."""
+    ts = F.col("__ts")
     inner = F.col("__inner")
     meta, context, event, item = (
         F.col("__enveloped") & (F.col("__type") == name)
@@ -140,20 +120,18 @@ def _dialect_b(v: Column, ts: Column) -> Column:
 
     calls = F.coalesce(item & inner.isin("function_call", "custom_tool_call"), F.lit(False))
     outputs = F.coalesce(item & inner.isin("function_call_output", "custom_tool_call_output"), F.lit(False))
-    marked = F.coalesce(
-        item & (inner == "message") & (V.text(v, "$.payload.role") == "user")
-        & V.flat_text(v, "$.payload.content").contains(C.ABORT_MARKER), F.lit(False))
+    marked = F.coalesce("__marked", F.lit(False))
     aborted = says("turn_aborted") | marked
     started, completed, prompted = says("task_started"), says("task_complete"), says("user_message")
     counted = says("token_count") & V.present_nonnull(v, "$.payload.info")
     limited = says("token_count") & V.present_nonnull(v, "$.payload.rate_limits")
     total = "$.payload.info.total_token_usage"
-    call_id = F.when(calls | outputs, V.text(v, "$.payload.call_id"))
+    call_id = F.when(calls | outputs, F.col("__id"))
 
-    return _one(_row(
-        kind=F.when(calls, "call").when(outputs, "result").otherwise("record"), pos=F.lit(-1), ts=ts,
+    return dict(
+        kind=F.when(calls, "call").when(outputs, "result").otherwise("record"),
         active_ts=F.when(meta | context | event | item, ts),
-        parse_error=F.lit(False), sidechain=F.lit(False),
+        sidechain=F.lit(False),
         session_id=F.when(meta, V.text(v, "$.payload.id")),
         cwd=F.when(meta | context, V.text(v, "$.payload.cwd")),
         git_branch=F.when(meta, V.text(v, "$.payload.git.branch")),
@@ -183,12 +161,12 @@ def _dialect_b(v: Column, ts: Column) -> Column:
         call_id=call_id,
         opens=F.when(call_id.isNotNull(), calls),
         call_name=F.when(calls, F.coalesce(V.text(v, "$.payload.name"), F.lit(C.DEFAULT_TOOL))),
-    ))
+    )
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """(file, source, seq, line, value) to the record table. Works on streams too."""
-    v, ts = F.col("v"), F.col("__ts")
+    v = F.col("v")
     stages = lines.select("file", "source", "seq", "line", F.try_parse_json("value").alias("v"))
     in_b = F.col("source") == C.SOURCE_B
     stages = stages.withColumns({
@@ -199,9 +177,42 @@ def parse_records(lines: DataFrame) -> DataFrame:
     })
     for columns in _stage_a(v):
         stages = stages.withColumns(columns)
-    broken = _one(_row(kind=F.lit("record"), pos=F.lit(-1), parse_error=F.lit(True), sidechain=F.lit(False)))
-    rows = F.when(v.isNull(), broken).when(in_b, _dialect_b(v, ts)).otherwise(_dialect_a(v, ts))
-    return stages.select("file", "source", "seq", "line", F.inline(rows))
+    # the record itself comes first, then its content blocks; plain text counts as one block
+    nothing = F.array(F.lit(None).cast("variant"))
+    parts = F.when(F.col("__blocks").isNotNull(), F.concat(nothing, F.col("__blocks"))).when(
+        F.col("__whole").isNotNull(), F.concat(nothing, nothing)).otherwise(nothing)
+    rows = stages.select("*", F.posexplode(parts).alias("__at", "__block")).drop("__blocks")
+    block, head = F.col("__block"), F.col("__at") == 0
+    rows = rows.withColumn("__kind", F.when(
+        F.col("__at") > 0, F.coalesce(V.text(block, "$.type"), F.when(F.col("__whole").isNotNull(), "text"))))
+    call = F.coalesce(F.col("__says") & (F.col("__kind") == "tool_use"), F.lit(False))
+    result = F.coalesce(F.col("__asks") & (F.col("__kind") == "tool_result"), F.lit(False))
+    said = F.coalesce(F.col("__asks") & (F.col("__kind") == "text"), F.lit(False))
+    staged = rows.where(head | call | result | said).withColumns({
+        "__id": F.when(call, V.text(block, "$.id")).when(result, V.text(block, "$.tool_use_id"))
+        .when(F.col("__enveloped"), V.text(v, "$.payload.call_id")),
+        "__text": F.when(result, V.flat_text(block, "$.content")).when(said, F.coalesce("__whole", V.text(block, "$.text"), F.lit(""))),
+        "__marked": F.when(
+            F.col("__enveloped") & (F.col("__type") == "response_item") & (F.col("__inner") == "message"),
+            (V.text(v, "$.payload.role") == "user") & V.flat_text(v, "$.payload.content").contains(C.ABORT_MARKER)),
+    })
+    variants = [
+        (in_b, _record_b(v)), (head, _record_a(v)), (call, _call_a(block)), (result, _result_a()), (said, _text_a()),
+    ]
+    fixed = {"pos": F.col("__at") - 1, "ts": F.col("__ts"), "parse_error": v.isNull()}
+    broken = {"kind": F.lit("record"), "sidechain": F.lit(False)}
+
+    def column(name: str) -> Column:
+        out = F.when(v.isNull(), broken.get(name, F.lit(None)))
+        for test, effects in variants:
+            if name in effects:
+                out = out.when(test, effects[name])
+        return out
+
+    return staged.select(
+        "file", "source", "seq", "line",
+        *[(fixed[n] if n in fixed else column(n)).cast(kind).alias(n) for n, kind in C.RECORD_FIELDS.items()],
+    )
 
 
 def write_records(records: DataFrame, path: str) -> None:
