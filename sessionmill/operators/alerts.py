@@ -38,7 +38,7 @@ def throttle(
     """
     width = micros(cooldown)
     span = width * SEGMENT_COOLDOWNS
-    rows = alerts.select(F.col(key).alias("k"), F.unix_micros(at).alias("t")).distinct().withColumn(
+    rows = alerts.select(F.col(key).alias("k"), F.unix_micros(at).alias("t")).withColumn(
         "segment", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
 
     if last_fired is not None:
@@ -46,7 +46,7 @@ def throttle(
         until = last_fired.select(F.col(key).alias("k"), (F.unix_micros("fired_at") + width).alias("until"))
         rows = rows.join(until, "k", "left").where(F.col("until").isNull() | (F.col("t") >= F.col("until"))).drop("until")
     # bounded by the alerts of one key within the span of a segment
-    grouped = rows.groupBy("k", "segment").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    grouped = rows.groupBy("k", "segment").agg(F.array_sort(F.collect_set("t")).alias("ts"))
     grouped = materialize(grouped, "alerts")
 
     # helpers live in here so that workers get them by value and need no installed package

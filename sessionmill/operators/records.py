@@ -169,8 +169,8 @@ def parse_records(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     stages = lines.select("file", "source", "seq", "line", F.try_parse_json("value").alias("v"))
     in_b = F.col("source") == C.SOURCE_B
-    stages = stages.withColumns({
-        "__ts": parse_rfc3339(V.text(v, "$.timestamp")),
+    stages = stages.withColumn("__stamp", V.text(v, "$.timestamp")).withColumns({
+        "__ts": parse_rfc3339(F.col("__stamp")),
         "__type": V.text(v, "$.type"),
         "__inner": F.when(in_b, V.text(v, "$.payload.type")),
         "__enveloped": F.coalesce(in_b & V.present(v, "$.payload"), F.lit(False)),

@@ -15,7 +15,7 @@ from sessionmill.functions.times import render_millis
 from sessionmill.operators import alerts, blocks, entities, facts, feed, periods, registry, reports, timeline, usage, views
 from sessionmill.plans import oracle as O
 from sessionmill.plans import standin as S
-from sessionmill.plans.tables import new_folder, spread
+from sessionmill.plans.tables import materialize, new_folder, spread
 from sessionmill.sources import snapshots as SN
 from sessionmill.sources import transcripts as TR
 from sessionmill.streaming import tracking
@@ -359,7 +359,7 @@ def account_exact(spark, sf):
 def _reports(spark, sf) -> DataFrame:
     """Assembled usage reports of the two machines at ``now``."""
     r, now = S.records(spark, sf), S.now_of(spark, sf)
-    f = facts.session_facts(r).withColumn("machine", machine_of())
+    f = materialize(facts.session_facts(r), "facts").withColumn("machine", machine_of())
     messages = usage.message_usage(r).withColumn("machine", machine_of())
     owned = usage.owned_messages(messages, ("machine",))
     est = blocks.plan_estimate(owned, f, ["machine"], now)
@@ -420,9 +420,10 @@ def live_reports(spark, sf):
 def _sessions(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts with pending and task, usage, waiting prompts)."""
     r = S.records(spark, sf)
-    f = facts.with_pending(facts.session_facts(r), facts.call_states(facts.with_call_starts(r)))
+    base = materialize(facts.session_facts(r), "facts")  # one row per file, read by all three
+    f = facts.with_pending(base, facts.call_states(facts.with_call_starts(r)))
     hooks = facts.newest_hooks(TR.hook_events(S.hook_lines(spark, sf)))
-    return f, facts.session_usage(f, usage.message_usage(r)), facts.waiting_prompts(hooks, f)
+    return f, facts.session_usage(base, usage.message_usage(r)), facts.waiting_prompts(hooks, base)
 
 
 @query(O.FX, O.FACTS, """
