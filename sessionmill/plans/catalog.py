@@ -150,7 +150,7 @@ def source_tagging(spark, sf):
 
 @query("""pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS line,
   len(string_split(text, chr(10))) AS n FROM documents)""", """
-SELECT doc_id, CAST(line AS BIGINT) AS line, value FROM pieces WHERE line < n - 1 AND trim(value, ' ') <> ''""")
+SELECT doc_id, CAST(line AS BIGINT) AS line, value FROM pieces WHERE line < n - 1 AND value <> ''""")
 def complete_lines(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("value"))
     return TR.complete_lines(docs).select("doc_id", "line", "value")

@@ -58,15 +58,15 @@ def complete_lines(chunks: DataFrame, value: str = "value") -> DataFrame:
     """Split whole chunks into complete lines: ``line`` number and text.
 
     What follows the last newline is not complete and is dropped, one trailing
-    carriage return is stripped, blank lines are skipped.
+    carriage return is stripped, empty lines are skipped.
     """
     pieces = F.split(F.col(value), "\n", -1)
     return (
         chunks.select("*", F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("line", "__text"))
+        .where(F.col("__text") != "")
         .withColumn("line", F.col("line").cast("bigint"))
         .withColumn(value, F.regexp_replace("__text", "\r$", ""))
         .drop("__text")
-        .where(F.trim(F.col(value)) != "")
     )
 
 
@@ -129,8 +129,9 @@ def read_closed_files(spark: SparkSession, roots: Iterable[tuple[str, str]]) ->
     """
     roots = existing_roots(spark, roots)
     raw = (
-        spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-        .load(_outer_roots(roots))
+        spark.read.format("text").option("lineSep", "\n")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+        .load(_outer_roots(roots)).where(F.col("value") != "")
         .select(
             F.regexp_replace("value", "\r$", "").alias("value"),
             F.col("_metadata.file_path").alias("path"),
@@ -140,7 +141,7 @@ def read_closed_files(spark: SparkSession, roots: Iterable[tuple[str, str]]) ->
     ) if roots else spark.createDataFrame([], "value string, path string, seq long, line long")
     tagged = tag_source(raw.withColumn("path", _plain_path(F.col("path"))), roots)
     return (
-        tagged.where((F.trim("value") != "") & ~is_subagent(F.col("path")))
+        tagged.where(~is_subagent(F.col("path")))
         .select(F.col("path").alias("file"), "source", "seq", "line", "value")
     )
 

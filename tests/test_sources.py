@@ -29,7 +29,7 @@ def test_chunks(spark, tmp_path):
     roots = [(a, "claude-code"), (deep, "codex"), (f"{tmp_path}/missing", "codex")]
     rows = TR.read_chunks(spark, roots).orderBy("file", "seq", "line").collect()
     assert [(r.source, r.seq, r.line, r.value) for r in rows] == [
-        ("codex", 0, 0, "b"), ("claude-code", 0, 0, "one"), ("claude-code", 0, 3, "two"), ("claude-code", 2, 0, "bad \ufffd byte"), ("claude-code", 10, 0, "late")]
+        ("codex", 0, 0, "b"), ("claude-code", 0, 0, "one"), ("claude-code", 0, 2, "  "), ("claude-code", 0, 3, "two"), ("claude-code", 2, 0, "bad \ufffd byte"), ("claude-code", 10, 0, "late")]
 
 
 def test_nested_roots_are_read_once(spark, tmp_path):
