@@ -110,9 +110,18 @@ def throttle(
     return fired.select(F.col("k").alias(key), F.timestamp_micros("t").alias(at))
 
 
+# --- fixed values: alert wording ---------------------------------------------
+ALERT_NAMES = {C.SOURCE_A: "Claude Code", C.SOURCE_B: "Codex"}
+ALERT_TITLE = " needs you — "
+ALERT_DEFAULT = "waiting on your input"
+# ---------------------------------------------------------------------------
+
+
 def alert_text(source: Column, project: Column, machine: Column, reason: Column) -> tuple[Column, Column]:
     """(title, body) of one alert."""
-    name = F.when(source == C.SOURCE_A, "Claude Code").when(source == C.SOURCE_B, "Codex").otherwise(source)
-    title = F.concat(name, F.lit(" needs you — "), paths.alert_project(project))
-    body = F.concat(F.lit("["), machine, F.lit("] "), F.coalesce(reason, F.lit("waiting on your input")))
+    name = source
+    for value, shown in ALERT_NAMES.items():
+        name = F.when(source == value, shown).otherwise(name)
+    title = F.concat(name, F.lit(ALERT_TITLE), paths.alert_project(project))
+    body = F.concat(F.lit("["), machine, F.lit("] "), F.coalesce(reason, F.lit(ALERT_DEFAULT)))
     return title, body

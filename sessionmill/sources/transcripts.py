@@ -102,7 +102,7 @@ def read_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFr
 
 
 def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_files: int = 1000) -> DataFrame:
-    """Streaming twin of :func:`read_chunks`: each landed chunk is delivered once."""
+    """:func:`read_chunks` as a stream: each landed chunk is delivered once."""
     roots = existing_roots(spark, roots)
     if not roots:
         raise ValueError("no transcript root exists yet")

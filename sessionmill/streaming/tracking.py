@@ -38,7 +38,7 @@ class TrackingState:
 
 
 def live_calls(records: DataFrame) -> DataFrame:
-    """Streaming twin of the call states. A call without a time counts as the oldest one."""
+    """Call states on a stream. A call without a time counts as the oldest one."""
     return FA.call_states(records.withColumn(
         "since", F.when(F.col("opens"), F.coalesce("ts", F.timestamp_seconds(F.lit(0))))))
 

@@ -120,3 +120,12 @@ def test_persisted_records_read_back(spark, lines, tmp_path):
     write_records(r, f"{tmp_path}/records")
     back = spark.read.parquet(f"{tmp_path}/records")
     assert back.count() == r.count() and set(back.columns) == set(r.columns)
+
+
+def test_shared_folder_without_setting(spark, monkeypatch):
+    from sessionmill.plans import tables
+
+    monkeypatch.setattr(tables, "CHECKPOINT_CONF", "spark.not.set")
+    one = tables.materialize(spark.range(3).toDF("x"), "t")
+    assert one.count() == 3
+    assert tables.shared_folder(spark) == tables.shared_folder(spark)
