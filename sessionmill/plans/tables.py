@@ -3,7 +3,7 @@
 A job that reads one derived table several times writes it once to the folder
 the cluster shares and goes on from there: the parse runs once, later readers
 prune columns and push filters to Parquet, and a lost executor only costs the
-re-read of a file.
+re-read of a file. The tables go when the application ends.
 """
 
 from __future__ import annotations
@@ -33,10 +33,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back as a plain table scan."""
-    path = new_folder(df.sparkSession, name)
+    """Write once, read back as a plain table scan; the folder is removed when the application ends."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
