@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import exact, jaccard, langid
+from sessionmill.llm import decontaminate, exact, jaccard, langid
 from sessionmill.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("digest")
