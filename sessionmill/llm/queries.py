@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import decontaminate, exact, jaccard, langid
+from sessionmill.llm import decontaminate, exact, jaccard, langid, packing
 from sessionmill.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination")
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("digest")
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("row")
