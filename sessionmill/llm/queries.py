@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import chat, decontaminate, exact, jaccard, langid, packing, sharding
+from sessionmill.llm import chat, decontaminate, exact, jaccard, langid, packing, sharding, toxicity
 from sessionmill.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     file, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     return chat.read_back(chat.assemble(turns.unionByName(extra), file, pattern), file, pattern)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, documents(spark, sf_dir, "labels"), id_hash(5) != 0)
+    scored = docs.select("doc_id", (id_hash(5) == 0).alias("held_out"), toxicity.scorer(model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
