@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import chat, decontaminate, exact, jaccard, langid, packing, sharding, toxicity
+from sessionmill.llm import chat, decontaminate, exact, jaccard, langid, packing, sharding, toxicity, urlfilter
 from sessionmill.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, documents(spark, sf_dir, "labels"), id_hash(5) != 0)
     scored = docs.select("doc_id", (id_hash(5) == 0).alias("held_out"), toxicity.scorer(model)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query("op6_url_filters")
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
