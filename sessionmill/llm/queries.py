@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import chat, decontaminate, exact, jaccard, langid, packing, sharding, toxicity, urlfilter
+from sessionmill.llm import chat, decontaminate, exact, jaccard, langid, packing, sharding, substring, toxicity, urlfilter
 from sessionmill.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ URL_RULES = [
 @query("op6_url_filters")
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_words(documents(spark, sf_dir))
