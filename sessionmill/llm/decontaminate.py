@@ -33,7 +33,7 @@ K1, B = 1.2, 0.75
 THRESHOLD, COVER, RUN = 0.5, 0.8, 5
 SHARD_POSTINGS = 500_000
 BLOCK = 16
-BATCH_WORDS = 1 << 17
+BATCH_WORDS = 1 << 15
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -113,29 +113,35 @@ class Index:
     def candidates(self, term: np.ndarray, segment: np.ndarray, follows: np.ndarray) -> Iterator[tuple[int, int]]:
         """(passage, item) that can reach the threshold. term, segment: of each known word; follows[s]: segment
         s + 1 belongs to the same document, so passage s is both."""
+        before = segment > 0
+        before[before] = follows[segment[before] - 1]
+        pair = np.unique(np.concatenate([segment, segment[before] - 1]) * len(self.terms) + np.concatenate([term, term[before]]))
+        passage, term = pair // len(self.terms), pair % len(self.terms)  # each term once in a passage
         use = self.opened[term]
-        t, s = term[use], segment[use]
+        t, s = term[use], passage[use]
         n = self.count[t]
         posting = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        key = np.repeat(s, n) * len(self.items) + self.item[posting]
-        key, back = np.unique(key, return_inverse=True)
-        part = np.bincount(back, self.impact[posting], len(key))
-        s = key // len(self.items)  # passage s has its own segment's sum and the next one's
-        before = s > 0
-        before[before] = follows[s[before] - 1]
-        keys = np.concatenate([key, key[before] - len(self.items)])
-        keys, back = np.unique(keys, return_inverse=True)
-        part = np.bincount(back, np.concatenate([part, part[before]]), len(keys))
-        near = part >= self.threshold / 2  # the rest cannot make up for more
-        keys, part = keys[near], part[near]
-        rest_term, rest_segment = self.row[term[~use]], segment[~use]
-        cut = np.searchsorted(rest_segment, np.arange(len(follows) + 2))
-        for key, value in zip(keys.tolist(), part.tolist()):
-            s, i = divmod(key, len(self.items))
-            end = cut[s + 2] if follows[s] else cut[s + 1]
-            bound = value + self.block_max[np.unique(rest_term[cut[s]:end]), i // BLOCK].sum()
-            if bound >= self.threshold:
-                yield s, i
+        key, part = _sums(np.repeat(s, n) * len(self.items) + self.item[posting], self.impact[posting], len(follows) * len(self.items))
+        near = part >= self.threshold / 2  # the unopened terms cannot make up for more
+        key, part = key[near], part[near]
+        s, i = key // len(self.items), key % len(self.items)
+        rest = np.zeros((len(follows), self.block_max.shape[1]))
+        wanted = np.zeros(len(follows), bool)
+        wanted[s] = True
+        more = ~use & wanted[passage]
+        np.add.at(rest, passage[more], self.block_max[self.row[term[more]]])
+        can = part + rest[s, i // BLOCK] >= self.threshold - 1e-9
+        yield from zip(s[can].tolist(), i[can].tolist())
+
+
+def _sums(key: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys (below ``size``) and the sum of their values."""
+    if size <= 1 << 23:
+        total = np.bincount(key, value, size)
+        key = np.flatnonzero(total)
+        return key, total[key]
+    key, back = np.unique(key, return_inverse=True)
+    return key, np.bincount(back, value, len(key))
 
 
 def _searcher(index: Index):
