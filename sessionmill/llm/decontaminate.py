@@ -30,7 +30,7 @@ from sessionmill.llm import text as T
 from sessionmill.llm.frames import empty_text, fresh_name, map_rows, md5_of, store
 
 K1, B = 1.2, 0.75
-THRESHOLD, COVER, RUN = 0.5, 0.8, 5
+THRESHOLD, COVER, RUN = 0.5, 0.7, 5
 SHARD_POSTINGS = 500_000
 BLOCK = 16
 BATCH_WORDS = 1 << 15
