@@ -160,9 +160,10 @@ def _report(left: list[int], right: list[int], linked: np.ndarray, diagonal: boo
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, digest, class_id, n_links, n_copies.
+    """One row per row of ``docs`` (doc_id, text): doc_id, digest, root, class_id, n_links, n_copies.
 
-    class_id: smallest doc_id of the near-duplicate class (texts connected by links; equal texts belong together).
+    root: a number of the near-duplicate class (texts connected by links; equal texts belong together), any but
+    one per class. class_id: the class's smallest doc_id.
     n_links: different texts linked to this row's text. n_copies: rows with exactly this text.
     Null counts as empty text; equal empty texts form a class of their own, without links. A class whose ids are
     all null has a null class_id. No rows give no rows; other columns are not looked at.
@@ -200,13 +201,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     classed = texts.join(group.withColumnRenamed("node", "tid"), "tid", "left").join(links, "tid", "left")
     classed = classed.select("digest", "first_id", "n_copies", F.coalesce("root", "tid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = classed.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classed = store(classed.join(ids, "root").select("digest", "class_id", "n_links", "n_copies"), "classes")
+    classed = store(classed.join(ids, "root").select("digest", "root", "class_id", "n_links", "n_copies"), "classes")
     return signed.select("doc_id", "digest").join(classed, "digest")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, one for each near-duplicate class (its smallest doc_id), with all their columns."""
     found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # an id that several different texts share could name more than one of a class: the smallest digest stays
-    kept = found.groupBy("class_id").agg(F.min("digest").alias("digest")).withColumnRenamed("class_id", "doc_id")
+    # an id may name several texts of a class: the smallest digest stays
+    kept = found.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("digest").alias("digest"))
     return keep_rows(docs, kept)
