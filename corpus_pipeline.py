@@ -37,7 +37,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("row")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("row")
 
 
 STAGES = [

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionmill.llm.frames import map_rows
-from sessionmill.llm.packing import encoder
+from sessionmill.llm.packing import batches, encoder
 
 OPEN, CLOSE = "<turn>", "</turn>"
 HEADS = ("### System:", "### User:", "### Assistant:")  # marks of a widespread plain template, escaped as well
@@ -58,23 +58,23 @@ def formatted(role: str | None, text: str) -> str:
 SEGMENT = "conv_id long, turn long, role string, ids binary, n_ids long, loss_from long, loss_to long, chars long"
 
 
-def _assemble(file: str, pattern: str):
+def _assemble(file: str):
     def run(stream):
-        encode = encoder(file, pattern)
+        encode = encoder(file)
         base = encode.tokenizer.get_vocab_size()
         mark = lambda k: np.array([base + k], "<u4")
-        for row in stream:
-            role, text = escape(_line(row["role"])), escape(row["text"] or "")
-            head, body = encode.ids(role), encode.ids(text)
-            ids = np.concatenate([mark(TURN_ID), head, mark(BODY_ID), body, mark(END_ID)])
-            start = len(head) + 2
-            learned = row["role"] == LEARNED
-            yield (row["conv_id"], row["turn"], row["role"], ids.astype("<u4").tobytes(), len(ids), start if learned else 0,
-                   start + len(body) if learned else 0, len(OPEN) + len(role) + len(text) + len(CLOSE) + 3)
+        for held in batches(stream, lambda row: escape(row["text"] or "")):
+            roles = [escape(_line(row["role"])) for row, _ in held]
+            for (row, text), role, head, body in zip(held, roles, encode.batch(roles), encode.batch([t for _, t in held])):
+                ids = np.concatenate([mark(TURN_ID), head, mark(BODY_ID), body, mark(END_ID)])
+                start = len(head) + 2
+                learned = row["role"] == LEARNED
+                yield (row["conv_id"], row["turn"], row["role"], ids.astype("<u4").tobytes(), len(ids), start if learned else 0,
+                       start + len(body) if learned else 0, len(OPEN) + len(role) + len(text) + len(CLOSE) + 3)
     return run
 
 
-def assemble(turns: DataFrame, file: str, pattern: str) -> DataFrame:
+def assemble(turns: DataFrame, file: str) -> DataFrame:
     """Turns (conv_id, turn, role, text) as tokens: SEGMENT and ``at``, the turn's offset in its conversation.
 
     ids: little-endian 32-bit numbers; loss_from, loss_to: the ids of the turn that count for the loss; chars: code points of the
@@ -83,7 +83,7 @@ def assemble(turns: DataFrame, file: str, pattern: str) -> DataFrame:
     rows; other columns are not looked at.
     """
     plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    segments = map_rows(plain, _assemble(file, pattern), SEGMENT)
+    segments = map_rows(plain, _assemble(file), SEGMENT)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "ids")
     before = F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids")
     return segments.withColumn("at", before)
@@ -102,9 +102,9 @@ def read_turn(ids: np.ndarray, tokenizer, base: int) -> tuple[str | None, str]:
     return _role(unescape(role)), unescape(text)
 
 
-def _reader(file: str, pattern: str):
+def _reader(file: str):
     def run(stream):
-        tool = encoder(file, pattern).tokenizer
+        tool = encoder(file).tokenizer
         base = tool.get_vocab_size()
         now, state = None, None
 
@@ -131,11 +131,11 @@ def _reader(file: str, pattern: str):
     return run
 
 
-def read_back(segments: DataFrame, file: str, pattern: str) -> DataFrame:
+def read_back(segments: DataFrame, file: str) -> DataFrame:
     """One row per conversation, READ, from its tokens alone: turns as read, text under the loss mask, size as text.
 
     Turns stream through one task in order; only digests are held, so a conversation has no size limit.
     """
     # sorted as the window of ``assemble`` leaves them: by conversation and offset
     turns = segments.select("conv_id", "at", "ids", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "at")
-    return map_rows(turns, _reader(file, pattern), READ)
+    return map_rows(turns, _reader(file), READ)

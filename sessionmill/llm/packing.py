@@ -14,10 +14,10 @@ left open at a task's end are a small share at any size.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -30,44 +30,95 @@ LENGTH = 2048
 OPEN_BINS = 4096
 TASK_SEQUENCES = 4096
 SEPARATOR = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 PIECES = "doc_id long, row long, piece int, start long, length int, ids_crc32 long, ids binary"
 
 
+# The splitting pattern of byte-level BPE files, in full, and one that splits texts of Latin letters alike and faster.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_IS_LATIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_SPACED, _BARE = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+"), re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class Encoder:
-    """Token ids of texts by a ``tokenizers`` file of the byte-level BPE kind.
+    """Token ids of texts by a ``tokenizers`` file of the byte-level BPE kind, which splits a text by PATTERN and encodes
+    each part on its own.
 
-    Such a tokenizer splits a text by ``pattern`` and encodes each part on its own, so the ids of parts met before are
-    kept (at most ``CACHE_WORDS`` of them) and only new parts are encoded, all those of a text at once.
+    The ids of about ``CACHE_WORDS`` parts are kept, and only parts not met before are encoded: all of a batch in one call
+    where they can be told apart again (words with a space before them one after the other, bare words a line each).
     """
 
-    def __init__(self, file: str, pattern: str):
+    def __init__(self, file: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        parts = self.parts(text)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({p for p in parts if p not in known})
-        if new:
-            for part, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[part] = found.ids
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), "<u4")
+        self.full = regex.compile(PATTERN)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.count, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.flat = np.zeros(1 << 14, "<u4")
+
+    def _keep(self, parts: list[str], ids, counts: np.ndarray) -> None:
+        """Add parts with their ids, which follow each other in ``ids``."""
+        at = len(self.known)
+        while at + len(parts) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.count[at:at + len(parts)] = counts
+        self.start[at:at + len(parts)] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.known.update(zip(parts, range(at, at + len(parts))))
+
+    def _learn(self, new: list[str]) -> None:
+        spaced = [p for p in new if _SPACED.fullmatch(p)]
+        bare = [p for p in new if _BARE.fullmatch(p)]
+        for known, glue in ((spaced, ""), (bare, "\n")):  # a line end between bare words is a part of its own
+            if known:
+                found = self.tokenizer.encode(glue.join(known), add_special_tokens=False)
+                part, ids = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4")
+                if glue:
+                    ids, part = ids[part % 2 == 0], part[part % 2 == 0] // 2
+                self._keep(known, ids, np.bincount(part, minlength=len(known)))
+        for part in new:
+            if part not in self.known:
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+                self._keep([part], ids, np.array([len(ids)]))
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts, sizes = [], []
+        for text in texts:
+            found = (_LATIN if _IS_LATIN.fullmatch(text) else self.full).findall(text)
+            parts += found
+            sizes.append(len(found))
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        codes = list(map(self.known.get, parts))
+        missing = [k for k, c in enumerate(codes) if c is None]
+        if missing:
+            self._learn(list(dict.fromkeys([parts[k] for k in missing])))
+            for k in missing:
+                codes[k] = self.known[parts[k]]
+        at = np.array(codes, np.int64)
+        n = self.count[at]
+        ids = self.flat[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
+        return np.split(ids, ends[:-1])
 
 
 @lru_cache(4)
-def encoder(file: str, pattern: str) -> Encoder:
+def encoder(file: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(file, pattern)
+    return Encoder(file)
 
 
 def pieces(ids: np.ndarray, length: int = LENGTH):
@@ -78,22 +129,35 @@ def pieces(ids: np.ndarray, length: int = LENGTH):
         yield start, start + length
 
 
-def _tokenizer(file: str, pattern: str, length: int, with_ids: bool):
+def batches(rows, text, chars: int = 1 << 19):
+    """Lists of (row, text(row)) of about that many characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append((row, text(row)))
+        size += len(held[-1][1])
+        if size >= chars or len(held) >= 4096:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _tokenizer(file: str, length: int, with_ids: bool):
     def run(stream):
-        encode = encoder(file, pattern).ids
-        for row in stream:
-            ids = np.append(encode(row["text"]), np.uint32(SEPARATOR)).astype("<u4")
-            for k, (a, b) in enumerate(pieces(ids, length)):
-                data = ids[a:b].tobytes()
-                yield row["doc_id"], row["row"], k, a, b - a, zlib.crc32(data), data if with_ids else None
+        for held in batches(stream, lambda row: row["text"]):
+            for (row, _), ids in zip(held, encoder(file).batch([t for _, t in held])):
+                ids = np.append(ids, np.uint32(SEPARATOR)).astype("<u4")
+                for k, (a, b) in enumerate(pieces(ids, length)):
+                    data = ids[a:b].tobytes()
+                    yield row["doc_id"], row["row"], k, a, b - a, zlib.crc32(data), data if with_ids else None
     return run
 
 
-def tokenize(docs: DataFrame, file: str, pattern: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, file: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text), with their ids as little-endian 32-bit numbers
     (null without ``with_ids``). Null text counts as empty: one piece, the separator. ``row`` tells rows apart."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text().alias("text")).withColumn("row", F.monotonically_increasing_id())
-    return map_rows(plain, _tokenizer(file, pattern, length, with_ids), PIECES)
+    return map_rows(plain, _tokenizer(file, length, with_ids), PIECES)
 
 
 class OpenBins:
@@ -151,13 +215,13 @@ def pack(found: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) ->
     return map_rows(dealt, _packer(length, open_bins), PLACED)
 
 
-def pack_documents(docs: DataFrame, file: str, pattern: str, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, file: str, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
     """One row per piece of every row of ``docs``: PLACED.
 
     Null and empty texts are one piece of one token. Rows with equal ids or texts are packed like any others. No rows
     give no rows; other columns are not looked at.
     """
-    return pack(store(tokenize(docs, file, pattern, length, with_ids=False), "pieces"), length, open_bins)
+    return pack(store(tokenize(docs, file, length, with_ids=False), "pieces"), length, open_bins)
 
 
 def sequences(found: DataFrame, placed: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_best_fit_packing")
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("row")
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("row")
 
 
 @query("op1_sharding")
@@ -70,8 +70,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    file, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-    return chat.read_back(chat.assemble(turns.unionByName(extra), file, pattern), file, pattern)
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.read_back(chat.assemble(turns.unionByName(extra), file), file)
 
 
 @query("op7_toxicity")
