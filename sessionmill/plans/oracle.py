@@ -175,7 +175,7 @@ f0 AS (
     arg_max('p' || (event_id % 3), event_id) FILTER (WHERE env AND event_type = 'error' AND event_id % 4 = 1) AS approval_policy,
     arg_max({'i': tin, 'r': tread, 'w': twrite}, event_id) FILTER (WHERE says) AS lastu,
     arg_max({'i': event_id * 7 % 100000, 'c': event_id * 3 % 50000, 'o': event_id * 2 % 30000, 'l': event_id % 300000}, event_id) FILTER (WHERE counted) AS total,
-    arg_max(CASE WHEN counted THEN 258400 + event_id % 3 ELSE 200000 + event_id % 7 END, event_id)
+    arg_max(CASE WHEN counted THEN 190000 + event_id % 3 ELSE 200000 + event_id % 7 END, event_id)
       FILTER (WHERE counted OR (env AND event_type = 'signup' AND event_id % 2 = 0)) AS win
   FROM fx GROUP BY file, source, user_id
 ),

@@ -74,7 +74,7 @@ _A_BODY = f"""CASE event_type
        CASE WHEN event_id % 6 = 0 THEN '"max_tokens"' WHEN event_id % 6 = 1 THEN 'null' ELSE '"end_turn"' END, ',', {_USAGE},
        ',"content":[{{"type":"text","text":"ok"}}]}}')
   ELSE IF(event_id % 3 = 0,
-       '"type":"user","message":{{"role":"user","content":[{{"type":"text","text":"[Request interrupted by user for tool use]"}}]}}',
+       '"type":"user","message":{{"role":"user","content":[{{"type":"text","text":"[Request interrupted by user at step 3]"}}]}}',
        '"type":"system","level":"info"') END"""
 
 _B_BODY = """CASE event_type
@@ -88,7 +88,7 @@ _B_BODY = """CASE event_type
   WHEN 'purchase' THEN IF(event_id % 3 = 0, '"type":"event_msg","payload":{"type":"task_complete"}',
        concat('"type":"event_msg","payload":{"type":"token_count","info":', IF(event_id % 5 = 0, 'null', concat(
            '{"total_token_usage":{"input_tokens":', event_id * 7 % 100000, ',"cached_input_tokens":', event_id * 3 % 50000, ',"output_tokens":', event_id * 2 % 30000,
-           '},"last_token_usage":{"total_tokens":', event_id % 300000, '},"model_context_window":', 258400 + event_id % 3, '}')),
+           '},"last_token_usage":{"total_tokens":', event_id % 300000, '},"model_context_window":', 190000 + event_id % 3, '}')),
            ',"rate_limits":', IF(event_id % 2 = 0, concat('{"primary":{"used_percent":', event_id % 101, '.5,"window_minutes":300,"resets_at":', 1700000000 + event_id,
            '},"secondary":', IF(event_id % 4 = 0, '{"window_minutes":10080}', concat('{"used_percent":', event_id % 11, '}')), ',"plan_type":"plus"}'), 'null'), '}'))
   ELSE CASE event_id % 4

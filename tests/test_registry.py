@@ -101,21 +101,46 @@ def test_throttle_equals_greedy_fold(spark):
     assert sorted(again) == greedy(times["hot"], cooldown, 100)
 
 
-def logical(spark, *rows):
-    return {r.agent_id: r for r in entities.logical_sessions(frame(spark, list(rows))).collect()}
-
-
-def test_merge_rules(spark):
-    fresher = logical(spark, snap(0, at="2026-07-10T09:00:00Z", needs=True, reason="why"), snap(1, machine="windows", at="2026-07-10T09:05:00Z"))
-    assert len(fresher) == 1 and fresher["u1"].machine == "windows" and fresher["u1"].needs_user and fresher["u1"].needs_user_reason == "why"
-    a = snap(0, "u1", "wsl", "/mnt/c/Users/N/proj", at="2026-07-10T09:00:00Z")
-    near = snap(1, "u2", "windows", "C:\\Users\\N\\proj\\", at="2026-07-10T09:00:30Z")
-    assert set(logical(spark, a, near)) == {"u2"}
-    assert len(logical(spark, a, snap(1, "u2", "windows", "C:\\Users\\N\\proj", at="2026-07-10T09:10:00Z"))) == 2
-    assert len(logical(spark, a, snap(1, "u2", "wsl", "/mnt/c/users/n/proj", at="2026-07-10T09:00:10Z"))) == 2
-    assert len(logical(spark, a, near, snap(2, "u3", "wsl", "c:/users/n/proj", at="2026-07-10T09:00:20Z"))) == 3
-    # sessions without a project share the empty one
-    assert len(logical(spark, snap(0, "u1", project="", at="2026-07-10T09:00:00Z"), snap(1, "u2", "windows", "", at="2026-07-10T09:00:01Z"))) == 1
+def plain_merge(rows, overlap):
+    """The two merge rules on lists: by id, then lone pairs of a project."""
+    def fresh(r):
+        return (-r[1], r[2], r[3])
+
+    def merge(group):
+        best, asking = min(group, key=fresh), [r for r in group if r[5]]
+        return (best[0], best[1], best[2], best[3], best[4], bool(asking), best[6] if best[5] else (min(asking, key=fresh)[6] if asking else None))
+
+    ids = {}
+    for r in rows:
+        ids.setdefault(r[3], []).append(r)
+    projects = {}
+    for r in map(merge, ids.values()):
+        projects.setdefault(r[0], []).append(r)
+    out = []
+    for group in projects.values():
+        paired = len(group) == 2 and group[0][2] != group[1][2] and abs(group[0][1] - group[1][1]) <= overlap
+        out += [merge(group)] if paired else group
+    return sorted((r[3], r[2], r[5], str(r[6])) for r in out)
+
+
+def test_merging_equals_the_rules_on_lists(spark):
+    rnd = random.Random(21)
+    spelled = {"q:/work/shop": ["/mnt/q/Work/Shop", "Q:\\work\\shop\\", "q:/WORK/shop/"], "/srv/app": ["/srv/app", "/srv/App/"], "": [""], "lone": ["lone"]}
+    seconds = int(C.OVERLAP_WINDOW.total_seconds())
+    for case in range(8):
+        rows, frames = [], []
+        for i in range(rnd.randrange(1, 7)):
+            project = rnd.choice(list(spelled))
+            t = rnd.choice([0, seconds // 2, seconds, seconds + 1, 5 * seconds])
+            needs, machine, agent = rnd.random() < 0.4, rnd.choice(["wsl", "windows", "far"]), f"s{rnd.randrange(4)}"
+            if any((r[2], r[3]) == (machine, agent) for r in rows):
+                continue
+            project = next((r[0] for r in rows if r[3] == agent), project)
+            stamp = (datetime(2025, 2, 3, 4, tzinfo=timezone.utc) + timedelta(seconds=t)).strftime("%Y-%m-%dT%H:%M:%SZ")
+            rows.append((project, t, machine, agent, None, needs, f"why {i}" if needs else None))
+            frames.append(snap(i, agent, machine, rnd.choice(spelled[project]), at=stamp, needs=needs, reason=f"why {i}" if needs else None))
+        got = entities.logical_sessions(frame(spark, frames)).collect()
+        assert sorted((r.agent_id, r.machine, r.needs_user, str(r.needs_user_reason)) for r in got) == plain_merge(rows, seconds), rows
 
 
 def test_bodies(spark):

@@ -59,7 +59,7 @@ def test_missing_roots(spark):
 
 
 def test_hooks(spark):
-    rows = [('{"session_id":"a","message":"Claude needs your Permission","hook_event_name":"PreToolUse"}', "2026-01-01 00:00:00", 0),
+    rows = [('{"session_id":"a","message":"one Permission slip, please","hook_event_name":"PreToolUse"}', "2026-01-01 00:00:00", 0),
             ('{"session_id":"b","hook_event_name":"PreToolUse"}', "2026-01-01 00:00:01", 1), ('{"message":"permission"}', "2026-01-01 00:00:01", 2),
             ("junk", "2026-01-01 00:00:01", 3), ('{"session_id":"c","message":"waiting"}', "2026-01-01 00:00:01", 4)]
     df = spark.createDataFrame(rows, "value string, received_at string, ord long").withColumn("received_at", F.to_timestamp("received_at"))

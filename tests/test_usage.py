@@ -26,21 +26,29 @@ def estimate(spark, rows, now=NOW):
     return blocks.plan_estimate(df, spark.createDataFrame([("m",)], "machine string"), ["machine"], F.lit(now)).first().claude
 
 
-def at(day, hour, minute=0):
-    return datetime(2026, 7, day, hour, minute, tzinfo=timezone.utc)
-
-
-def test_block_rules(spark):
-    e = estimate(spark, [(at(10, 10, 23), 100)], at(10, 11))
-    assert e.five_hour.tokens.input_tokens == 100 and e.five_hour_resets_at.hour == 15
-    e = estimate(spark, [(at(10, 9, 40), 7), (at(10, 2, 10), 1000)], at(10, 10))
-    assert (e.five_hour.tokens.input_tokens, e.five_hour.messages, e.weekly.tokens.input_tokens) == (7, 1, 1007)
-    e = estimate(spark, [(at(10, 2, 10), 1000)])
-    assert e.five_hour.messages == 0 and e.five_hour_resets_at is None and e.weekly.messages == 1
-    e = estimate(spark, [(at(1, 12), 500), (at(5, 12), 300), (at(10, 9), 200), (at(3, 12), 1), (at(10, 13), 9)])
-    assert (e.weekly.tokens.input_tokens, e.weekly.messages) == (501, 3)
-    e = estimate(spark, [])
-    assert e.weekly.messages == 0 and e.confidence == "estimated"
+def plain_estimate(rows, now):
+    """The current block and the week by walking the events in time order."""
+    past = sorted((t, n) for t, n in rows if t <= now)
+    start, block = None, []
+    for t, n in past:
+        if start is None or t >= start + timedelta(hours=C.BLOCK_HOURS):
+            start, block = t.replace(minute=0, second=0, microsecond=0), []
+        block.append(n)
+    live = start is not None and now < start + timedelta(hours=C.BLOCK_HOURS)
+    week = [n for t, n in past if now - t <= C.WEEK]
+    return (sum(block) if live else 0, len(block) if live else 0, (start + timedelta(hours=C.BLOCK_HOURS)) if live else None, sum(week), len(week))
+
+
+def test_estimate_equals_a_walk_over_events(spark):
+    rnd = random.Random(11)
+    for case in range(6):
+        now = datetime(2025, 3, 20 + case, rnd.randrange(24), rnd.randrange(60), tzinfo=timezone.utc)
+        back = [rnd.choice([-30, 5, 50, 200, 290, 310, 900, 5000, 10080, 10081, 14000]) + rnd.randrange(40) * (case > 0) for _ in range(rnd.randrange(12))]
+        rows = [(now - timedelta(minutes=m), rnd.randrange(2, 900)) for m in back]
+        e = estimate(spark, rows, now)
+        ends = e.five_hour_resets_at and e.five_hour_resets_at.replace(tzinfo=timezone.utc)
+        got = (e.five_hour.tokens.input_tokens, e.five_hour.messages, ends, e.weekly.tokens.input_tokens, e.weekly.messages)
+        assert got == plain_estimate(rows, now) and e.confidence == "estimated"
 
 
 def test_blocks_equal_event_fold(spark):
@@ -118,9 +126,9 @@ def test_paths(spark):
         df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
         return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
 
-    assert col(P.normalize_project, "/mnt/c/Users/N/p", "C:\\Users\\N\\p\\", "\\\\wsl$\\Ubuntu\\home\\n", "\\\\WSL.localhost\\Ubuntu\\mnt\\c\\x",
+    assert col(P.normalize_project, "/mnt/q/Work/Shop", "Q:\\Work\\Shop\\", "\\\\wsl$\\Debian\\srv\\App", "\\\\WSL.localhost\\Ubuntu\\mnt\\c\\x",
                "/", "//", "", "/mnt/cc/x", "/mnt/c", "//wsl$/Ubuntu") == [
-        "c:/users/n/p", "c:/users/n/p", "/home/n", "/mnt/c/x", "/", "/", "", "/mnt/cc/x", "/mnt/c", "//wsl$/ubuntu"]
+        "q:/work/shop", "q:/work/shop", "/srv/app", "/mnt/c/x", "/", "/", "", "/mnt/cc/x", "/mnt/c", "//wsl$/ubuntu"]
     assert col(P.project_name, "/a/b/", "C:\\x\\y", "/", "") == ["b", "y", "/", ""]
     assert col(P.alert_project, "/a/b", "/a/b/", "x") == ["b", "/a/b/", "x"]
     assert col(P.encode_path, "/a b/c:d~_.-", "/é#%*+'()") == ["/a%20b/c:d~_.-", "/%C3%A9%23%25%2A%2B%27%28%29"]
