@@ -16,31 +16,30 @@ def change_feed(changes: DataFrame, housekeeping: DataFrame | None = None, order
     return feed
 
 
-def full_state(current: DataFrame, order: Column, order_name: str = "arrival") -> DataFrame:
+def full_state(current: DataFrame, **position: Column) -> DataFrame:
     """The opening rows of a reader: every session at one position of the feed."""
-    return current.withColumns({
-        "event": F.lit("full"), "key": session_key(), "logical_key": logical_key(), order_name: order})
+    return current.withColumns({"event": F.lit("full"), "key": session_key(), "logical_key": logical_key(), **position})
 
 
-def card_view(feed: DataFrame, order: str = "arrival") -> DataFrame:
-    """State a reader shows after the feed.
+def card_view(feed: DataFrame, *order: str) -> DataFrame:
+    """State a reader shows after the feed. ``order``: the columns of the feed's total order; none may be null.
 
     Rows before the newest full state are void. The last upsert of a logical
     key wins; a later removal counts only when it names the machine shown.
-    Two aggregates and one join on unique keys, no ordered fold.
+    One scalar, then two aggregates over one pass: last upsert and last
+    removal per machine, then the machine shown.
     """
-    reset = feed.where(F.col("event") == "full").agg(F.max(order)).scalar()
-    valid = feed.where(F.coalesce(F.col(order) >= reset, F.lit(True)))
-    shown_columns = [c for c in feed.columns if c not in ("logical_key", "event")]
-    shown = (
-        valid.where(F.col("event").isin("full", "upsert")).groupBy("logical_key")
-        .agg(F.max_by(F.struct(*shown_columns), order).alias("w"))
-        .select("logical_key", "w.*")
-    )
-    removals = (
-        valid.where(F.col("event") == "removed").groupBy("key").agg(F.max(order).alias("removed_at")))
-    return (
-        shown.join(removals, "key", "left")
-        .where(F.col("removed_at").isNull() | (F.col("removed_at") < F.col(order)))
-        .drop("removed_at")
-    )
+    order = order or ("arrival",)
+    position = F.struct(*order)
+    for c in order:
+        position = F.when(F.col(c).isNotNull(), position).otherwise(F.raise_error(F.lit(f"feed row without {c}")))
+    rows = feed.withColumn("__at", position)
+    reset = rows.where(F.col("event") == "full").agg(F.max("__at")).scalar()
+    valid = rows.where(F.coalesce(F.col("__at") >= reset, F.lit(True)))
+    shown = F.col("event").isin("full", "upsert")
+    rest = [c for c in feed.columns if c not in ("logical_key", "event")]
+    machines = valid.groupBy("logical_key", "key").agg(
+        F.max_by(F.struct(*rest), F.when(shown, F.col("__at"))).alias("w"), F.max(F.when(shown, F.col("__at"))).alias("at"),
+        F.max(F.when(F.col("event") == "removed", F.col("__at"))).alias("gone"))
+    last = machines.where("at IS NOT NULL").groupBy("logical_key").agg(F.max_by(F.struct("w", "at", "gone"), "at").alias("m"))
+    return last.where("m.gone IS NULL OR m.gone < m.at").select("logical_key", "m.w.*")

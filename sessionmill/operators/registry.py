@@ -15,6 +15,8 @@ KEY = ["machine", "source", "agent_id"]
 COMPARED = [
     "status", "needs_user", "current_task", "usage", "project", "git_branch", "needs_user_reason", "jump", "last_activity",
 ]
+# Total order of the rows that a stream writes: batch, step inside the batch, row of the step.
+STREAM_ORDER = ("batch_id", "phase", "arrival")
 
 
 def session_key() -> Column:
@@ -37,11 +39,10 @@ def registry_changes(observed: DataFrame, order: str = "arrival", stored: DataFr
     shown = F.struct(*[c for c in COMPARED if c in observed.columns])
     rows = observed.withColumn("__seg", integer_segment(order)).withColumn("__new", F.lit(True))
     if stored is not None:
+        # a flag puts stored rows first, whatever numbers the order uses
         old = stored.select(*[c for c in observed.columns if c != order and c in stored.columns])
-        rows = rows.unionByName(
-            old.withColumn("__seg", F.lit(-1).cast("bigint")).withColumn(order, F.lit(-1).cast("bigint"))
-            .withColumn("__new", F.lit(False)), allowMissingColumns=True)
-    seen = running(rows, KEY, ["__seg"], [order], __was=Running("prev", shown)).where("__new")
+        rows = rows.unionByName(old.withColumn("__seg", F.lit(0).cast("bigint")).withColumn("__new", F.lit(False)), allowMissingColumns=True)
+    seen = running(rows, KEY, ["__new", "__seg"], [order], __was=Running("prev", shown)).where("__new")
     was = F.col("__was")
     first = was.isNull()
     return seen.withColumns({
@@ -53,15 +54,15 @@ def registry_changes(observed: DataFrame, order: str = "arrival", stored: DataFr
     }).drop("__seg", "__was", "__new")
 
 
-def transitions(changes: DataFrame, order: str = "arrival") -> DataFrame:
-    """History rows: one per status change or first sighting."""
+def transitions(changes: DataFrame, *order: str) -> DataFrame:
+    """History rows: one per status change or first sighting, with the columns that order them."""
     return changes.where((F.col("change_type") != "unchanged") & F.col("status_changed")).select(
-        "key", F.col("last_activity").alias("at"), "from_status", F.col("status").alias("to_status"), order)
+        "key", F.col("last_activity").alias("at"), "from_status", F.col("status").alias("to_status"), *(order or ["arrival"]))
 
 
-def session_history(history: DataFrame, key: str, order: str = "arrival") -> DataFrame:
-    """Status history of one session, oldest first."""
-    return history.where(F.col("key") == key).orderBy(order).select("at", "from_status", "to_status")
+def session_history(history: DataFrame, key: str, *order: str) -> DataFrame:
+    """Status history of one session, oldest first; a streamed log is ordered by ``STREAM_ORDER``."""
+    return history.where(F.col("key") == key).orderBy(*(order or ["arrival"])).select("at", "from_status", "to_status")
 
 
 def latest(observed: DataFrame, order: str = "arrival", keys: list[str] = KEY) -> DataFrame:

@@ -18,9 +18,7 @@ from sessionmill.plans import standin as S
 from sessionmill.plans.tables import materialize, new_folder, spread
 from sessionmill.sources import snapshots as SN
 from sessionmill.sources import transcripts as TR
-from sessionmill.streaming import tracking
-from sessionmill.streaming.registry_stream import run_registry
-from sessionmill.streaming.registry_stream import sessions as registry_sessions
+from sessionmill.streaming import registry_stream, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -528,16 +526,19 @@ def housekeeping(spark, sf):
 
 
 def _feed(spark, sf) -> DataFrame:
-    """Opening state after a third of the arrivals, all diffs, then one sweep at the end."""
+    """Opening state behind a third of the arrivals, all diffs, then one sweep at the end.
+
+    The order of the feed is (arrival, step): the opening state follows the change of the same arrival.
+    """
     changes, obs = _changes(spark, sf), S.observations(spark, sf)
     top = obs.agg(F.max("arrival")).first()[0]
     # one row per logical session, as a full state has
     seen = registry.latest(obs.where(F.col("arrival") <= top // 3), keys=["source", "agent_id"])
-    opening = feed.full_state(seen, F.lit(top // 3).cast("bigint"))
+    opening = feed.full_state(seen, arrival=F.lit(top // 3).cast("bigint"), step=F.lit(1))
     sweep = registry.housekeeping(registry.latest(obs), S.now_of(spark, sf)).withColumn(
         "arrival", F.when(F.col("machine") == "wsl", top + 2).otherwise(top + 1).cast("bigint"))
-    rows = feed.change_feed(changes.where(F.col("arrival") != top // 3), sweep)
-    keep = ["event", "key", "logical_key", "machine", "status", "arrival"]
+    rows = feed.change_feed(changes, sweep).withColumn("step", F.lit(0))
+    keep = ["event", "key", "logical_key", "machine", "status", "arrival", "step"]
     return rows.select(*keep).unionByName(opening.select(*keep))
 
 
@@ -545,25 +546,25 @@ _FEED = """
 top AS (SELECT max(event_id) AS top, max(event_id) // 3 AS cut FROM events),
 opening AS (SELECT * EXCLUDE (r) FROM (SELECT obs.*, row_number() OVER (PARTITION BY source, agent_id ORDER BY arrival DESC) AS r FROM obs, top WHERE arrival <= cut) WHERE r = 1),
 fd AS (
-  SELECT 'upsert' AS event, key, logical_key, machine, status, arrival FROM chg, top WHERE change_type <> 'unchanged' AND arrival <> cut
+  SELECT 'upsert' AS event, key, logical_key, machine, status, arrival, 0 AS step FROM chg WHERE change_type <> 'unchanged'
   UNION ALL SELECT CASE WHEN silent24 THEN 'removed' ELSE 'upsert' END, machine || '/' || source || '/' || agent_id, source || '/' || agent_id, machine,
-    CASE WHEN decays AND silent30 THEN 'stale' ELSE status END, top + CASE WHEN machine = 'wsl' THEN 2 ELSE 1 END FROM aged, top WHERE silent24 OR (decays AND silent30)
-  UNION ALL SELECT 'full', machine || '/' || source || '/' || agent_id, source || '/' || agent_id, machine, status, cut FROM opening, top
+    CASE WHEN decays AND silent30 THEN 'stale' ELSE status END, top + CASE WHEN machine = 'wsl' THEN 2 ELSE 1 END, 0 FROM aged, top WHERE silent24 OR (decays AND silent30)
+  UNION ALL SELECT 'full', machine || '/' || source || '/' || agent_id, source || '/' || agent_id, machine, status, cut, 1 FROM opening, top
 )"""
 
 
-@query(O.OBS, _FEED, "SELECT event, key, logical_key, machine, status, arrival FROM fd")
+@query(O.OBS, _FEED, "SELECT event, key, logical_key, machine, status, arrival, step FROM fd")
 def change_feed(spark, sf):
     return _feed(spark, sf)
 
 
 @query(O.OBS, _FEED, """
-v AS (SELECT fd.* FROM fd, top WHERE arrival >= cut),
-sh AS (SELECT logical_key, arg_max({'k': key, 's': status, 'a': arrival, 'm': machine}, arrival) AS w FROM v WHERE event <> 'removed' GROUP BY 1)""", """
+v AS (SELECT fd.* FROM fd, top WHERE (arrival, step) >= (cut, 1)),
+sh AS (SELECT logical_key, arg_max({'k': key, 's': status, 'a': arrival, 'm': machine}, {'a': arrival, 's': step}) AS w FROM v WHERE event <> 'removed' GROUP BY 1)""", """
 SELECT logical_key, w.k AS key, w.m AS machine, w.s AS status FROM sh
 WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.event = 'removed' AND v.key = sh.w.k AND v.arrival >= sh.w.a)""")
 def card_view(spark, sf):
-    return feed.card_view(_feed(spark, sf)).select("logical_key", "key", "machine", "status")
+    return feed.card_view(_feed(spark, sf), "arrival", "step").select("logical_key", "key", "machine", "status")
 
 
 COOLDOWN = timedelta(hours=12)
@@ -577,7 +578,7 @@ fired AS (
 
 
 def _fired(spark, sf) -> tuple[DataFrame, DataFrame]:
-    edges = _changes(spark, sf).where("entered_needs_you").withColumn("alert_at", F.col("ts"))
+    edges = registry_stream.edges_of(_changes(spark, sf), "ts")
     return edges, alerts.throttle(edges, COOLDOWN)
 
 
@@ -590,7 +591,8 @@ def alert_throttle(spark, sf):
 SELECT c.logical_key, epoch_us(f.ts) AS at_us,
   CASE WHEN c.source = 'codex' THEN 'Codex' ELSE 'Claude Code' END || ' needs you — ' || CASE user_id % 4 WHEN 1 THEN c.project WHEN 3 THEN c.project ELSE 'p' || (user_id % 10) END AS title,
   '[' || c.machine || '] ' || coalesce(c.needs_user_reason, 'waiting on your input') AS body
-FROM fired f JOIN chg c ON c.logical_key = f.logical_key AND c.ts = f.ts AND c.entered_needs_you""")
+FROM fired f JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY logical_key, ts ORDER BY arrival DESC) AS last FROM chg WHERE entered_needs_you) WHERE last = 1) c
+  ON c.logical_key = f.logical_key AND c.ts = f.ts""")
 def alert_view(spark, sf):
     edges, fired = _fired(spark, sf)
     return views.alert_view(edges.join(fired, ["logical_key", "alert_at"])).select("logical_key", us("alert_at").alias("at_us"), "title", "body")
@@ -791,18 +793,104 @@ def stream_tracking(spark, sf):
                                     "parse_errors", "sidechain_records")
 
 
-@query(O.OBS, "SELECT machine, agent_id, CASE WHEN decays AND silent30 THEN 'stale' ELSE status END AS status, last_activity FROM aged WHERE NOT silent24")
+_RUNS: dict[tuple[str, str], str] = {}
+BATCHES = 3
+
+
+def _registry_run(spark, sf) -> str:
+    """The registry stream over thirds of the observations, with real limits and the sweep on; one run per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        root, out = new_folder(spark, "snapshots"), new_folder(spark, "registry")
+        obs = S.observations(spark, sf).withColumnRenamed("ts", "received_at").withColumnRenamed("arrival", "sent")
+        top = obs.agg(F.max("sent")).first()[0]
+        clock = lambda batch: batch.agg(F.max("received_at").alias("now"))
+        for part in range(BATCHES):
+            low, high = top * part // BATCHES if part else -1, top * (part + 1) // BATCHES
+            obs.where((F.col("sent") > low) & (F.col("sent") <= high)).write.mode("append").parquet(root)
+            stream = spark.readStream.schema(obs.schema).parquet(root)
+            registry_stream.run_registry(stream, out, ["sent"], clock=clock).awaitTermination()
+            if not part:
+                first = registry_stream.opening(spark, out)
+                first.write.parquet(f"{out}/opening")
+        _RUNS[key] = out
+    return _RUNS[key]
+
+
+def _stream_sql() -> str:
+    """The same run in SQL: rows, changes, newest rows and survivors of each batch."""
+    same = "{'s': status, 'n': needs_user, 't': current_task, 'r': needs_user_reason, 'l': last_activity}"
+    carried = "agent_id, source, machine, project, norm, status, current_task, needs_user, needs_user_reason, last_activity, act"
+    parts = ["edge AS (SELECT max(event_id) AS top FROM events)"]
+    for i in range(BATCHES):
+        low = f"top * {i} // {BATCHES}" if i else "-1"
+        stored = f"SELECT {carried}, false AS live, NULL AS arrival, NULL AS ts FROM kept{i - 1} UNION ALL " if i else ""
+        parts.append(f"""
+rows{i} AS (SELECT {carried}, true AS live, arrival, ts FROM obs, edge WHERE arrival > {low} AND arrival <= top * {i + 1} // {BATCHES}),
+now{i} AS (SELECT max(ts) AS now FROM rows{i}),
+all{i} AS (SELECT *, lag({same}) OVER w AS was, row_number() OVER w AS rn FROM ({stored}SELECT * FROM rows{i}) WINDOW w AS (PARTITION BY machine, source, agent_id ORDER BY live, arrival)),
+step{i} AS (SELECT *, machine || '/' || source || '/' || agent_id AS key, source || '/' || agent_id AS logical_key, was.s AS from_status, rn = 1 OR was.s <> status AS status_changed,
+  needs_user AND NOT coalesce(was.n, false) AS entered FROM all{i} WHERE live),
+new{i} AS (SELECT * EXCLUDE (r) FROM (SELECT {carried}, row_number() OVER (PARTITION BY machine, source, agent_id ORDER BY live DESC, arrival DESC) AS r FROM all{i}) WHERE r = 1),
+age{i} AS (SELECT *, machine || '/' || source || '/' || agent_id AS key, source || '/' || agent_id AS logical_key, now, act IS NULL OR now - act >= INTERVAL 24 HOUR AS gone,
+  status NOT IN ('stale', 'done', 'needs_you', 'failed') AND (act IS NULL OR now - act >= INTERVAL 30 MINUTE) AS staled FROM new{i}, now{i}),
+kept{i} AS (SELECT * REPLACE (CASE WHEN staled THEN 'stale' ELSE status END AS status) FROM age{i} WHERE NOT gone)""")
+    union = lambda sql: " UNION ALL ".join(sql.replace("#", str(i)) for i in range(BATCHES))
+    parts.append("hist AS (" + union("""SELECT # AS batch_id, 1 AS phase, key, last_activity AS at, from_status, status AS to_status FROM step# WHERE status_changed
+      UNION ALL SELECT #, 2, key, strftime(now, '%Y-%m-%dT%H:%M:%S.%gZ'), NULL, 'stale' FROM age# WHERE staled AND NOT gone""") + ")")
+    parts.append("fd AS (" + union(f"""SELECT # AS batch_id, 1 AS phase, arrival, 'upsert' AS event, key, logical_key, machine, status FROM step# WHERE rn = 1 OR was <> {same}
+      UNION ALL SELECT #, 2, row_number() OVER (ORDER BY key), CASE WHEN gone THEN 'removed' ELSE 'upsert' END, key, logical_key, machine, CASE WHEN staled THEN 'stale' ELSE status END
+      FROM age# WHERE gone OR staled""") + ")")
+    parts.append("edges AS (" + union("SELECT logical_key, ts, arrival, source, project, machine, needs_user_reason FROM step# WHERE entered") + ")")
+    return ",".join(parts)
+
+
+_STREAM = _stream_sql()
+_FIRES = """
+al AS (SELECT DISTINCT logical_key, ts FROM edges),
+nx AS (SELECT a.logical_key, a.ts, min(b.ts) AS nxt FROM al a LEFT JOIN al b ON a.logical_key = b.logical_key AND b.ts >= a.ts + INTERVAL 120 SECOND GROUP BY 1, 2),
+fired AS (
+  SELECT logical_key, min(ts) AS ts FROM al GROUP BY 1
+  UNION ALL SELECT f.logical_key, nx.nxt FROM fired f JOIN nx ON nx.logical_key = f.logical_key AND nx.ts = f.ts WHERE nx.nxt IS NOT NULL
+)"""
+
+
+@query(O.OBS, _STREAM, "SELECT machine, agent_id, status, last_activity FROM kept2")
 def stream_registry(spark, sf):
-    root, out = new_folder(spark, "snapshots"), new_folder(spark, "registry")
-    obs = S.observations(spark, sf).withColumnRenamed("ts", "received_at").withColumnRenamed("arrival", "sent")
-    # three landed files in arrival order, one per trigger
-    top = obs.agg(F.max("sent")).first()[0]
-    for part in range(3):
-        low, high = top * part // 3, top * (part + 1) // 3
-        obs.where((F.col("sent") > low if part else F.col("sent") >= 0) & (F.col("sent") <= high)).coalesce(1).write.mode("append").parquet(root)
-    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(root)
-    now = S.now_of(spark, sf)
-    # sweep only once all rows are in: a sweep at a later time than the rows would drop live sessions
-    run_registry(stream, out, ["sent"], now=lambda: now, keep=timedelta(days=36500), stale=timedelta(days=36500)).awaitTermination()
-    current = registry_sessions(spark, out)
-    return registry.retained(registry.mark_stale(current, now), now).select("machine", "agent_id", "status", "last_activity")
+    return registry_stream.sessions(spark, _registry_run(spark, sf)).select("machine", "agent_id", "status", "last_activity")
+
+
+@query(O.OBS, _STREAM, 'SELECT batch_id, phase, key, "at", from_status, to_status FROM hist')
+def stream_history(spark, sf):
+    log = registry_stream.history(spark, _registry_run(spark, sf))
+    return log.select(F.col("batch_id").cast("int").alias("batch_id"), "phase", "key", "at", "from_status", "to_status")
+
+
+@query(O.OBS, _STREAM, "SELECT batch_id, phase, event, key, status FROM fd")
+def stream_feed(spark, sf):
+    rows = registry_stream.read_feed(spark, _registry_run(spark, sf))
+    return rows.select(F.col("batch_id").cast("int").alias("batch_id"), "phase", "event", "key", "status")
+
+
+@query(O.OBS, _STREAM, O.LOGICAL.replace("FROM cur", "FROM kept0").replace("INTERVAL 5 DAY", "INTERVAL 90 SECOND"), """
+v AS (SELECT * FROM fd WHERE batch_id > 0 UNION ALL SELECT 0, 3, 0, 'full', machine || '/' || source || '/' || agent_id, logical_key, machine, status FROM logical),
+sh AS (SELECT logical_key, arg_max({'k': key, 'm': machine, 's': status, 'o': {'b': batch_id, 'p': phase, 'a': arrival}}, {'b': batch_id, 'p': phase, 'a': arrival}) AS w
+  FROM v WHERE event <> 'removed' GROUP BY 1)""", """
+SELECT logical_key, w.k AS key, w.m AS machine, w.s AS status FROM sh
+WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.event = 'removed' AND v.key = sh.w.k AND {'b': batch_id, 'p': phase, 'a': arrival} > sh.w.o)""")
+def stream_card_view(spark, sf):
+    out = _registry_run(spark, sf)
+    first = spark.read.parquet(f"{out}/opening")  # a reader that came after the first batch
+    columns = ["batch_id", "phase", "arrival", "event", "key", "logical_key", "machine", "status"]
+    rows = first.select(*columns).unionByName(registry_stream.read_feed(spark, out, after=0).select(*columns))
+    return feed.card_view(rows, *registry.STREAM_ORDER).select("logical_key", "key", "machine", "status")
+
+
+@query(O.OBS, _STREAM, _FIRES, """
+SELECT f.logical_key, epoch_us(f.ts) AS at_us, CASE WHEN e.source = 'codex' THEN 'Codex' ELSE 'Claude Code' END AS name,
+  '[' || e.machine || '] ' || coalesce(e.needs_user_reason, 'waiting on your input') AS body
+FROM fired f JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY logical_key, ts ORDER BY arrival DESC) AS last FROM edges) WHERE last = 1) e
+  ON e.logical_key = f.logical_key AND e.ts = f.ts""")
+def stream_alerts(spark, sf):
+    log = registry_stream.read_log(spark, f"{_registry_run(spark, sf)}/alerts", registry_stream.ALERTS)
+    return log.select("logical_key", us("fired_at").alias("at_us"), F.substring_index("title", " needs", 1).alias("name"), "body")

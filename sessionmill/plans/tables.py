@@ -9,7 +9,10 @@ re-read of a file. The tables go when the application ends.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPE = threading.local()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sessionmill/{name}-{uuid.uuid4().hex}"
+    base = getattr(_SCOPE, "folder", None) or f"{shared_folder(spark)}/sessionmill"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _hadoop(spark, folder)
+    fs.delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside (by this thread) are removed on leaving: for steps that repeat, like micro-batches."""
+    before, folder = getattr(_SCOPE, "folder", None), new_folder(spark, "scratch")
+    _SCOPE.folder = folder
+    try:
+        yield
+    finally:
+        _SCOPE.folder = before
+        remove(spark, folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,8 +66,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    fs, folder = _hadoop(spark, path)
+    fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

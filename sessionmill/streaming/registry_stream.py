@@ -2,8 +2,15 @@
 
 Each step reads the newest registry version below its own batch id, classifies
 the batch against it, runs the housekeeping sweep, and writes changes,
-transitions, fired alerts and the next registry version. All folders are named
-by batch id, so a replayed batch rewrites the same result.
+transitions, fired alerts, the next registry version and the last fire of each
+session. All folders are named by batch id, and the time a step runs at is
+written before anything else, so a replayed batch rewrites the same result.
+
+Feed and history rows carry a total order (``registry.STREAM_ORDER``): batch,
+phase (changes before the sweep, an opening state last), row.
+
+Intermediate tables go at the end of each step, versions older than the last
+two as well.
 """
 
 from __future__ import annotations
@@ -18,11 +25,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sessionmill import contracts as C
 from sessionmill.functions.times import micros
-from sessionmill.operators import alerts, feed, registry
-from sessionmill.plans.tables import materialize
-from sessionmill.streaming.sinks import newest_version, read_log, write_batch
+from sessionmill.operators import alerts, entities, feed, registry, views
+from sessionmill.plans.tables import materialize, scratch
+from sessionmill.streaming.sinks import expire_versions, newest_version, read_log, write_batch
 
-ALERTS = T.StructType([T.StructField("logical_key", T.StringType()), T.StructField("fired_at", T.TimestampType())])
+SESSIONS = T.StructType(C.SNAPSHOT.fields)
+FIRED = T.StructType([T.StructField("logical_key", T.StringType()), T.StructField("fired_at", T.TimestampType())])
+ALERTS = T.StructType([*FIRED.fields, *[T.StructField(c, T.StringType()) for c in ("key", "source", "project", "machine", "needs_user_reason", "title", "body")]])
+_PLACE = [T.StructField("phase", T.IntegerType()), T.StructField("arrival", T.LongType())]
+HISTORY = T.StructType([*[T.StructField(c, T.StringType()) for c in ("key", "at", "from_status", "to_status")], *_PLACE])
+FEED = T.StructType([*SESSIONS.fields, *[T.StructField(c, T.StringType()) for c in ("event", "key", "logical_key")], *_PLACE])
+CHANGED, SWEPT, OPENING = 1, 2, 3
 
 
 def number_arrivals(batch: DataFrame, *order: str) -> DataFrame:
@@ -30,6 +43,18 @@ def number_arrivals(batch: DataFrame, *order: str) -> DataFrame:
     return batch.orderBy(*order).withColumn("arrival", F.monotonically_increasing_id())
 
 
+def _version(spark: SparkSession, path: str, before: int, schema: T.StructType) -> DataFrame:
+    version = newest_version(spark, path, before)
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/batch_id={version}")
+
+
+def edges_of(changes: DataFrame, at: str, order: str = "arrival") -> DataFrame:
+    """One row per logical session and instant at which some machine began to need the user (the last such row)."""
+    kept = ["key", "source", "project", "machine", "needs_user_reason"]
+    rows = changes.where("entered_needs_you").groupBy("logical_key", F.col(at).alias("alert_at"))
+    return rows.agg(F.max_by(F.struct(*kept), order).alias("w")).select("logical_key", "alert_at", "w.*")
+
+
 def apply_batch(
     spark: SparkSession,
     batch: DataFrame,
@@ -41,48 +66,67 @@ def apply_batch(
     cooldown: timedelta = C.ALERT_COOLDOWN,
 ) -> None:
     """One registry step. ``batch``: snapshot columns plus ``arrival`` and ``received_at``."""
-    columns = [f.name for f in C.SNAPSHOT.fields]
-    schema = T.StructType(C.SNAPSHOT.fields)
-    version = newest_version(spark, f"{out}/sessions", batch_id)
-    stored = (
-        spark.createDataFrame([], schema) if version is None
-        else spark.read.schema(schema).parquet(f"{out}/sessions/batch_id={version}")
-    )
+    with scratch(spark):
+        _apply(spark, batch, batch_id, out, now, stale, keep, cooldown)
+    for versioned in ("sessions", "last_fired"):
+        expire_versions(spark, f"{out}/{versioned}", batch_id)
+
+
+def _apply(spark, batch, batch_id, out, now, stale, keep, cooldown) -> None:
+    columns = [f.name for f in SESSIONS.fields]
+    stored = _version(spark, f"{out}/sessions", batch_id, SESSIONS)
     # every later step reads the classified batch; write it once
-    changes = materialize(registry.registry_changes(batch, stored=stored), "changes")
+    changes = materialize(registry.registry_changes(batch, stored=stored).withColumn("phase", F.lit(CHANGED)), "changes")
     visible = changes.where(F.col("change_type") != "unchanged")
-    merged = stored.withColumn("arrival", F.lit(-1).cast("bigint")).unionByName(visible.select(*columns, "arrival"))
-    newest = registry.latest(merged).select(*columns)
-    sweep = registry.housekeeping(newest, now, stale, keep)
+    merged = stored.withColumn("place", F.lit(None).cast("bigint")).unionByName(visible.select(*columns, F.col("arrival").alias("place")))
+    newest = materialize(registry.latest(merged.withColumn("place", F.struct(F.col("place").isNotNull(), "place")), "place").select(*columns), "newest")
+    sweep = materialize(number_arrivals(registry.housekeeping(newest, now, stale, keep), "key").withColumn("phase", F.lit(SWEPT)), "sweep")
     write_batch(feed.change_feed(changes, sweep), f"{out}/feed", batch_id)
-    history = registry.transitions(changes).unionByName(
-        sweep.where(F.col("event") == "upsert").select("key", "at", "from_status", "to_status"), allowMissingColumns=True)
-    write_batch(history, f"{out}/transitions", batch_id)
-
-    edges = changes.where("entered_needs_you").select("logical_key", F.col("received_at").alias("alert_at"))
-    earlier = read_log(spark, f"{out}/alerts", ALERTS, before=batch_id).where(
-        F.unix_micros("fired_at") > F.unix_micros(now) - 2 * micros(cooldown)
-    ).groupBy("logical_key").agg(F.max("fired_at").alias("fired_at"))
-    fired = alerts.throttle(edges, cooldown, last_fired=earlier)
-    write_batch(fired.withColumnRenamed("alert_at", "fired_at"), f"{out}/alerts", batch_id)
+    swept = sweep.where(F.col("event") == "upsert").select("key", "at", "from_status", "to_status", "phase", "arrival")
+    write_batch(registry.transitions(changes, "phase", "arrival").unionByName(swept), f"{out}/transitions", batch_id)
+
+    edges = materialize(edges_of(changes, "received_at"), "edges")
+    earlier = _version(spark, f"{out}/last_fired", batch_id, FIRED)
+    fired = materialize(alerts.throttle(edges, cooldown, last_fired=earlier), "fired")
+    told = views.alert_view(edges.join(fired, ["logical_key", "alert_at"])).withColumnRenamed("alert_at", "fired_at")
+    write_batch(told.select(*[f.name for f in ALERTS.fields]), f"{out}/alerts", batch_id)
+    # a fire matters as long as an alert of a later batch can fall into its cooldown; rows arrive in time order by batch
+    oldest = F.unix_micros(batch.agg(F.min("received_at")).scalar())
+    last = earlier.unionByName(fired.withColumnRenamed("alert_at", "fired_at")).groupBy("logical_key").agg(F.max("fired_at").alias("fired_at"))
+    write_batch(last.where(F.unix_micros("fired_at") + micros(cooldown) > oldest), f"{out}/last_fired", batch_id)
 
     kept = registry.retained(registry.mark_stale(newest, now, stale), now, keep).select(*columns)
     write_batch(kept, f"{out}/sessions", batch_id)
 
 
+def _wall_clock(batch: DataFrame) -> DataFrame:
+    return batch.sparkSession.range(1).select(F.current_timestamp().alias("now"))
+
+
+def step_time(batch: DataFrame, batch_id: int, out: str, clock: Callable[[DataFrame], DataFrame] = _wall_clock) -> Column:
+    """The time of a step: taken once, read again on replay."""
+    spark, path = batch.sparkSession, f"{out}/clock"
+    if newest_version(spark, path, batch_id + 1) != batch_id:
+        write_batch(clock(batch).toDF("now"), path, batch_id)
+        expire_versions(spark, path, batch_id)
+    return F.timestamp_micros(F.lit(spark.read.parquet(f"{path}/batch_id={batch_id}").select(F.unix_micros("now")).first()[0]))
+
+
 def run_registry(
     snapshots: DataFrame,
     out: str,
     order: list[str],
-    now: Callable[[], Column] = F.current_timestamp,
+    clock: Callable[[DataFrame], DataFrame] = _wall_clock,
     trigger: dict | None = None,
     **limits: timedelta,
 ) -> StreamingQuery:
-    """Start the registry stream; ``order`` names the columns that give arrival order inside a trigger."""
+    """Start the registry stream; ``order`` names the columns that give arrival order inside a trigger, ``clock`` makes
+    the one row of a step's time from its batch."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        numbered = materialize(number_arrivals(batch, *order), "arrivals")
-        apply_batch(spark, numbered, batch_id, out, now(), **limits)
+        with scratch(spark):
+            numbered = materialize(number_arrivals(batch, *order), "arrivals")
+            apply_batch(spark, numbered, batch_id, out, step_time(numbered, batch_id, out, clock), **limits)
 
     return (
         snapshots.writeStream.foreachBatch(step)
@@ -93,7 +137,22 @@ def run_registry(
 
 def sessions(spark: SparkSession, out: str) -> DataFrame:
     """Newest registry version."""
+    return _version(spark, f"{out}/sessions", 1 << 62, SESSIONS)
+
+
+def history(spark: SparkSession, out: str) -> DataFrame:
+    """All status changes with their place in ``registry.STREAM_ORDER``."""
+    return read_log(spark, f"{out}/transitions", HISTORY)
+
+
+def opening(spark: SparkSession, out: str, overlap: timedelta = C.OVERLAP_WINDOW) -> DataFrame:
+    """What a reader gets first: the logical sessions of the newest version as full rows behind its batch."""
     version = newest_version(spark, f"{out}/sessions", 1 << 62)
-    if version is None:
-        return spark.createDataFrame([], T.StructType(C.SNAPSHOT.fields))
-    return spark.read.schema(T.StructType(C.SNAPSHOT.fields)).parquet(f"{out}/sessions/batch_id={version}")
+    merged = entities.logical_sessions(sessions(spark, out), overlap).drop("logical_key")
+    at = {"batch_id": F.lit(-1 if version is None else version).cast("bigint"), "phase": F.lit(OPENING), "arrival": F.lit(0).cast("bigint")}
+    return feed.full_state(merged, **at)
+
+
+def read_feed(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
+    """Feed rows of the batches after ``after``; a late reader takes ``opening`` and goes on from its batch."""
+    return read_log(spark, f"{out}/feed", FEED).where(F.col("batch_id") > after)

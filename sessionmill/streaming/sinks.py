@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionmill.plans.tables import remove
+
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -47,6 +49,15 @@ def newest_version(spark: SparkSession, path: str, before: int) -> int | None:
     return max(ids, default=None)
 
 
+def expire_versions(spark: SparkSession, path: str, newest: int, keep: int = 2) -> None:
+    """Remove versions that no replay can ask for: all below the ``keep`` newest up to ``newest``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    ids = sorted(int(n.split("=", 1)[1]) for n in (f.getPath().getName() for f in fs.listStatus(p)) if n.startswith("batch_id="))
+    for i in [i for i in ids if i <= newest][:-keep]:
+        remove(spark, f"{path}/batch_id={i}")
+
+
 def current(log: DataFrame, keys: list[str]) -> DataFrame:
     """Newest row per key of an update log."""
     rest = [c for c in log.columns if c not in (*keys, "batch_id")]
