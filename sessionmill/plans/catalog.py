@@ -154,6 +154,18 @@ def complete_lines(spark, sf):
     return TR.complete_lines(docs).select("doc_id", "line", "value")
 
 
+@query("""pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS line,
+  len(string_split(text, chr(10))) AS n FROM documents)""", """
+SELECT doc_id, value, count(*) AS n FROM pieces WHERE line < n - 1 AND value <> '' GROUP BY 1, 2""")
+def carried_lines(spark, sf):
+    """Texts landed in chunks of 700 characters, cut anywhere, give the lines of the whole text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text <> ''")
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 700).cast("int"))
+    chunks = docs.select("doc_id", "text", F.explode(starts).alias("seq")).select(
+        "doc_id", "seq", F.col("text").substr(F.col("seq") * 700 + 1, F.lit(700)).alias("value"))
+    return TR.carried_lines(chunks, ["doc_id"], "seq").groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
 @query(O.FX, """
 SELECT file AS session_id, CASE WHEN event_type = 'error' THEN 'prompt' ELSE 'resolution' END AS kind,
   CASE WHEN event_type = 'error' THEN 'Needs your PERMISSION to use ' || (event_id % 4) ELSE '' END AS message, event_id AS ord
@@ -191,11 +203,17 @@ def owned_messages(spark, sf):
 @query(O.FX, O.MSG, f"""
 SELECT source, file, message_id, epoch_us(ts) AS ts_us, {SQL_TOK}, CAST(tin + tout + tread + twrite AS BIGINT) AS total_tokens
 FROM uev WHERE ts <= (SELECT now - INTERVAL 1 DAY FROM nowt)""")
-def usage_events(spark, sf):
+def past_usage_events(spark, sf):
+    """What was known a day before the newest event: later ones are future events there."""
     now = F.lit(S.latest_time(spark, sf) - timedelta(days=1))
-    events = usage.usage_events(S.records(spark, sf)).where(F.col("ts") <= now)
-    return events.select("source", "file", "message_id", us("ts").alias("ts_us"), *tokens(),
-                         usage.total_tokens(F.col("tokens")).alias("total_tokens"))
+    return usage_events(spark, sf).where(F.col("ts_us") <= F.unix_micros(now))
+
+
+@query(O.FX, O.MSG, f"""
+SELECT source, file, message_id, epoch_us(ts) AS ts_us, {SQL_TOK}, CAST(tin + tout + tread + twrite AS BIGINT) AS total_tokens FROM uev""")
+def usage_events(spark, sf):
+    return usage.usage_events(S.records(spark, sf)).select(
+        "source", "file", "message_id", us("ts").alias("ts_us"), *tokens(), usage.total_tokens(F.col("tokens")).alias("total_tokens"))
 
 
 def _accounts(spark, sf) -> DataFrame:

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionmill.contracts import SOURCE_A, SOURCE_B, SUBAGENT_DIR
 from sessionmill.functions import variants as V
 
-# Broadcast limit for the root table: roots are configuration, never data.
-MAX_ROOTS = 10_000
-
 
 def existing_roots(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
     """Drop roots that do not exist; a missing root is not an error."""
@@ -35,17 +32,26 @@ def _outer_roots(roots: list[tuple[str, str]]) -> list[str]:
 def tag_source(files: DataFrame, roots: Iterable[tuple[str, str]], path: str = "path") -> DataFrame:
     """Add ``source`` from the deepest root that contains the file; others are dropped.
 
-    Roots are compared by whole path components. The choice is one ``coalesce``
-    of prefix tests, deepest first, so it needs no join.
+    Roots are compared by whole path components: one equi-join for each depth at which roots lie, deepest first wins.
+    Works on streams and for any number of roots.
     """
-    roots = list(roots)
-    if len(roots) > MAX_ROOTS:
-        raise ValueError(f"{len(roots)} roots; at most {MAX_ROOTS} are supported")
-    deepest_first = sorted(roots, key=lambda r: len([p for p in r[0].split("/") if p]), reverse=True)
-    tests = [F.when(F.col(path).startswith(root.rstrip("/") + "/"), F.lit(source)) for root, source in deepest_first]
-    if not tests:
+    by_depth: dict[int, dict[str, str]] = {}
+    for root, source in roots:
+        plain = root.rstrip("/")
+        by_depth.setdefault(plain.count("/"), {})[plain] = source
+    parts, found = F.split(path, "/"), []
+    out = files
+    for depth, known in sorted(by_depth.items(), reverse=True):
+        at, name = f"__root{depth}", f"__source{depth}"
+        table = files.sparkSession.createDataFrame(list(known.items()), f"{at} string, {name} string")
+        # a file lies below its folder, so the folder's own path is shorter than the file's
+        folder = F.when(F.size(parts) > depth + 1, F.array_join(F.slice(parts, 1, depth + 1), "/"))
+        out = out.withColumn("__folder", folder).join(table, F.col("__folder") == F.col(at), "left").drop("__folder", at)
+        found.append(F.col(name))
+    if not found:
         return files.withColumn("source", F.lit(None).cast("string")).where(F.lit(False))
-    return files.withColumn("source", F.coalesce(*tests)).where(F.col("source").isNotNull())
+    tagged = out.withColumn("source", F.coalesce(*found)).where(F.col("source").isNotNull())
+    return tagged.select(*[c for c in files.columns if c != "source"], "source")
 
 
 def is_subagent(path: Column) -> Column:
@@ -57,39 +63,65 @@ def is_subagent(path: Column) -> Column:
 def complete_lines(chunks: DataFrame, value: str = "value") -> DataFrame:
     """Split whole chunks into complete lines: ``line`` number and text.
 
-    What follows the last newline is not complete and is dropped, one trailing
+    What follows the last newline is not complete and is left out, one trailing
     carriage return is stripped, empty lines are skipped.
     """
     pieces = F.split(F.col(value), "\n", -1)
+    return _as_lines(chunks.select("*", F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("line", "__text")), value)
+
+
+def _as_lines(rows: DataFrame, value: str) -> DataFrame:
     return (
-        chunks.select("*", F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("line", "__text"))
-        .where(F.col("__text") != "")
+        rows.where(F.col("__text") != "")
         .withColumn("line", F.col("line").cast("bigint"))
         .withColumn(value, F.regexp_replace("__text", "\r$", ""))
         .drop("__text")
     )
 
 
+def carried_lines(chunks: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
+    """Complete lines of chunks that follow each other under ``keys``: a line may go on in the next chunk.
+
+    The text behind a chunk's last newline is put in front of the next chunk, whose line 0 it completes; a chunk
+    without any newline goes on as a whole. Only the text behind the last newline of the newest chunk is withheld:
+    its writer may still add to it. Lines inside a chunk stay where they are; only the pieces at its edges are shuffled.
+    """
+    pieces = F.split(F.col(value), "\n", -1)
+    kept = [c for c in chunks.columns if c != value]
+    inner = chunks.withColumn("__pieces", pieces).where(F.size("__pieces") > 2)
+    inner = inner.select(*kept, F.posexplode(F.slice("__pieces", 2, F.size("__pieces") - 2)).alias("line", "__text")).withColumn("line", F.col("line") + 1)
+    edges = chunks.select(*kept, pieces.alias("__pieces")).select(
+        *kept, (F.size("__pieces") > 1).alias("__cut"), F.element_at("__pieces", 1).alias("__head"), F.element_at("__pieces", -1).alias("__tail"))
+    in_order = Window.partitionBy(*keys).orderBy(order)
+    # tails since the last newline before this chunk: those with the same number of cut chunks behind them
+    seen = edges.withColumn("__group", F.sum(F.col("__cut").cast("int")).over(in_order))
+    carry = seen.groupBy(*keys, (F.col("__group") + 1).alias("__group")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "__tail"))), lambda x: x["__tail"]), "").alias("__carry"))
+    first = seen.where("__cut").join(carry, [*keys, "__group"], "left").select(
+        *kept, F.lit(0).alias("line"), F.concat(F.coalesce("__carry", F.lit("")), "__head").alias("__text"))
+    return _as_lines(inner.unionByName(first), value)
+
+
 def _plain_path(col: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.regexp_replace(col, r"\+", "%2B")), r"^file:(//)?", "")
 
 
 def _landed(raw: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:
+    """Chunks with file, source, seq and text: ``<session>/<seq>.jsonl``, or any other ``.jsonl`` as a session of one chunk."""
     parts = F.split("path", "/")
     tagged = tag_source(raw.withColumn("path", _plain_path(F.col("path"))), roots)
-    named = (
-        tagged.withColumn("file", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
-        .withColumn("seq", F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.jsonl$", 1).try_cast("bigint"))
-        .where(F.col("seq").isNotNull() & ~is_subagent(F.col("file")) & ~is_subagent(F.col("path")))
-    )
-    return complete_lines(named).select("file", "source", "seq", "line", "value")
+    seq = F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.jsonl$", 1).try_cast("bigint")
+    folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    named = tagged.withColumn("seq", seq).withColumn("file", F.when(F.col("seq").isNotNull(), folder).otherwise(F.col("path")))
+    named = named.where(~is_subagent(F.col("file")) & ~is_subagent(F.col("path")))
+    return named.select("file", "source", F.coalesce("seq", F.lit(0)).alias("seq"), "value")
 
 
 def read_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFrame:
-    """Landed transcripts: ``<root>/.../<session>/<seq>.jsonl``, immutable chunks.
+    """Landed transcripts: ``<root>/.../<session>/<seq>.jsonl``, immutable chunks, or ``<root>/.../<session>.jsonl``.
 
-    Shippers cut chunks at line ends and keep them to tens of megabytes, so a
-    chunk is read as one value and the line number inside it is exact.
+    Shippers keep chunks to tens of megabytes, so a chunk is read as one value and the line number inside it
+    is exact. Chunks may be cut anywhere: see :func:`carried_lines`.
     """
     roots = existing_roots(spark, roots)
     raw = (
@@ -98,11 +130,12 @@ def read_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFr
         .load(_outer_roots(roots))
         .select("value", F.col("_metadata.file_path").alias("path"))
     ) if roots else spark.createDataFrame([], "value string, path string")
-    return _landed(raw, roots)
+    return carried_lines(_landed(raw, roots), ["file", "source"], "seq").select("file", "source", "seq", "line", "value")
 
 
 def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_files: int = 1000) -> DataFrame:
-    """:func:`read_chunks` as a stream: each landed chunk is delivered once."""
+    """:func:`read_chunks` as a stream: each landed chunk is delivered once; chunks must end at line ends here, since
+    a trigger sees a chunk without its neighbours."""
     roots = existing_roots(spark, roots)
     if not roots:
         raise ValueError("no transcript root exists yet")
@@ -115,7 +148,7 @@ def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_fil
             .load(root)
             .select("value", F.col("_metadata.file_path").alias("path"))
         )
-        part = _landed(raw, roots)
+        part = complete_lines(_landed(raw, roots)).select("file", "source", "seq", "line", "value")
         out = part if out is None else out.unionByName(part)
     return out
 

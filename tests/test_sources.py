@@ -29,7 +29,40 @@ def test_chunks(spark, tmp_path):
     roots = [(a, "claude-code"), (deep, "codex"), (f"{tmp_path}/missing", "codex")]
     rows = TR.read_chunks(spark, roots).orderBy("file", "seq", "line").collect()
     assert [(r.source, r.seq, r.line, r.value) for r in rows] == [
-        ("codex", 0, 0, "b"), ("claude-code", 0, 0, "one"), ("claude-code", 0, 2, "  "), ("claude-code", 0, 3, "two"), ("claude-code", 2, 0, "bad \ufffd byte"), ("claude-code", 10, 0, "late")]
+        ("codex", 0, 0, "b"), ("claude-code", 0, 0, "one"), ("claude-code", 0, 2, "  "), ("claude-code", 0, 3, "two"), ("claude-code", 2, 0, "partbad \ufffd byte"), ("claude-code", 10, 0, "late")]
+
+
+def test_lines_cut_anywhere_are_put_together(spark, tmp_path):
+    """Chunks of random length, some without any newline; the end of the newest chunk is withheld."""
+    import random
+
+    rnd, root, want = random.Random(5), f"{tmp_path}/r", {}
+    for session in ("s1", "s2", "s3"):
+        text = "".join("x" * rnd.randrange(12) + str(i) + "\n" for i in range(60)) + "unfinished"
+        want[session] = text.split("\n")[:-1]
+        at = seq = 0
+        while at < len(text):
+            size = rnd.choice([1, 2, 7, 40])
+            land(root, session, seq, text[at:at + size])
+            at, seq = at + size, seq + rnd.randrange(1, 3)
+    rows = TR.read_chunks(spark, [(root, "codex")]).orderBy("file", "seq", "line").collect()
+    for session, lines_ in want.items():
+        assert [r.value for r in rows if r.file.endswith(session)] == lines_
+
+
+def test_a_file_named_otherwise_is_a_session_of_its_own(spark, tmp_path):
+    root = f"{tmp_path}/r"
+    land(root, "slug", "4f-ab", "one\ntwo\n")
+    land(root, "slug", "4f-ac", "three\n")
+    rows = TR.read_chunks(spark, [(root, "codex")]).orderBy("file", "line").collect()
+    assert [(os.path.basename(r.file), r.seq, r.value) for r in rows] == [("4f-ab.jsonl", 0, "one"), ("4f-ab.jsonl", 0, "two"), ("4f-ac.jsonl", 0, "three")]
+
+
+def test_any_number_of_roots(spark):
+    roots = [(f"/r/{i}/x", f"s{i}") for i in range(3000)] + [("/r", "rest"), ("/r/7", "seven/")]
+    files = spark.createDataFrame([("/r/5/x/a.jsonl",), ("/r/5/xx/a.jsonl",), ("/r/7/y/b.jsonl",), ("/q/a.jsonl",), ("/r",)], "path string")
+    assert {r.path: r.source for r in TR.tag_source(files, roots).collect()} == {
+        "/r/5/x/a.jsonl": "s5", "/r/5/xx/a.jsonl": "rest", "/r/7/y/b.jsonl": "seven/"}
 
 
 def test_nested_roots_are_read_once(spark, tmp_path):
