@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ LENGTH = 2048
 OPEN_BINS = 4096
 TASK_SEQUENCES = 4096
 SEPARATOR = 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 PIECES = "doc_id long, row long, piece int, start long, length int, ids_crc32 long, ids binary"
 
 
@@ -41,6 +42,11 @@ _IS_LATIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _SPACED, _BARE = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+"), re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each pair, one after the other."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class Encoder:
     """Token ids of texts by a ``tokenizers`` file of the byte-level BPE kind, which splits a text by PATTERN and encodes
     each part on its own.
@@ -56,18 +62,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.full = regex.compile(PATTERN)
-        self._forget()
+        self.known: dict[str, int] = {}
+        self.start, self.count, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 14, "<u4"), 0
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.count, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-        self.flat = np.zeros(1 << 14, "<u4")
+        """Keep the half of the parts that was used most; older uses count less and less."""
+        n = len(self.known)
+        stay = np.sort(np.argpartition(-self.hits[:n], CACHE_WORDS // 2)[:CACHE_WORDS // 2])
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(stay.tolist())}
+        start, count = self.start[stay], self.count[stay]
+        ids = self.flat[_ranges(start, count)]
+        self.flat[:len(ids)], self.used = ids, len(ids)
+        self.start[:len(stay)], self.count[:len(stay)] = np.cumsum(count) - count, count
+        self.hits[:len(stay)] = self.hits[stay] // 2
+        self.hits[len(stay):] = 0
 
     def _keep(self, parts: list[str], ids, counts: np.ndarray) -> None:
         """Add parts with their ids, which follow each other in ``ids``."""
         at = len(self.known)
         while at + len(parts) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.start, self.count, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.hits))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used:self.used + len(ids)] = ids
@@ -100,15 +116,14 @@ class Encoder:
             sizes.append(len(found))
         if len(self.known) > CACHE_WORDS:
             self._forget()
-        codes = list(map(self.known.get, parts))
-        missing = [k for k, c in enumerate(codes) if c is None]
+        at = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
             self._learn(list(dict.fromkeys([parts[k] for k in missing])))
-            for k in missing:
-                codes[k] = self.known[parts[k]]
-        at = np.array(codes, np.int64)
+            at[missing] = [self.known[parts[k]] for k in missing]
+        self.hits[:len(self.known)] += np.bincount(at, minlength=len(self.known))
         n = self.count[at]
-        ids = self.flat[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ids = self.flat[_ranges(self.start[at], n)]
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
         return np.split(ids, ends[:-1])
 
