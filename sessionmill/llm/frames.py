@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.plans.tables import materialize as store
 
-__all__ = ["components", "documents", "empty_text", "fresh_name", "keep_rows", "map_rows", "md5_of", "store", "streamed_groups"]
+__all__ = ["components", "documents", "empty_text", "fresh_name", "keep_rows", "map_rows", "md5_of", "small_batches", "store", "streamed_groups"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -22,6 +22,12 @@ def empty_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python in Arrow batches of bounded size: long texts would make the usual 10,000 rows large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name the frame does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -38,6 +44,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], s
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def singles(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sessionmill.llm.frames import fresh_name
+from sessionmill.llm.frames import fresh_name, small_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -198,6 +198,7 @@ def predictor(net: ByteConvNet):
 
 def identify(docs: DataFrame, net: ByteConvNet, name: str = "language") -> DataFrame:
     """``docs`` with one more column, a struct (lang, score)."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, predictor(net)(F.col("text")))
 
 

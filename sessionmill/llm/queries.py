@@ -78,7 +78,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train(docs, documents(spark, sf_dir, "labels"), id_hash(5) != 0)
-    scored = docs.select("doc_id", (id_hash(5) == 0).alias("held_out"), toxicity.scorer(model)("text").alias("score"))
+    scored = toxicity.score(docs, model).select("doc_id", (id_hash(5) == 0).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

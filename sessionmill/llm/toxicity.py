@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm import text as T
+from sessionmill.llm.frames import small_batches
 
 ORDERS = (4, 5, 6)
 BITS = 18
@@ -111,6 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SA
     return ScaledLinear().fit([r["text"] for r in got], np.array([r["toxic"] for r in got], int))
 
 
+def score(docs: DataFrame, model: ScaledLinear, name: str = "score") -> DataFrame:
+    """``docs`` with one more column: the probability that the whole text is toxic."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, scorer(model)("text"))
+
+
 def scorer(model: ScaledLinear):
     """A column function text -> probability of being toxic. Null counts as empty; an empty text gets the bias alone."""
     @F.pandas_udf("double")
