@@ -38,6 +38,16 @@ def utc_midnight(now: Column) -> Column:
     return F.date_trunc("day", now)
 
 
+def zone_midnight(now: Column, zone: Column) -> Column:
+    """:func:`local_midnight` as a column, for a time zone per row."""
+    wall = F.date_trunc("day", F.from_utc_timestamp(now, zone))
+    instant = F.to_utc_timestamp(wall, zone)
+    # of two instants with this wall time the earlier one; none at all when the clock jumps over it
+    earlier = F.to_utc_timestamp(wall - F.expr("INTERVAL 3 HOURS"), zone) + F.expr("INTERVAL 3 HOURS")
+    first = F.when((earlier < instant) & (F.from_utc_timestamp(earlier, zone) == wall), earlier).otherwise(instant)
+    return F.when(F.from_utc_timestamp(first, zone) == wall, first).otherwise(now - F.expr("INTERVAL 1 DAY"))
+
+
 def period_totals(
     events: DataFrame,
     models: DataFrame,
@@ -55,35 +65,28 @@ def period_totals(
     once per period without a distinct.
     """
     starts = period_starts(now, utc_midnight(now) if midnight is None else midnight)
-    priced = events.where(F.col("ts") <= now)
-    hit = {p: (F.lit(True) if p == "all" else F.col("ts") >= s) for p, s in starts.items()}
-    per_file = priced.groupBy(*scope, "source", "file").agg(*[
+    past = F.col("ts") <= now
+    hit = {p: past if p == "all" else past & (F.col("ts") >= s) for p, s in starts.items()}
+    per_file = events.groupBy(*scope, "source", "file").agg(*[
         F.struct(
             F.count_if(hit[p]).alias("messages"),
             *[F.coalesce(F.sum(F.when(hit[p], F.col(f"tokens.{f}"))), F.lit(0).cast("bigint")).alias(f) for f in C.TOKEN_FIELDS],
         ).alias(f"p_{p}") for p in starts
     ]).join(models.select("file", "model"), "file", "left")
     price = event_cost if cost is None else cost
-    long = per_file.select(
-        *scope, F.when(F.col("source") == C.SOURCE_B, C.SOURCE_B).otherwise(C.SOURCE_A).alias("source"),
-        F.explode(F.array(*[
-            F.struct(F.lit(p).alias("period"), F.col(f"p_{p}").alias("t"),
-                     price(F.col("source"), F.col("model"), F.col(f"p_{p}")).alias("cost"))
-            for p in starts])).alias("e"),
-    ).where(F.col("e.t.messages") > 0)
-    sums = long.groupBy(*scope, F.col("e.period").alias("period"), "source").agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum("e.t.messages").alias("messages"),
-        *[F.sum(f"e.t.{f}").alias(f) for f in C.TOKEN_FIELDS],
-        F.sum("e.cost").alias("est_cost_usd"),
-    )
-    grid = (
-        events.select(*scope).distinct()
-        .withColumn("period", F.explode(F.array(*[F.lit(p) for p in starts])))
-        .withColumn("source", F.explode(F.array(F.lit(C.SOURCE_A), F.lit(C.SOURCE_B))))
-    )
-    counters = ["sessions", "messages", *C.TOKEN_FIELDS]
-    return grid.join(sums, [*scope, "period", "source"], "left").select(
-        *scope, "period", "source", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counters], "est_cost_usd")
+    own = F.when(F.col("source") == C.SOURCE_B, C.SOURCE_B).otherwise(C.SOURCE_A)
+
+    def cell(p: str, source: str) -> Column:
+        """A file's counters under one period and source: its own, or nothing, which keeps the pair in the result."""
+        used = F.when((own == source) & (F.col(f"p_{p}.messages") > 0), F.col(f"p_{p}"))
+        return F.struct(F.lit(p).alias("period"), F.lit(source).alias("source"), used.alias("t"),
+                        F.when(used.isNotNull(), price(F.col("source"), F.col("model"), F.col(f"p_{p}"))).alias("cost"))
+
+    cells = per_file.select(*scope, F.explode(F.array(*[cell(p, s) for p in starts for s in (C.SOURCE_A, C.SOURCE_B)])).alias("e"))
+    zero = F.lit(0).cast("bigint")
+    return cells.groupBy(*scope, F.col("e.period").alias("period"), F.col("e.source").alias("source")).agg(
+        F.count("e.t").alias("sessions"),
+        *[F.coalesce(F.sum(f"e.t.{f}"), zero).alias(f) for f in ("messages", *C.TOKEN_FIELDS)], F.sum("e.cost").alias("est_cost_usd"))
 
 
 def usage_stats(totals: DataFrame, now: Column) -> DataFrame:

@@ -295,6 +295,23 @@ def period_totals(spark, sf):
     return _totals(spark, sf, scaled_cost).withColumn("cost_e8", F.col("est_cost_usd").cast("bigint")).drop("est_cost_usd")
 
 
+ZONES = {"wsl": "Europe/Berlin", "windows": "America/New_York"}
+
+
+@query(O.FX, O.MSG, """
+d AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -5 END AS shift FROM (SELECT u.*, CAST(substr(file, 2) AS BIGINT) AS user_id FROM uev u)),
+t AS (SELECT d.*, date_trunc('day', now + shift * INTERVAL 1 HOUR) - shift * INTERVAL 1 HOUR AS midnight, now FROM d, nowt)""", f"""
+SELECT CASE WHEN user_id % 2 = 0 THEN 'wsl' ELSE 'windows' END AS machine, epoch_us(midnight) AS since_us, source, count(DISTINCT file) AS sessions, count(*) AS messages,
+  CAST(sum(tin) AS BIGINT) AS input_tokens FROM t WHERE ts <= now AND ts >= midnight GROUP BY ALL""")
+def local_today(spark, sf):
+    """Usage since local midnight, each machine in its own zone."""
+    r, now = S.records(spark, sf), S.now_of(spark, sf)
+    zone = F.when(F.col("machine") == "wsl", ZONES["wsl"]).otherwise(ZONES["windows"])
+    events = usage.usage_events(r).withColumn("machine", machine_of()).withColumn("since", periods.zone_midnight(now, zone))
+    totals = periods.period_totals(events, usage.file_models(r), now, midnight=F.col("since"), scope=("machine", "since"), cost=scaled_cost)
+    return totals.where("period = 'today' AND messages > 0").select("machine", us("since").alias("since_us"), "source", "sessions", "messages", "input_tokens")
+
+
 @query(O.FX, O.MSG, O.FACTS, _PRICED, f"""
 SELECT coalesce(source, 'all') AS source, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(messages) AS BIGINT) AS messages,
   CAST(sum(tin + tout + tread + twrite) AS BIGINT) AS total_tokens, round(CAST(sum(cents) AS DOUBLE) / 1e8, 4) AS est_cost_usd
@@ -780,6 +797,18 @@ def ingested_stats(spark, sf):
         F.col("p.claude.input_tokens").alias("claude_input"))
 
 
+@query(O.OBS, """
+SELECT c.key, c.from_status, c.status AS to_status, cur.status AS now_status, count(*) AS n FROM chg c JOIN cur ON c.key = cur.machine || '/' || cur.source || '/' || cur.agent_id
+WHERE c.change_type <> 'unchanged' AND c.status_changed GROUP BY ALL""")
+def history_by_sql(spark, sf):
+    """The read interface: derived tables under names, read by SQL."""
+    current = registry.latest(S.observations(spark, sf)).withColumn("key", registry.session_key())
+    views.register_views(spark, session_changes=registry.transitions(_changes(spark, sf)), live_sessions=current)
+    return spark.sql("""
+        SELECT key, from_status, to_status, s.status AS now_status, count(*) AS n
+        FROM session_changes JOIN live_sessions s USING (key) GROUP BY ALL""")
+
+
 # --- landed files and streams ----------------------------------------------
 
 def _land(spark, sf) -> str:

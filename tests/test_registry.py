@@ -4,7 +4,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from sessionmill import contracts as C
-from sessionmill.operators import alerts, entities, feed, registry
+from sessionmill.operators import alerts, entities, feed, registry, views
 from sessionmill.operators.segments import SEGMENT_ROWS
 from sessionmill.sources import snapshots as SN
 
@@ -143,6 +143,18 @@ def test_merging_equals_the_rules_on_lists(spark):
         assert sorted((r.agent_id, r.machine, r.needs_user, str(r.needs_user_reason)) for r in got) == plain_merge(rows, seconds), rows
 
 
+def test_presentation_orders(spark):
+    """Newest first; panel by machine, rank of the status, newest first; the order is part of the result."""
+    rnd = random.Random(3)
+    rows = [snap(i, f"s{i}", rnd.choice(["wsl", "windows"]), f"p{i}", rnd.choice(["done", "idle", "needs_you", "thinking", "failed"]),
+                 f"2025-01-0{rnd.randrange(1, 9)}T0{rnd.randrange(9)}:00:00Z") for i in range(40)]
+    df = frame(spark, rows).repartition(7)
+    newest = [r.last_activity for r in entities.newest_first(df).collect()]
+    assert newest == sorted(newest, reverse=True)
+    panel = [(r.machine, r.status_rank, r.last_activity) for r in views.panel(df).collect()]
+    assert panel == sorted(sorted(panel, key=lambda r: r[2], reverse=True), key=lambda r: r[:2])
+
+
 def test_bodies(spark):
     good = ('{"agent_id":"a","source":"vps","machine":"m","project":"","status":"failed","needs_user":true,'
             '"usage":{"input_tokens":1,"output_tokens":2,"cache_read_tokens":3,"cache_creation_tokens":4},"last_activity":"","jump":{"type":"ssh","target":"u@h"}}')

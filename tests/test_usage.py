@@ -103,6 +103,16 @@ def test_local_midnight():
     assert periods.local_midnight(twice, "America/Havana") == datetime(2026, 11, 1, 4, tzinfo=timezone.utc)
 
 
+def test_zone_midnight_equals_local_midnight(spark):
+    instants = [datetime(2026, m, d, h, 30, tzinfo=timezone.utc) for m, d, h in
+                [(7, 10, 22), (3, 8, 15), (3, 8, 3), (11, 1, 15), (11, 1, 4), (10, 25, 0), (3, 29, 12), (1, 1, 0)]]
+    zones = ["UTC", "Europe/Berlin", "America/Havana", "America/New_York", "Asia/Kolkata", "Africa/Cairo", "Asia/Beirut"]
+    df = spark.createDataFrame([(i, z) for i in instants for z in zones], "now timestamp, zone string")
+    for r in df.withColumn("m", periods.zone_midnight(F.col("now"), F.col("zone"))).selectExpr("unix_micros(now) AS n", "zone", "unix_micros(m) AS m").collect():
+        now = datetime.fromtimestamp(r.n // 10**6, timezone.utc)
+        assert r.m == int(periods.local_midnight(now, r.zone).timestamp()) * 10**6, (now, r.zone)
+
+
 def test_display(spark):
     def one(*cols):
         return tuple(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).first())
