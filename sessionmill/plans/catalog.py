@@ -12,7 +12,7 @@ from sessionmill import contracts as C
 from sessionmill.functions import display as D
 from sessionmill.functions import paths as P
 from sessionmill.functions.times import render_millis
-from sessionmill.operators import alerts, blocks, entities, facts, feed, periods, registry, reports, timeline, usage, views
+from sessionmill.operators import alerts, blocks, entities, facts, feed, periods, records, registry, reports, timeline, usage, views
 from sessionmill.plans import oracle as O
 from sessionmill.plans import standin as S
 from sessionmill.plans.tables import materialize, new_folder, spread
@@ -840,7 +840,29 @@ def stream_tracking(spark, sf):
                                     "parse_errors", "sidechain_records")
 
 
-_RUNS: dict[tuple[str, str], str] = {}
+def _landed_files(spark, sf) -> str:
+    """The derived transcripts as text: ``<session>/<seq>.jsonl``, as a shipper lands them."""
+    key = ("landed files", spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        root = new_folder(spark, "jsonl")
+        lines = S.transcript_lines(spark, sf).withColumnRenamed("file", "session").withColumn("seq", F.floor(F.col("seq") / 8))
+        lines.repartition("session", "seq").sortWithinPartitions("session", "seq", "line").drop("source", "line") \
+            .write.partitionBy("session", "seq").text(f"{root}/raw")
+        jvm = spark._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        for session in fs.listStatus(path(f"{root}/raw")):
+            if session.isDirectory():
+                name = session.getPath().getName().split("=")[1]
+                fs.mkdirs(path(f"{root}/live/{name}"))
+                for seq in fs.listStatus(session.getPath()):
+                    part, = fs.globStatus(path(f"{seq.getPath()}/part-*"))
+                    fs.rename(part.getPath(), path(f"{root}/live/{name}/{seq.getPath().getName().split('=')[1]}.jsonl"))
+        _RUNS[key] = f"{root}/live"
+    return _RUNS[key]
+
+
+_RUNS: dict[tuple[str, ...], str] = {}
 BATCHES = 3
 
 
@@ -892,6 +914,51 @@ kept{i} AS (SELECT * REPLACE (CASE WHEN staled THEN 'stale' ELSE status END AS s
     return ",".join(parts)
 
 
+def _by_session(lines: DataFrame, session: Column) -> DataFrame:
+    """Records of landed text, counted by session. Files of either dialect lie under one root, so the first line tells."""
+    dialect = TR.sniff_source(lines)
+    found = records.parse_records(lines.drop("source").join(dialect, "file"))
+    own = found.withColumn("session", session).groupBy("session", "source")
+    return own.agg(F.count_if((F.col("pos") < 0)).alias("lines"), F.count_if(F.col("parse_error")).alias("parse_errors"), F.count_if(F.col("opens")).alias("calls"))
+
+
+_LANDED = ("""
+    d AS (SELECT file, CASE WHEN arg_min(env, event_id) THEN 'codex' ELSE 'claude-code' END AS found FROM fx GROUP BY 1)""", """
+SELECT fx.file AS session, d.found AS source, count(*) AS lines, count(*) FILTER (WHERE event_id % 97 = 0) AS parse_errors, count(*) FILTER (WHERE opens) AS calls
+FROM fx JOIN d ON d.file = fx.file GROUP BY ALL""")
+
+
+@query(O.FX, *_LANDED)
+def landed_records(spark, sf):
+    """Text chunks of each session read by ``read_chunks`` and parsed."""
+    lines = TR.read_chunks(spark, [(_landed_files(spark, sf), C.SOURCE_A)])
+    lines = lines.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return _by_session(lines, F.col("file"))
+
+
+@query(O.FX, *_LANDED)
+def closed_records(spark, sf):
+    """The same text read as closed files; a session's chunks are put in order by their names."""
+    lines = TR.read_closed_files(spark, [(_landed_files(spark, sf), C.SOURCE_A)])
+    parts = F.split("file", "/")
+    chunk = F.regexp_extract(F.element_at(parts, -1), r"^(\d+)", 1).cast("bigint")
+    lines = lines.withColumn("seq", chunk * (1 << 40) + F.col("seq")).withColumn("file", F.element_at(parts, -2))
+    return _by_session(lines, F.col("file"))
+
+
+@query(O.FX, O.FACTS, "SELECT file, session_id, prompt, epoch_us(prompt_ts) AS prompt_us FROM waiting")
+def stream_prompts(spark, sf):
+    """Waiting prompts from the tracking stream: lines and hook log as streams, joined in their newest state."""
+    root, out, hooks = _land(spark, sf), new_folder(spark, "tracking"), new_folder(spark, "hooks")
+    S.hook_lines(spark, sf).write.parquet(hooks)
+    lines, hook = _landed_lines(spark, root), spark.readStream.schema(TR.HOOK_COLUMNS).parquet(hooks)
+    for q in tracking.track(lines, out, hook):
+        q.awaitTermination()
+    state = tracking.tracked(spark, out, lines, hook)
+    return facts.waiting_prompts(state.hooks, facts.with_pending(state.facts, state.calls)).select(
+        "file", "session_id", "prompt", us("prompt_ts").alias("prompt_us"))
+
+
 _STREAM = _stream_sql()
 _FIRES = """
 al AS (SELECT DISTINCT logical_key, ts FROM edges),
