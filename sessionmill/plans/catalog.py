@@ -845,8 +845,8 @@ def _landed_files(spark, sf) -> str:
     key = ("landed files", spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
         root = new_folder(spark, "jsonl")
-        lines = S.transcript_lines(spark, sf).withColumnRenamed("file", "session").withColumn("seq", F.floor(F.col("seq") / 8))
-        lines.repartition("session", "seq").sortWithinPartitions("session", "seq", "line").drop("source", "line") \
+        lines = S.transcript_lines(spark, sf).select(F.col("file").alias("session"), F.floor(F.col("seq") / 8).alias("part"), "seq", "line", "value")
+        lines.repartition("session", "part").sortWithinPartitions("session", "part", "seq", "line").select("session", F.col("part").alias("seq"), "value") \
             .write.partitionBy("session", "seq").text(f"{root}/raw")
         jvm = spark._jvm
         fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
