@@ -924,7 +924,7 @@ def _by_session(lines: DataFrame, session: Column) -> DataFrame:
 
 _LANDED = ("""
     d AS (SELECT file, CASE WHEN arg_min(env, event_id) THEN 'codex' ELSE 'claude-code' END AS found FROM fx GROUP BY 1)""", """
-SELECT fx.file AS session, d.found AS source, count(*) AS lines, count(*) FILTER (WHERE event_id % 97 = 0) AS parse_errors, count(*) FILTER (WHERE opens) AS calls
+SELECT fx.file AS session, d.found AS source, count(*) AS lines, count(*) FILTER (WHERE event_id % 97 = 0) AS parse_errors, count(*) FILTER (WHERE opens AND b = (d.found = 'codex')) AS calls
 FROM fx JOIN d ON d.file = fx.file GROUP BY ALL""")
 
 
