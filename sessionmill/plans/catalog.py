@@ -454,7 +454,7 @@ def _sessions(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts with pending and task, usage, waiting prompts)."""
     r = S.records(spark, sf)
     base = materialize(facts.session_facts(r), "facts")  # one row per file, read by all three
-    f = facts.with_pending(base, facts.call_states(facts.with_call_starts(r)))
+    f = materialize(facts.with_pending(base, facts.call_states(facts.with_call_starts(r))), "sessions")
     hooks = facts.newest_hooks(TR.hook_events(S.hook_lines(spark, sf)))
     return f, facts.session_usage(base, usage.message_usage(r)), facts.waiting_prompts(hooks, base)
 
@@ -725,7 +725,8 @@ SELECT machine, who, confidence, label, CAST(floor(used + 0.5) AS BIGINT) AS pct
   {_COUNTDOWN} AS resets
 FROM (SELECT shown.*, CAST(floor((target - epoch_ms(now)) / 1000) AS BIGINT) AS s FROM shown, nowt)""")
 def usage_panel(spark, sf):
-    rows = reports.newest_per_machine(_reports(spark, sf).withColumn("arrival", F.lit(1)), "arrival")
+    # one row per machine, read once for each kind of panel row
+    rows = materialize(reports.newest_per_machine(_reports(spark, sf).withColumn("arrival", F.lit(1)), "arrival"), "reports")
     return views.usage_panel(rows, reports.account_exact(rows), S.now_of(spark, sf))
 
 

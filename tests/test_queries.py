@@ -42,3 +42,10 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=key)
     assert rows == want
+
+
+@pytest.mark.parametrize("name,most", [("period_totals", 4), ("usage_panel", 6), ("session_snapshots", 5), ("card_view", 4), ("logical_sessions", 3)])
+def test_scans_of_the_first_plan(spark, name, most):
+    """Plans must not read their input again for each branch."""
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") <= most
