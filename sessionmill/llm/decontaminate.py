@@ -13,7 +13,7 @@ unopened terms add their maxima in the item's block; only what can still reach t
 The skipping is safe: exactly the items at or above the threshold are retrieved.
 
 Check: an item counts as leaked when both its question (all sentences but the last) and its answer (the
-last sentence; of a single sentence the last third) are covered, each to ``COVER`` of its words, by runs of five words
+last sentence; of a single sentence the last third; an item of fewer than ten words is a question alone) are covered, each to ``COVER`` of its words, by runs of five words
 (or the whole part, if shorter) that the passage and its neighbourhood contain.
 """
 
@@ -42,6 +42,8 @@ def question_and_answer(item: str) -> tuple[np.ndarray, np.ndarray]:
     parts = [h for h in (T.words(p.lower())[0] for p in _SENTENCE.split(item)) if len(h)]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if sum(map(len, parts)) < 2 * RUN:
+        return np.concatenate(parts), parts[0][:0]
     if len(parts) > 1:
         return np.concatenate(parts[:-1]), parts[-1]
     cut = len(parts[0]) - max(1, len(parts[0]) // 3)
