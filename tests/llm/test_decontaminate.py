@@ -44,6 +44,12 @@ def test_half_an_item_is_no_leak(spark, make):
     assert sorted(r.doc_id for r in D.leaks(make(rows), items).collect()) == [1, 4]
 
 
+def test_a_short_item_must_occur_as_it_is(spark, make):
+    items = spark.createDataFrame([(1, "Of it. The end."), (2, "Is.")], ITEMS)
+    rows = [(1, "the sum of it the end came"), (2, "end of the line it was"), (3, "the end of it"), (4, "so it is")]
+    assert sorted((r.doc_id, r.item_id) for r in D.leaks(make(rows), items).collect()) == [(1, 1), (4, 2)]
+
+
 def test_no_rows(spark, make):
     items = spark.createDataFrame([(1, "some item text here")], ITEMS)
     assert D.leaks(make([]), items).count() == 0
