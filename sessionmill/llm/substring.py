@@ -28,8 +28,8 @@ from sessionmill.llm import text as T
 from sessionmill.llm.frames import empty_text, map_rows, md5_of, store
 
 WINDOW, PHRASE = 50, 17
-SHARD_PHRASES = 20_000
-TASK_TEXTS = 2_000
+SHARD_PHRASES = 4_000
+TASK_TEXTS = 1_000
 
 
 def split(text: str) -> list[bytes]:
@@ -160,7 +160,9 @@ def recurring(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard
     windows = located.select("tid", "first_id", F.inline(F.arrays_zip("starts", "h1", "h2")))
     windows = store(windows, "windows")
 
+    # stored, so that the join below has its own exchange, whose hot windows adaptive execution can split
     first = windows.groupBy("h1", "h2").agg(F.min("first_id").alias("lo"), F.max("first_id").alias("hi")).where("lo < hi").drop("hi")
+    first = store(first, "first")
     again = windows.join(first, ["h1", "h2"]).where(F.col("first_id") > F.col("lo"))
     starts = again.groupBy("tid").agg(F.collect_list("starts").alias("starts"))  # at most one per word of the text
     cuts = store(map_rows(chosen.join(starts, "tid").select("digest", "text", "starts"), _cut(window), "digest string, n_removed long, kept_sha string, kept_text string"), "cuts")
