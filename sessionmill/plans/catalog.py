@@ -960,6 +960,16 @@ def stream_prompts(spark, sf):
         "file", "session_id", "prompt", us("prompt_ts").alias("prompt_us"))
 
 
+@query(O.FX, O.MSG, f"""
+SELECT source, file, message_id, epoch_us(ts) AS ts_us, {SQL_TOK}, CAST(tin + tout + tread + twrite AS BIGINT) AS total_tokens FROM uev""")
+def stream_usage_events(spark, sf):
+    """Usage events of a stream: lines parsed once into the record log, events read from it."""
+    root, out = _land(spark, sf), new_folder(spark, "tracking")
+    tracking.log_records(_landed_lines(spark, root), out).awaitTermination()
+    return usage.usage_events(tracking.logged_records(spark, out)).select(
+        "source", "file", "message_id", us("ts").alias("ts_us"), *tokens(), usage.total_tokens(F.col("tokens")).alias("total_tokens"))
+
+
 _STREAM = _stream_sql()
 _FIRES = """
 al AS (SELECT DISTINCT logical_key, ts FROM edges),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sessionmill import contracts as C
 from sessionmill.operators import facts as FA
 from sessionmill.operators import usage as U
 from sessionmill.operators.records import parse_records
@@ -22,6 +23,20 @@ from sessionmill.sources.transcripts import hook_events
 from sessionmill.streaming.sinks import append_log, current, read_log
 
 
+def log_records(lines: DataFrame, out: str, trigger: dict | None = None) -> StreamingQuery:
+    """Parse each landed line once into an appended record table under ``out``; usage events, increments, blocks and
+    reports of any cadence are the batch operators over :func:`logged_records`."""
+    return (
+        parse_records(lines).writeStream.foreachBatch(append_log(f"{out}/records"))
+        .option("checkpointLocation", f"{out}/_checkpoints/records")
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def logged_records(spark: SparkSession, out: str) -> DataFrame:
+    return read_log(spark, f"{out}/records", C.RECORDS).drop("batch_id")
+
+
 @dataclass(frozen=True)
 class TrackingState:
     """Newest facts, calls, messages and hooks as DataFrames."""
