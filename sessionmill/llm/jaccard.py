@@ -26,7 +26,7 @@ from sessionmill.llm import text as T
 from sessionmill.llm.frames import components, empty_text, keep_rows, map_rows, md5_of, store, streamed_groups
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
-BLOCK_TEXTS, BLOCK_NGRAMS = 512, 1 << 19
+BLOCK_TEXTS, BLOCK_NGRAMS = 256, 1 << 18
 SIGN = 1 << 15  # n-grams hashed at once
 
 
