@@ -13,14 +13,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionmill import contracts as C
 from sessionmill.operators import facts as FA
+from sessionmill.operators import registry
 from sessionmill.operators import usage as U
 from sessionmill.operators.records import parse_records
+from sessionmill.plans.tables import materialize, scratch
 from sessionmill.sources.transcripts import hook_events
-from sessionmill.streaming.sinks import append_log, current, read_log
+from sessionmill.streaming.sinks import append_log, current, expire_versions, newest_version, read_log, write_batch
 
 
 def log_records(lines: DataFrame, out: str, trigger: dict | None = None) -> StreamingQuery:
@@ -102,3 +105,27 @@ def tracked(spark: SparkSession, out: str, lines: DataFrame, hooks: DataFrame |
         for name, frame in _aggregates(lines, hooks).items()
     }
     return TrackingState(frames["facts"], frames["calls"], frames["messages"], frames.get("hooks"))
+
+
+SHOWN = ["status", "current_task", "usage", "last_activity", "needs_user"]
+
+
+def emit_changed(spark: SparkSession, out: str, snapshots: DataFrame, sweep: int) -> DataFrame:
+    """One sweep over the snapshots of a moment: those that show something else than at the sweep before.
+
+    Several files of one session are compacted to the most recently active one first. Changed rows are appended to
+    ``out/changed``, what is shown now becomes the next version of ``out/shown``; a repeated sweep rewrites both.
+    """
+    columns = [f.name for f in C.SNAPSHOT.fields]
+    schema = T.StructType(C.SNAPSHOT.fields)
+    now = registry.latest(snapshots.select(*columns), "last_activity").select(*columns)
+    with scratch(spark):
+        now = materialize(now, "shown")
+        version = newest_version(spark, f"{out}/shown", sweep)
+        before = spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{out}/shown/batch_id={version}")
+        before = before.select(*registry.KEY, F.struct(*SHOWN).alias("__was"))
+        changed = now.join(before, registry.KEY, "left").where(~F.struct(*SHOWN).eqNullSafe(F.col("__was"))).select(*columns)
+        write_batch(changed, f"{out}/changed", sweep)
+        write_batch(now, f"{out}/shown", sweep)
+    expire_versions(spark, f"{out}/shown", sweep)
+    return spark.read.schema(schema).parquet(f"{out}/changed/batch_id={sweep}")

@@ -143,3 +143,23 @@ def test_step_time_is_taken_once(spark, tmp_path):
 
     first, again = (spark.range(1).select(RS.step_time(rows, 0, str(tmp_path), clock)).first()[0] for _ in range(2))
     assert first == again
+
+
+def test_sweeps_emit_what_changed(spark, tmp_path):
+    out = str(tmp_path)
+    first = frame(spark, [snap(0, "a"), snap(0, "b"), snap(0, "a", at="2026-07-10T09:00:00Z", status="idle")])  # a has two files
+    second = frame(spark, [snap(0, "a"), snap(0, "b", status="done"), snap(0, "c")])
+    assert sorted((r.agent_id, r.status) for r in tracking.emit_changed(spark, out, first, 0).collect()) == [("a", "thinking"), ("b", "thinking")]
+    for _ in range(2):  # a repeated sweep gives the same
+        assert sorted(r.agent_id for r in tracking.emit_changed(spark, out, second, 1).collect()) == ["b", "c"]
+    assert tracking.emit_changed(spark, out, second, 2).count() == 0
+    assert [r.agent_id for r in tracking.emit_changed(spark, out, frame(spark, [snap(0, "a", branch="x"), snap(1, "c", jump=("ssh", "h"))]), 3).collect()] == []
+
+
+def test_record_log_holds_each_line_once(spark, tmp_path, lines):
+    root, out = f"{tmp_path}/lines", f"{tmp_path}/out"
+    for k in range(2):
+        lines({"s": [{"type": "user", "message": {"content": f"x{k}{i}"}} for i in range(3)]}).withColumn("seq", F.lit(k).cast("long")).write.mode("append").parquet(root)
+        tracking.log_records(spark.readStream.schema(C.LINES).parquet(root), out).awaitTermination()
+    rows = tracking.logged_records(spark, out)
+    assert rows.where("pos = -1").count() == 6 and rows.where("pos = -1").select("seq", "line").distinct().count() == 6
