@@ -43,14 +43,13 @@ def blocks(hourly: DataFrame, account: list[str]) -> DataFrame:
     """
     length = C.BLOCK_HOURS * HOUR
     in_order = Window.partitionBy(*account).orderBy("hour")
+    sofar = in_order.rowsBetween(Window.unboundedPreceding, 0)
     marked = hourly.withColumn("gap", F.when(F.col("hour") - F.lag("hour").over(in_order) >= length, 1).otherwise(0))
-    marked = marked.withColumn("stretch", F.sum("gap").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    entry = F.struct("hour", *C.TOKEN_FIELDS, "messages")
-    folded = marked.groupBy(*account, "stretch").agg(F.array_sort(F.collect_list(entry)).alias("hours"))
-    folded = folded.withColumn("starts", _block_starts(F.transform("hours", lambda h: h["hour"])))
-    each = folded.select(*account, F.explode("hours").alias("h"), "starts").select(
-        *account, "h.*",
-        F.array_max(F.filter("starts", lambda s: s <= F.col("h.hour"))).alias("start"))
+    marked = marked.withColumn("stretch", F.sum("gap").over(sofar))
+    folded = marked.groupBy(*account, "stretch").agg(F.array_sort(F.collect_list("hour")).alias("hours"))
+    starts = folded.select(*account, F.explode(_block_starts(F.col("hours"))).alias("hour")).withColumn("start", F.col("hour"))
+    # an hour belongs to the last block that starts at or before it
+    each = hourly.join(starts, [*account, "hour"], "left").withColumn("start", F.last("start", True).over(sofar))
     return (
         each.groupBy(*account, "start")
         .agg(*[F.sum(f).alias(f) for f in C.TOKEN_FIELDS], F.sum("messages").alias("messages"))
