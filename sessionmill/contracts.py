@@ -11,8 +11,6 @@ SOURCE_A = "claude-code"
 SOURCE_B = "codex"
 SOURCES = ["claude-code", "codex", "gemini", "vps", "script", "cron"]
 STATUSES = ["thinking", "tool_running", "needs_you", "done", "failed", "idle", "stale"]
-STATES = ["thinking", "tool_running", "needs_you", "interrupted", "done", "idle", "stale"]
-CONFIDENCES = ["exact", "estimated", "stale"]
 JUMP_TYPES = ["vs_code", "terminal", "url", "ssh"]
 
 INTERRUPT_MARKER = "[Request interrupted by user"
@@ -63,8 +61,6 @@ SNAPSHOT = _struct(
     current_task=STR, needs_user=BOOL, needs_user_reason=STR, usage=USAGE,
     last_activity=STR, jump=JUMP,
 )
-# Fields a snapshot body must carry; the others may be missing.
-SNAPSHOT_REQUIRED = ["agent_id", "source", "machine", "project", "status", "needs_user", "usage", "last_activity"]
 
 LIMIT_WINDOW = _struct(used_percent=DOUBLE, window_minutes=LONG, resets_at=LONG)
 RATE_LIMITS = _struct(primary=LIMIT_WINDOW, secondary=LIMIT_WINDOW, plan_type=STR, observed_at=TIME)

@@ -20,10 +20,6 @@ def render_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def span(duration: timedelta) -> Column:
-    return F.lit(duration)
-
-
 def micros(duration: timedelta) -> int:
     return duration // timedelta(microseconds=1)
 

@@ -15,7 +15,7 @@ from sessionmill.functions.times import render_millis
 from sessionmill.operators import alerts, blocks, entities, facts, feed, periods, records, registry, reports, timeline, usage, views
 from sessionmill.plans import oracle as O
 from sessionmill.plans import standin as S
-from sessionmill.plans.tables import materialize, new_folder, spread
+from sessionmill.plans.tables import materialize, new_folder
 from sessionmill.sources import snapshots as SN
 from sessionmill.sources import transcripts as TR
 from sessionmill.streaming import registry_stream, tracking
@@ -408,13 +408,16 @@ wk AS (SELECT machine, sum(tin + tout + tread + twrite) AS tot, count(*) AS n FR
 ex AS (SELECT CASE WHEN machine IN ('m0', 'm2') THEN 'wsl' ELSE 'windows' END AS machine, arg_max(e, ts) AS e, max(ts) AS ts FROM exact GROUP BY 1)"""
 
 
-@query(O.FX, O.MSG, _LIMITS, _READ, _BY_MACHINE, """
-SELECT wk.machine, CAST(wk.tot AS BIGINT) AS week_tokens, wk.n AS week_messages, 'estimated' AS confidence, CAST(ex.e % 100 AS DOUBLE) AS exact_used,
+@query(O.FX, O.MSG, _LIMITS, _READ, _BY_MACHINE, O.HOURS.replace("user_id % 5 AS account", "machine AS account").replace("FROM owned", "FROM om"),
+       "b5 AS (SELECT blk.* FROM blk, nowt WHERE start <= now AND start + INTERVAL 5 HOUR > now)", """
+SELECT wk.machine, CAST(coalesce(b5.tin + b5.tout + b5.tread + b5.twrite, 0) AS BIGINT) AS five_hour_tokens, CAST(coalesce(b5.n, 0) AS BIGINT) AS five_hour_messages,
+  epoch_us(b5.start + INTERVAL 5 HOUR) AS five_hour_resets_us, CAST(wk.tot AS BIGINT) AS week_tokens, wk.n AS week_messages, 'estimated' AS confidence, CAST(ex.e % 100 AS DOUBLE) AS exact_used,
   CAST(lim.m.e % 101 AS DOUBLE) + 0.5 AS codex_used, strftime(now, '%Y-%m-%dT%H:%M:%S.%gZ') AS reported_at
-FROM wk LEFT JOIN ex ON ex.machine = wk.machine LEFT JOIN lim ON lim.machine = wk.machine, nowt""")
+FROM wk LEFT JOIN ex ON ex.machine = wk.machine LEFT JOIN lim ON lim.machine = wk.machine LEFT JOIN b5 ON b5.account = wk.machine, nowt""")
 def usage_report(spark, sf):
     return _reports(spark, sf).select(
-        "machine", usage.total_tokens(F.col("claude.weekly.tokens")).alias("week_tokens"), F.col("claude.weekly.messages").alias("week_messages"),
+        "machine", usage.total_tokens(F.col("claude.five_hour.tokens")).alias("five_hour_tokens"), F.col("claude.five_hour.messages").alias("five_hour_messages"),
+        us("claude.five_hour_resets_at").alias("five_hour_resets_us"), usage.total_tokens(F.col("claude.weekly.tokens")).alias("week_tokens"), F.col("claude.weekly.messages").alias("week_messages"),
         F.col("claude.confidence").alias("confidence"), F.col("claude_exact.five_hour.used_percent").alias("exact_used"),
         F.col("codex.primary.used_percent").alias("codex_used"), "reported_at")
 
@@ -745,7 +748,7 @@ def stats_panel(spark, sf):
 
 def _bodies(spark, sf) -> DataFrame:
     """One snapshot body per event: an object, or an array of two; every 17th holds a bad element."""
-    obs = spread(S.observations(spark, sf)).withColumn("extra", F.lit(1))
+    obs = S.spread(S.observations(spark, sf)).withColumn("extra", F.lit(1))
     one = F.to_json(F.struct(*[f.name for f in C.SNAPSHOT.fields], "extra"))
     bad = F.when(F.col("arrival") % 34 == 0, F.regexp_replace(one, '"status":"', '"status":"x')).otherwise(F.regexp_replace(one, '"needs_user":(true|false)', '"needs_user":"no"'))
     body = (

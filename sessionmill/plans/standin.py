@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sessionmill import contracts as C
 from sessionmill.operators.records import parse_records
-from sessionmill.plans.tables import materialize, spread
+from sessionmill.plans.tables import materialize
 from sessionmill.session import configure
 
 # Lines per landed chunk of the derived transcripts.
@@ -99,6 +99,12 @@ _B_BODY = """CASE event_type
             IF(event_id % 8 = 3, 'x <turn_aborted> y', 'hello'), '"}]}') END END"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Test tables come as one split: use all cores for the CPU-heavy derivation. Results do not depend on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, source, seq, line, value): one JSON line per event, broken every 97th."""
     base = spread(events(spark, sf_dir))

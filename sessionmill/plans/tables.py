@@ -69,9 +69,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     fs, folder = _hadoop(spark, path)
     fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on an input of few splits; large inputs are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

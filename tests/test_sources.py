@@ -162,3 +162,15 @@ def test_shared_folder_without_setting(spark, monkeypatch):
     one = tables.materialize(spark.range(3).toDF("x"), "t")
     assert one.count() == 3
     assert tables.shared_folder(spark) == tables.shared_folder(spark)
+
+
+def test_bodies_are_read_whole(spark, tmp_path):
+    from sessionmill.sources import snapshots as SN
+
+    for name, text in (("a/1.json", '[\n {"x": 1},\n {"x": 2}\n]'), ("b.json", "{}"), ("c.json", "")):
+        os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+        with open(f"{tmp_path}/{name}", "w") as f:
+            f.write(text)
+    rows = {os.path.basename(r.body_id): r for r in SN.read_bodies(spark, str(tmp_path)).collect()}
+    assert {n: r.body for n, r in rows.items() if r.body} == {"1.json": '[\n {"x": 1},\n {"x": 2}\n]', "b.json": "{}"}
+    assert all(r.landed_at is not None for r in rows.values())
