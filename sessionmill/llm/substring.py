@@ -128,6 +128,12 @@ def _cut(window: int):
     return run
 
 
+def _per_text(rows: DataFrame, texts: DataFrame, cuts: DataFrame, how: str) -> DataFrame:
+    """The rows with what is known of their text; stored before, so that a text with many copies can be split in the join."""
+    known = store(texts.join(cuts, "digest", "left"), "known")
+    return rows.drop("seeds").join(known, "digest", how)
+
+
 def recurring(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_phrases: int = SHARD_PHRASES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, cuts): every row of ``docs`` with its words counted and hashed; the different texts; and for each
     text with recurring windows (digest, n_removed, sha, kept text)."""
@@ -176,7 +182,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, s
     do not remove each other's words. No rows give no rows; other columns are not looked at.
     """
     rows, texts, cuts = recurring(docs, window, phrase, shard_phrases)
-    found = rows.drop("seeds").join(texts.join(cuts.drop("kept_text"), "digest", "left"), "digest", "left")
+    found = _per_text(rows, texts, cuts.drop("kept_text"), "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
     own = F.col("doc_id").isNotNull() & F.col("n_removed").isNotNull()
     return found.select(
@@ -188,6 +194,6 @@ def kept_texts(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text) for the rows that lose words: what is left of them, words joined by one space."""
     rows, texts, cuts = recurring(docs, **options)
     window = options.get("window", WINDOW)
-    found = rows.drop("seeds").join(texts.join(cuts, "digest", "left"), "digest")
+    found = _per_text(rows, texts, cuts, "inner")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
     return found.where(copy | F.col("n_removed").isNotNull()).select("doc_id", F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("text"))
