@@ -159,6 +159,15 @@ def _report(left: list[int], right: list[int], linked: np.ndarray, diagonal: boo
         yield ids[k], int(links[k]), ids[root[k]]
 
 
+def distinct_buckets(met: DataFrame) -> DataFrame:
+    """(bucket, blocks) of ``met`` (tid, n, bucket): buckets of several members, one of those with the same members, which
+    would only repeat the comparison."""
+    m1, m2 = (F.bit_xor(F.xxhash64(F.lit(k), "tid")) for k in (1, 2))  # cannot overflow; a text is in a bucket once
+    full = met.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size"), m1.alias("m1"), m2.alias("m2")).where("members > 1")
+    once = full.groupBy("members", "size", "m1", "m2").agg(F.min("bucket").alias("bucket"))
+    return once.select("bucket", F.greatest(F.ceil(F.col("members") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, digest, root, class_id, n_links, n_copies.
 
@@ -176,11 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     texts = store(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     met = texts.select("tid", "n", F.posexplode("keys").alias("band", "bucket"))
-    mark = F.xxhash64("tid").bitwiseAND(F.lit((1 << 40) - 1))
-    full = met.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size"), F.sum(mark).alias("m1"), F.sum(mark * F.col("n")).alias("m2")).where("members > 1")
-    # buckets with the same members would only repeat the comparison
-    once = full.groupBy("members", "size", "m1", "m2").agg(F.min("bucket").alias("bucket"))
-    once = store(once.select("bucket", F.greatest(F.ceil(F.col("members") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_NGRAMS)).cast("int").alias("blocks")), "buckets")
+    once = store(distinct_buckets(met), "buckets")
     places = store(met.join(once, "bucket").select("tid", "bucket", "blocks"), "places")
 
     keys = places.groupBy("tid").agg(F.sort_array(F.collect_list("bucket")).alias("keys"))  # at most one per band

@@ -200,3 +200,10 @@ def test_components(spark):
     for node, r in root.items():
         groups.setdefault(r, set()).add(node)
     assert all(groups[root[n]] == members for n, members in want.items())
+
+
+def test_buckets_of_very_many_ngrams(spark):
+    """80,000 texts of 1,000 n-grams, together over 2**25: two buckets with the same members, two with another one missing each."""
+    met = spark.range(80_000).selectExpr("id * 8589934592 + 5 AS tid", "1000L AS n", "explode(array(7L, -7L, 8L, 9L)) AS bucket")
+    met = met.where("NOT (bucket = 8 AND tid = 5) AND NOT (bucket = 9 AND tid = 8589934597)").unionByName(spark.sql("SELECT 1L tid, 3L n, 11L bucket"))
+    assert sorted(map(tuple, jaccard.distinct_buckets(met).collect())) == [(-7, 313), (8, 313), (9, 313)]
