@@ -14,7 +14,10 @@ The skipping is safe: exactly the items at or above the threshold are retrieved.
 
 Check: an item counts as leaked when both its question (all sentences but the last) and its answer (the
 last sentence; of a single sentence the last third; an item of fewer than ten words is a question alone) are covered, each to ``COVER`` of its words, by runs of five words
-(or the whole part, if shorter) that the passage and its neighbourhood contain.
+(or the whole part, if shorter) that the passage and its neighbourhood contain. In an item of ten words or more a part is
+also covered by words that stand where the item's best place in the passage has them (``aligned``), to ``COVER`` or all
+but one of at least two words: an edit in a short part breaks all its runs of five. A changed answer of one word is no
+answer, and an item of fewer than ten words must keep its runs.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from sessionmill.llm.frames import empty_text, fresh_name, map_rows, md5_of, sto
 
 K1, B = 1.2, 0.75
 THRESHOLD, COVER, RUN = 0.5, 0.7, 5
+SLACK = 2  # words that an aligned word may be off its place
 SHARD_POSTINGS = 500_000
 BLOCK = 16
 BATCH_WORDS = 1 << 15
@@ -64,6 +68,34 @@ def coverage(part: np.ndarray, passage: np.ndarray) -> float:
     return float((np.cumsum(covered)[:-1] > 0).mean())
 
 
+def aligned(item: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """For each word of the item whether the passage has it where the item fits best, or up to SLACK words beside."""
+    votes = np.zeros(len(item) + len(passage), int)  # by the place of the item's first word
+    step = max(1, (1 << 22) // len(passage))
+    for at in range(0, len(item), step):
+        word, place = np.nonzero(item[at:at + step, None] == passage)
+        votes += np.bincount(place - word - at + len(item), minlength=len(votes))
+    found = np.zeros(len(item), bool)
+    start = int(votes.argmax()) - len(item)
+    for place in (np.arange(len(item)) + start + k for k in range(-SLACK, SLACK + 1)):
+        inside = (place >= 0) & (place < len(passage))
+        found[inside] |= passage[place[inside]] == item[inside]
+    return found
+
+
+def covered(question: np.ndarray, answer: np.ndarray, passage: np.ndarray) -> tuple[float, float] | None:
+    """Shares of the two parts that the passage covers, by runs or aligned words; None where a part is not covered."""
+    parts = [question, answer]
+    shares = [coverage(p, passage) for p in parts]
+    if min(shares) < COVER and len(question) + len(answer) >= 2 * RUN:
+        found = np.split(aligned(np.concatenate(parts), passage), [len(question)])
+        for k, (part, f) in enumerate(zip(parts, found)):
+            if shares[k] < COVER and (f.mean() >= COVER or len(part) > 1 and f.sum() >= len(part) - 1):
+                shares[k] = max(shares[k], float(f.mean()))
+                parts[k] = part[:0]
+    return tuple(shares) if all(s >= COVER or not len(p) for s, p in zip(shares, parts)) else None
+
+
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words, whatever the length of the text."""
     return T.ngrams(h, n) if len(h) > n else T.ngrams(h[:n], n)
@@ -180,9 +212,8 @@ def _searcher(index: Index):
             if score < index.threshold - 1e-9:
                 continue
             around = h[max(0, at - size):at + 3 * size]
-            question, answer = (coverage(p, around) for p in index.parts[i])
-            if question >= COVER and answer >= COVER and score > best.get((doc, i), (0,))[0]:
-                best[doc, i] = (score, question, answer, int(at), int(min(len(h), at + 2 * size)))
+            if score > best.get((doc, i), (0,))[0] and (shares := covered(*index.parts[i], around)):
+                best[doc, i] = (score, *shares, int(at), int(min(len(h), at + 2 * size)))
         for (doc, i), found in best.items():
             yield (*held[doc][:2], index.items[i], *found)
     return run

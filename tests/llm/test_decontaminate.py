@@ -44,6 +44,31 @@ def test_half_an_item_is_no_leak(spark, make):
     assert sorted(r.doc_id for r in D.leaks(make(rows), items).collect()) == [1, 4]
 
 
+def test_any_word_of_an_item_may_be_changed(spark, make):
+    """Every single-word substitution, of items with short answers, short questions and of one sentence."""
+    rng = random.Random(3)
+    sizes = {1: (46, 5), 2: (9, 3), 3: (12, 9), 4: (5, 5), 5: (11,), 6: (16, 2)}
+    items = [(k, ". ".join(prose(rng, n) for n in parts) + ".") for k, parts in sizes.items()]
+    rows, want = [], set()
+    for k, text in items:
+        words = text.split()
+        for at in range(len(words)):
+            changed = [*words[:at], "other." if words[at].endswith(".") else "other", *words[at + 1:]]
+            want.add((1000 * k + at, k))
+            rows.append((1000 * k + at, f"{prose(rng, 40)} {' '.join(changed)} {prose(rng, 40)}"))
+        rows.append((100 + k, f"{prose(rng, 40)} {text.split('. ')[0]} {prose(rng, 40)}"))
+    got = D.leaks(make(rows), spark.createDataFrame(items, ITEMS)).collect()
+    one_sentence = {(100 + k, k) for k, n in sizes.items() if len(n) == 1}
+    assert {(r.doc_id, r.item_id) for r in got} == want | one_sentence
+
+
+def test_aligned_words():
+    item = T.words("a b c d e f g h i j")[0]
+    assert D.aligned(item, T.words("x y a b c Q d e f g h i j z")[0]).all()  # a word put in
+    assert D.aligned(item, T.words("c d e f g h Q j")[0]).tolist() == [False, False, *[True] * 6, False, True]
+    assert not D.aligned(item, T.words("x y")[0]).any()
+
+
 def test_a_short_item_must_occur_as_it_is(spark, make):
     items = spark.createDataFrame([(1, "Of it. The end."), (2, "Is.")], ITEMS)
     rows = [(1, "the sum of it the end came"), (2, "end of the line it was"), (3, "the end of it"), (4, "so it is")]
