@@ -178,7 +178,7 @@ def _sums(key: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np
     return key, np.bincount(back, value, len(key))
 
 
-def _searcher(index: Index):
+def _searcher(index: Index, names: dict[int, int | None]):
     def run(stream):
         held, total = [], 0
         for row in stream:
@@ -215,7 +215,7 @@ def _searcher(index: Index):
             if score > best.get((doc, i), (0,))[0] and (shares := covered(*index.parts[i], around)):
                 best[doc, i] = (score, *shares, int(at), int(min(len(h), at + 2 * size)))
         for (doc, i), found in best.items():
-            yield (*held[doc][:2], index.items[i], *found)
+            yield (*held[doc][:2], names[index.items[i]], *found)
     return run
 
 
@@ -225,12 +225,14 @@ FOUND = "doc_id long, digest string, item_id long, score double, question_cover
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """One row per leaked item of each row of ``docs`` (doc_id, text): FOUND, with the best passage's place in words.
 
-    ``items``: (item_id, text). Items without words, null or with a null id never match; of items that share an id each text
-    must be distinct to count (the first by text is taken). Documents that are null or without words match nothing.
-    No documents or no items give no rows.
+    ``items``: (item_id, text). Items without words or null never match. Each distinct (item_id, text) is an item of its own,
+    so an id that names several texts, or null, may have several rows for a document. Items of one to four words
+    match wherever these words follow each other, in clean documents too. Documents that are null or without
+    words match nothing. No documents or no items give no rows.
     """
     spark = docs.sparkSession
-    known = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    named = items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("name"), "text").distinct()
+    known = store(named.withColumn("item_id", F.monotonically_increasing_id()), "items")  # from here a key of each text
     postings = store(map_rows(known, _postings, "item_id long, term long, tf long, length long"), "postings")
     lengths = postings.select("item_id", "length").distinct()
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
@@ -249,8 +251,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shard
         mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k
         rows = scored.where(mine).collect()
         if rows:
-            texts = dict(known.where(mine).select("item_id", "text").collect())
-            out = out.unionByName(map_rows(plain, _searcher(Index(rows, texts, stats["longest"], threshold)), FOUND))
+            mine = known.where(mine).select("item_id", "text", "name").collect()
+            index = Index(rows, {r["item_id"]: r["text"] for r in mine}, stats["longest"], threshold)
+            out = out.unionByName(map_rows(plain, _searcher(index, {r["item_id"]: r["name"] for r in mine}), FOUND))
     return out
 
 

@@ -75,6 +75,23 @@ def test_a_short_item_must_occur_as_it_is(spark, make):
     assert sorted((r.doc_id, r.item_id) for r in D.leaks(make(rows), items).collect()) == [(1, 1), (4, 2)]
 
 
+def test_ids_that_name_several_texts_or_none(spark, make):
+    rng = random.Random(4)
+    texts = [prose(rng, 20) for _ in range(4)]
+    items = spark.createDataFrame([*zip((1, 1, None, None), texts), (1, texts[0])], ITEMS)
+    docs = make([*enumerate(texts), (4, " ".join(texts[:2])), (5, prose(rng, 50))])
+    for shard in (20, 10**6):
+        got = sorted((r.doc_id, r.item_id or 0) for r in D.leaks(docs, items, shard_postings=shard).collect())
+        assert got == [(0, 1), (1, 1), (2, 0), (3, 0), (4, 1), (4, 1)]
+    assert [r.doc_id for r in D.drop_leaked(docs, items).collect()] == [5]
+
+
+def test_very_short_items_drop_clean_documents(spark, make):
+    items = spark.createDataFrame([(1, "Of the."), (2, "Is.")], ITEMS)
+    rows = [(1, "the end of the line"), (2, "so it is"), (3, "the end of a line")]
+    assert [r.doc_id for r in D.drop_leaked(make(rows), items).collect()] == [3]
+
+
 def test_no_rows(spark, make):
     items = spark.createDataFrame([(1, "some item text here")], ITEMS)
     assert D.leaks(make([]), items).count() == 0
