@@ -19,7 +19,7 @@ from sessionmill.llm.frames import components, store
 ALLOW, BLOCK = "allow", "block"
 TRACKING = r"(?:utm_[^=&#]*|ref|fbclid|gclid)=[^&#]*"  # parameters that do not change the page
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*\d+\s*;\s*url\s*=\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*(?:\d+(?:\.\d*)?|\.\d+)\s*;\s*url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -43,19 +43,31 @@ def path_of(url: Column) -> Column:
 
 
 def plain_form(url: Column) -> Column:
-    """host + path + query, without fragment and tracking parameters; null for what is no address."""
+    """host + path (``/`` if empty) + query, without fragment and tracking parameters; null for what is no address."""
     query = F.regexp_extract(_rest(url), r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}$")), "&")
-    return F.when(_rest(url).isNotNull(), F.concat(host_of(url), path_of(url), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    return F.when(_rest(url).isNotNull(), F.concat(host_of(url), F.when(path_of(url) == "", "/").otherwise(path_of(url)), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+
+
+def _without_dots(url: Column) -> Column:
+    """A whole address with the ``.`` and ``..`` segments of its path resolved; ``..`` stops at the root."""
+    parts = F.split(path_of(url), "/", -1)
+    step = lambda done, p: F.when(p == ".", done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(p)))
+    path = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    path = F.concat(path, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    site, tail = (F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)[^?#]*(.*)$", k) for k in (1, 2))
+    return F.when(path_of(url).rlike(r"(?s)/\.\.?(/|\z)"), F.concat(site, path, tail)).otherwise(url)
 
 
 def _absolute(target: Column, base: Column) -> Column:
-    """A link as found in a page of ``base``: whole, without scheme, from the root, or relative."""
+    """A link as found in a page of ``base``: whole, without scheme, from the root, relative, or a query or fragment alone."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(base))
     folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)) \
-        .when(target.startswith("/"), F.concat(site, target)).otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
+    whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)) \
+        .when(target.startswith("/"), F.concat(site, target)).when(target.startswith("?"), F.concat(site, path_of(base), target)) \
+        .when(target.startswith("#"), base).otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
+    return _without_dots(whole)
 
 
 def link_edges(pages: DataFrame) -> DataFrame:

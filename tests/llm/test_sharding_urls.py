@@ -5,6 +5,8 @@ import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sessionmill.llm import sharding, urlfilter
 from tests.llm.conftest import prose
 
@@ -84,3 +86,24 @@ def test_aliases_take_over_decisions(spark):
     redirects = spark.createDataFrame([("http://f.net/9", "http://g.net/"), ("http://g.net/", "http://evil.net/"), (None, "http://x.net")], "source string, target string")
     got = urlfilter.judge(spark.createDataFrame(pages, PAGES), urlfilter.rules_frame(spark, RULES), redirects).collect()
     assert {r.page_id: r.verdict for r in got} == want
+
+
+def test_forms_of_links(spark):
+    """Each way to write a link leads to the same blocked address, or around it."""
+    refresh, canonical = '<meta http-equiv="refresh" content="{}">', '<link rel="canonical" href="{}">'
+    base, blocked = "http://a{}.net/d/e/page?q=1", "https://bad.net/x/y"
+    rules = [("block", "bad.net", "/x/"), ("block", "root.net", "/"), *[("block", f"a{k}.net", "/t") for k in range(20, 40)], ("block", "a30.net", "/d/e/list")]
+    cases = [
+        (1, refresh.format(f"0; url='{blocked}'")), (2, f"""<meta http-equiv=refresh content='0;URL="{blocked}"'>"""), (3, refresh.format(f"0.5; url={blocked}")),
+        (4, refresh.format(f".5 ; url = '{blocked}'")), (5, canonical.format("https://bad.net/z/../x/./y")), (6, canonical.format("https://root.net")),
+        (20, canonical.format("../../t")), (21, canonical.format("./../.././../../t#x")), (22, canonical.format("/u/../t?v=/../")), (23, canonical.format("//a23.net/./t")),
+        (24, canonical.format("../../t/..x")), (30, canonical.format("?q=2")), (31, canonical.format("../t")), (32, canonical.format("#t")),
+    ]
+    pages = [page(k, base.format(k), html) for k, html in cases]
+    # page 30 and its other query are one page: the block of what that page leads to holds for both
+    pages += [page(100, "http://a30.net/d/e/page?q=2", refresh.format("0; url='list'")), page(101, "https://root.net/"), page(102, "http://root.net", canonical.format("http://c.net/1"))]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages, PAGES), urlfilter.rules_frame(spark, rules)).collect()}
+    assert got == {k: "allow" if k in (31, 32) else "block" for k in got}
+    urls = ["https://h/a/b/..", "https://h/..", "https://h/a/./?x=/../", "https://h", "http://h/a/.../b"]
+    fixed = spark.createDataFrame([(u,) for u in urls], "u string").select(urlfilter._without_dots(F.col("u"))).collect()
+    assert [r[0] for r in fixed] == ["https://h/a/", "https://h/", "https://h/a/?x=/../", "https://h", "http://h/a/.../b"]
