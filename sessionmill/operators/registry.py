@@ -80,26 +80,30 @@ def remove_sessions(current: DataFrame, removed: DataFrame) -> DataFrame:
 
 # --- ageing ----------------------------------------------------------------
 
-def _silent(now: Column, limit: timedelta) -> Column:
+def is_expired(now: Column, limit: timedelta) -> Column:
     """Silent for ``limit`` or longer; an unreadable time counts as oldest."""
     last = parse_rfc3339(F.col("last_activity"))
     return last.isNull() | (age_micros(last, now) >= micros(limit))
 
 
+def exempt() -> Column:
+    """States that wait on the user, ended or are stale already do not turn stale."""
+    return F.col("status").isin("stale", "done", "needs_you", "failed")
+
+
 def mark_stale(current: DataFrame, now: Column, limit: timedelta = C.STALE_SILENCE) -> DataFrame:
     """Add ``staled`` and set the status; states that wait on the user are exempt."""
-    exempt = F.col("status").isin("stale", "done", "needs_you", "failed")
-    return current.withColumn("staled", ~exempt & _silent(now, limit)).withColumn(
+    return current.withColumn("staled", ~exempt() & is_expired(now, limit)).withColumn(
         "status", F.when(F.col("staled"), "stale").otherwise(F.col("status")))
 
 
 def expired(current: DataFrame, now: Column, limit: timedelta = C.RETENTION) -> DataFrame:
     """Sessions to remove, whatever their status."""
-    return current.where(_silent(now, limit))
+    return current.where(is_expired(now, limit))
 
 
 def retained(current: DataFrame, now: Column, limit: timedelta = C.RETENTION) -> DataFrame:
-    return current.where(~_silent(now, limit))
+    return current.where(~is_expired(now, limit))
 
 
 def housekeeping(current: DataFrame, now: Column, stale: timedelta = C.STALE_SILENCE,
@@ -109,7 +113,7 @@ def housekeeping(current: DataFrame, now: Column, stale: timedelta = C.STALE_SIL
     A session that is both only emits its removal. The transition of a sweep
     has no previous status and happens at ``now``.
     """
-    swept = mark_stale(current, now, stale).withColumn("__gone", _silent(now, keep))
+    swept = mark_stale(current, now, stale).withColumn("__gone", is_expired(now, keep))
     return (
         swept.where(F.col("__gone") | F.col("staled"))
         .withColumns({

@@ -1,16 +1,16 @@
 """Registry over a stream of snapshots: one ``foreachBatch`` step per trigger.
 
-Each step reads the newest registry version below its own batch id, classifies
-the batch against it, runs the housekeeping sweep, and writes changes,
-transitions, fired alerts, the next registry version and the last fire of each
-session. All folders are named by batch id, and the time a step runs at is
-written before anything else, so a replayed batch rewrites the same result.
+The live sessions lie in a :class:`KeyedTable`. A step reads the buckets of the keys that arrived and of those in which
+a session falls due, classifies the batch against the stored rows, runs the housekeeping sweep over what falls due, and
+writes changes, transitions, fired alerts and the rows that changed. All folders are named by batch id, and the time a
+step runs at is written before anything else, so a replayed batch rewrites the same result.
+
+A step also runs when only a clock tick arrives (``ticks``), so sessions turn stale and leave on a silent stream.
 
 Feed and history rows carry a total order (``registry.STREAM_ORDER``): batch,
 phase (changes before the sweep, an opening state last), row.
 
-Intermediate tables go at the end of each step, versions older than the last
-two as well.
+Intermediate tables go at the end of each step.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionmill import contracts as C
-from sessionmill.functions.times import micros
+from sessionmill.functions.times import micros, parse_rfc3339
 from sessionmill.operators import alerts, entities, feed, registry, views
 from sessionmill.plans.tables import materialize, scratch
+from sessionmill.streaming.keyed import KeyedTable
 from sessionmill.streaming.sinks import expire_versions, newest_version, read_log, write_batch
 
 SESSIONS = T.StructType(C.SNAPSHOT.fields)
@@ -43,9 +44,19 @@ def number_arrivals(batch: DataFrame, *order: str) -> DataFrame:
     return batch.orderBy(*order).withColumn("arrival", F.monotonically_increasing_id())
 
 
-def _version(spark: SparkSession, path: str, before: int, schema: T.StructType) -> DataFrame:
-    version = newest_version(spark, path, before)
-    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/batch_id={version}")
+def due_at(stale: timedelta, keep: timedelta) -> Column:
+    """Instant in microseconds at which the sweep has something to do with a session; one without a readable time is due at once."""
+    at = F.unix_micros(parse_rfc3339(F.col("last_activity")))
+    return F.coalesce(F.least(at + micros(keep), F.when(~registry.exempt(), at + micros(stale))), F.lit(0))
+
+
+def session_table(spark: SparkSession, out: str, stale: timedelta = C.STALE_SILENCE, keep: timedelta = C.RETENTION) -> KeyedTable:
+    return KeyedTable(spark, f"{out}/sessions", SESSIONS, registry.KEY, due=F.when(~F.col("gone"), due_at(stale, keep)))
+
+
+def fire_table(spark: SparkSession, out: str) -> KeyedTable:
+    """Last fire of each logical session."""
+    return KeyedTable(spark, f"{out}/last_fired", FIRED, ["logical_key"], fold=lambda rows: rows.groupBy("logical_key").agg(F.max("fired_at").alias("fired_at")))
 
 
 def edges_of(changes: DataFrame, at: str, order: str = "arrival") -> DataFrame:
@@ -68,35 +79,43 @@ def apply_batch(
     """One registry step. ``batch``: snapshot columns plus ``arrival`` and ``received_at``."""
     with scratch(spark):
         _apply(spark, batch, batch_id, out, now, stale, keep, cooldown)
-    for versioned in ("sessions", "last_fired"):
-        expire_versions(spark, f"{out}/{versioned}", batch_id)
 
 
 def _apply(spark, batch, batch_id, out, now, stale, keep, cooldown) -> None:
     columns = [f.name for f in SESSIONS.fields]
-    stored = _version(spark, f"{out}/sessions", batch_id, SESSIONS)
+    live, fires = session_table(spark, out, stale, keep), fire_table(spark, out)
+    instant = spark.range(1).select(F.unix_micros(now)).first()[0]
+    touched, due = live.buckets_of(batch), live.due_by(instant, batch_id)
+    arrived = batch.select(*registry.KEY).distinct()
+    stored = materialize(live.read(batch_id, touched).join(arrived, registry.KEY, "left_semi").select(*columns), "stored")
+
     # every later step reads the classified batch; write it once
     changes = materialize(registry.registry_changes(batch, stored=stored).withColumn("phase", F.lit(CHANGED)), "changes")
     visible = changes.where(F.col("change_type") != "unchanged")
     merged = stored.withColumn("place", F.lit(None).cast("bigint")).unionByName(visible.select(*columns, F.col("arrival").alias("place")))
-    newest = materialize(registry.latest(merged.withColumn("place", F.struct(F.col("place").isNotNull(), "place")), "place").select(*columns), "newest")
-    sweep = materialize(number_arrivals(registry.housekeeping(newest, now, stale, keep), "key").withColumn("phase", F.lit(SWEPT)), "sweep")
+    newest = registry.latest(merged.withColumn("place", F.struct(F.col("place").isNotNull().alias("moved"), "place")), "place").select(*columns, "place.moved")
+    others = live.read(batch_id, due).join(arrived, registry.KEY, "left_anti").select(*columns, F.lit(False).alias("moved"))
+    seen = materialize(newest.unionByName(others), "seen")
+    sweep = materialize(number_arrivals(registry.housekeeping(seen.drop("moved"), now, stale, keep), "key").withColumn("phase", F.lit(SWEPT)), "sweep")
     write_batch(feed.change_feed(changes, sweep), f"{out}/feed", batch_id)
     swept = sweep.where(F.col("event") == "upsert").select("key", "at", "from_status", "to_status", "phase", "arrival")
     write_batch(registry.transitions(changes, "phase", "arrival").unionByName(swept), f"{out}/transitions", batch_id)
 
     edges = materialize(edges_of(changes, "received_at"), "edges")
-    earlier = _version(spark, f"{out}/last_fired", batch_id, FIRED)
+    earlier = fires.read(batch_id, fires.buckets_of(edges))
     fired = materialize(alerts.throttle(edges, cooldown, last_fired=earlier), "fired")
     told = views.alert_view(edges.join(fired, ["logical_key", "alert_at"])).withColumnRenamed("alert_at", "fired_at")
     write_batch(told.select(*[f.name for f in ALERTS.fields]), f"{out}/alerts", batch_id)
     # a fire matters as long as an alert of a later batch can fall into its cooldown; rows arrive in time order by batch
-    oldest = F.unix_micros(batch.agg(F.min("received_at")).scalar())
-    last = earlier.unionByName(fired.withColumnRenamed("alert_at", "fired_at")).groupBy("logical_key").agg(F.max("fired_at").alias("fired_at"))
-    write_batch(last.where(F.unix_micros("fired_at") + micros(cooldown) > oldest), f"{out}/last_fired", batch_id)
+    oldest = F.coalesce(F.unix_micros(batch.agg(F.min("received_at")).scalar()), F.lit(instant))
+    fires.write(fired.withColumnRenamed("alert_at", "fired_at"), batch_id,
+                alive=lambda rows: rows.where(F.unix_micros("fired_at") + micros(cooldown) > oldest))
 
-    kept = registry.retained(registry.mark_stale(newest, now, stale), now, keep).select(*columns)
-    write_batch(kept, f"{out}/sessions", batch_id)
+    aged = materialize(registry.mark_stale(seen, now, stale).withColumn("gone", registry.is_expired(now, keep)), "aged")
+    opened = aged.where(~F.col("gone")).withColumn("bucket", live.bucket()).groupBy("bucket").agg(F.min(due_at(stale, keep)).alias("due"))
+    # in the buckets that were due every row was looked at
+    looked = dict.fromkeys(due) | {r["bucket"]: r["due"] for r in opened.where(F.col("bucket").isin(list(due))).collect()} if due else {}
+    live.write(aged.where(F.col("moved") | F.col("staled") | F.col("gone")), batch_id, due=looked)
 
 
 def _wall_clock(batch: DataFrame) -> DataFrame:
@@ -112,22 +131,45 @@ def step_time(batch: DataFrame, batch_id: int, out: str, clock: Callable[[DataFr
     return F.timestamp_micros(F.lit(spark.read.parquet(f"{path}/batch_id={batch_id}").select(F.unix_micros("now")).first()[0]))
 
 
+TICK = "__tick"
+
+
+def clock_ticks(spark: SparkSession) -> DataFrame:
+    """A tick for each second of a running query; its trigger interval decides how often the sweep looks."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.col("timestamp").alias("now"))
+
+
 def run_registry(
     snapshots: DataFrame,
     out: str,
     order: list[str],
     clock: Callable[[DataFrame], DataFrame] = _wall_clock,
     trigger: dict | None = None,
+    ticks: DataFrame | None = None,
     **limits: timedelta,
 ) -> StreamingQuery:
     """Start the registry stream; ``order`` names the columns that give arrival order inside a trigger, ``clock`` makes
-    the one row of a step's time from its batch."""
+    the one row of a step's time from its batch.
+
+    ``ticks``: a stream of instants (``now``), such as :func:`clock_ticks`. Steps then run without new snapshots as well, and
+    no step's time lies before its newest tick.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch(spark):
-            numbered = materialize(number_arrivals(batch, *order), "arrivals")
-            apply_batch(spark, numbered, batch_id, out, step_time(numbered, batch_id, out, clock), **limits)
+            arrived = materialize(batch, "arrived")
+            rows = arrived if ticks is None else arrived.where(F.col(TICK).isNull()).drop(TICK)
+            numbered = materialize(number_arrivals(rows, *order), "arrivals")
+
+            def time(df: DataFrame) -> DataFrame:
+                if ticks is None:
+                    return clock(df)
+                return spark.range(1).select(F.greatest(clock(df).scalar(), arrived.agg(F.max(TICK)).scalar()).alias("now"))
+
+            apply_batch(spark, numbered, batch_id, out, step_time(numbered, batch_id, out, time), **limits)
 
+    if ticks is not None:
+        snapshots = snapshots.unionByName(ticks.select(F.col("now").alias(TICK)), allowMissingColumns=True)
     return (
         snapshots.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{out}/_checkpoints/registry")
@@ -136,8 +178,8 @@ def run_registry(
 
 
 def sessions(spark: SparkSession, out: str) -> DataFrame:
-    """Newest registry version."""
-    return _version(spark, f"{out}/sessions", 1 << 62, SESSIONS)
+    """Live sessions after the newest step."""
+    return session_table(spark, out).read()
 
 
 def history(spark: SparkSession, out: str) -> DataFrame:
@@ -147,7 +189,7 @@ def history(spark: SparkSession, out: str) -> DataFrame:
 
 def opening(spark: SparkSession, out: str, overlap: timedelta = C.OVERLAP_WINDOW) -> DataFrame:
     """What a reader gets first: the logical sessions of the newest version as full rows behind its batch."""
-    version = newest_version(spark, f"{out}/sessions", 1 << 62)
+    version = session_table(spark, out).version()
     merged = entities.logical_sessions(sessions(spark, out), overlap).drop("logical_key")
     at = {"batch_id": F.lit(-1 if version is None else version).cast("bigint"), "phase": F.lit(OPENING), "arrival": F.lit(0).cast("bigint")}
     return feed.full_state(merged, **at)

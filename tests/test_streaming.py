@@ -19,7 +19,7 @@ def batch(spark, rows, minute):
 def state(spark, out):
     def table(name):
         return sorted(map(str, spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}").collect()))
-    return {name: table(name) for name in ("feed", "transitions", "alerts", "sessions")}
+    return {**{name: table(name) for name in ("feed", "transitions", "alerts")}, "sessions": sorted(map(str, RS.sessions(spark, out).collect()))}
 
 
 def test_registry_steps_and_replay(spark, tmp_path):
@@ -131,7 +131,8 @@ def test_steps_leave_no_scratch_and_few_versions(spark, tmp_path):
     for i in range(4):
         RS.apply_batch(spark, batch(spark, [snap(0, at=f"2026-07-10T09:0{i}:00Z")], i), i, out, F.lit(START + timedelta(minutes=i)))
     assert set(os.listdir(scratch)) == before
-    assert sorted(n for n in os.listdir(f"{out}/sessions") if n.startswith("batch")) == ["batch_id=2", "batch_id=3"]
+    for table in ("sessions", "last_fired"):
+        assert sorted(n for n in os.listdir(f"{out}/{table}/manifest") if n.startswith("batch")) == ["batch_id=2", "batch_id=3"]
 
 
 def test_step_time_is_taken_once(spark, tmp_path):
