@@ -34,22 +34,46 @@ def newest(col: str | Column, order: Column | None = None) -> Column:
     return F.max_by(col, F.when(col.isNotNull(), order_key() if order is None else order))
 
 
-def session_facts(records: DataFrame) -> DataFrame:
-    """One row per file: metadata, flags, counters, gauges and clocks."""
-    line_row = F.col("pos") == -1
-    return records.groupBy("file", "source").agg(
-        *[newest(c).alias(c) for c in (
-            "session_id", "cwd", "git_branch", "repository_url", "originator", "model", "approval_policy",
-            "interrupted", "finished", "stop", "todos", "total", "last_total_tokens", "context_window", "rate_limits",
-        )],
-        newest("tokens").alias("last_tokens"),
+# Fact: the record column whose newest value it is.
+NEWEST = {c: c for c in (
+    "session_id", "cwd", "git_branch", "repository_url", "originator", "model", "approval_policy",
+    "interrupted", "finished", "stop", "todos", "total", "last_total_tokens", "context_window", "rate_limits",
+)} | {"last_tokens": "tokens"}
+
+
+def _clocks_and_counters() -> list[Column]:
+    return [
         F.max("active_ts").alias("last_activity"),
         F.min("active_ts").alias("first_activity"),
         F.max(F.when(F.col("clears"), order_key())).alias("cleared_at"),
-        F.count_if(line_row).alias("lines"),
+        F.count_if(F.col("pos") == -1).alias("lines"),
         F.count_if(F.col("parse_error")).alias("parse_errors"),
         F.count_if(F.col("sidechain")).alias("sidechain_records"),
-    )
+    ]
+
+
+def session_facts(records: DataFrame) -> DataFrame:
+    """One row per file: metadata, flags, counters, gauges and clocks."""
+    return records.groupBy("file", "source").agg(*[newest(c).alias(name) for name, c in NEWEST.items()], *_clocks_and_counters())
+
+
+def partial_facts(records: DataFrame) -> DataFrame:
+    """Facts of some of a file's records, each newest value with its place (``at``), to be merged by :func:`merge_facts`."""
+    placed = [newest(F.when(F.col(c).isNotNull(), F.struct(order_key().alias("at"), F.col(c).alias("value")))).alias(name) for name, c in NEWEST.items()]
+    return records.groupBy("file", "source").agg(*placed, *_clocks_and_counters())
+
+
+def merge_facts(partials: DataFrame) -> DataFrame:
+    """One partial row per file from several."""
+    return partials.groupBy("file", "source").agg(
+        *[newest(name, F.col(f"{name}.at")).alias(name) for name in NEWEST],
+        F.max("last_activity").alias("last_activity"), F.min("first_activity").alias("first_activity"), F.max("cleared_at").alias("cleared_at"),
+        *[F.sum(c).alias(c) for c in ("lines", "parse_errors", "sidechain_records")])
+
+
+def finish_facts(merged: DataFrame) -> DataFrame:
+    """Merged partial rows as :func:`session_facts` gives them."""
+    return merged.select(*[F.col(f"{c}.value").alias(c) if c in NEWEST else F.col(c) for c in merged.columns])
 
 
 def with_call_starts(records: DataFrame) -> DataFrame:
@@ -83,6 +107,12 @@ def call_states(records: DataFrame) -> DataFrame:
     )
 
 
+def merge_calls(states: DataFrame) -> DataFrame:
+    """:func:`call_states` of a file's records from those of some of them."""
+    return states.groupBy("file", "call_id").agg(
+        F.max("opened_at").alias("opened_at"), F.max("closed_at").alias("closed_at"), newest("call", F.col("opened_at")).alias("call"))
+
+
 def call_task(name: Column, label: Column) -> Column:
     return F.when(label.isNotNull(), F.concat(name, F.lit(": "), label)).otherwise(name)
 
@@ -144,15 +174,21 @@ def waiting_prompts(hook_state: DataFrame, facts: DataFrame) -> DataFrame:
     """
     prompts = hook_state.where(F.col("hook.kind") == "prompt").select(
         "session_id", F.col("hook.message").alias("prompt"), F.col("hook.received_at").alias("prompt_ts"))
-    quiet = F.col("last_activity").isNull() | (F.col("last_activity") <= F.col("prompt_ts"))
+    return unanswered(delivered_prompts(prompts, facts), facts)
+
+
+def delivered_prompts(prompts: DataFrame, facts: DataFrame) -> DataFrame:
+    """(file, session_id, prompt, prompt_ts): prompts whose transcript began before their buffer time was over."""
     in_time = F.col("first_activity").isNull() | (
         F.unix_micros("first_activity") - F.unix_micros("prompt_ts") < micros(C.PROMPT_TTL))
-    return (
-        facts.where(F.col("source") == C.SOURCE_A)
-        .select("file", "session_id", "first_activity", "last_activity")
-        .join(prompts, "session_id").where(quiet & in_time)
-        .select("file", "session_id", "prompt", "prompt_ts")
-    )
+    own = facts.where(F.col("source") == C.SOURCE_A).select("file", "session_id", "first_activity")
+    return own.join(prompts, "session_id").where(in_time).select("file", "session_id", "prompt", "prompt_ts")
+
+
+def unanswered(delivered: DataFrame, facts: DataFrame) -> DataFrame:
+    """Delivered prompts of files in which nothing happened since."""
+    quiet = F.col("last_activity").isNull() | (F.col("last_activity") <= F.col("prompt_ts"))
+    return delivered.join(facts.select("file", "last_activity"), "file").where(quiet).select("file", "session_id", "prompt", "prompt_ts")
 
 
 # --- state and snapshot ----------------------------------------------------

@@ -10,26 +10,44 @@ from sessionmill.operators.facts import SEGMENT, newest, order_key, with_segment
 from sessionmill.operators.segments import Running, running
 
 
-def message_usage(records: DataFrame) -> DataFrame:
-    """Last write per (file, message id): streamed repeats carry cumulative usage."""
+def placed_messages(records: DataFrame) -> DataFrame:
+    """Last write per (file, message id) with its place (``at``): streamed repeats carry cumulative usage."""
     named = records.where(F.col("message_id").isNotNull() & F.col("tokens").isNotNull())
-    return (
-        named.groupBy("file", "source", "message_id")
-        .agg(F.max_by(F.struct("ts", "tokens"), order_key()).alias("w"))
-        .select("file", "source", "message_id", "w.ts", "w.tokens")
-    )
+    placed = named.select("file", "source", "message_id", order_key().alias("at"), "ts", "tokens")
+    return merge_messages(placed)
+
+
+def merge_messages(placed: DataFrame) -> DataFrame:
+    last = placed.groupBy("file", "source", "message_id").agg(F.max_by(F.struct("at", "ts", "tokens"), "at").alias("w"))
+    return last.select("file", "source", "message_id", "w.at", "w.ts", "w.tokens")
+
+
+def message_usage(records: DataFrame) -> DataFrame:
+    return placed_messages(records).drop("at")
+
+
+def last_totals(records: DataFrame) -> DataFrame:
+    """(file, total): the cumulative total that the next increment starts from."""
+    timed = F.when(F.col("ts").isNotNull(), F.col("total"))
+    return records.groupBy("file").agg(newest(timed).alias("total")).where(F.col("total").isNotNull())
 
 
-def usage_deltas(records: DataFrame) -> DataFrame:
+def usage_deltas(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Cumulative totals to increments.
 
     Records without a time do not move the baseline. A total that shrank in
     input or output restarts the count. Increments without input and output
-    are skipped.
+    are skipped. ``stored``: the last totals of files (:func:`last_totals`) before these records.
     """
     totals = with_segment(records.where(F.col("total").isNotNull() & F.col("ts").isNotNull())
                           .select("file", "source", "seq", "line", "pos", "ts", "total"))
-    seen = running(totals, ["file"], SEGMENT, ["seq", "line", "pos"], before=Running("prev", F.col("total")))
+    segments = SEGMENT
+    if stored is not None:
+        segments = ["__new", *SEGMENT]
+        first = stored.select("file", "total").withColumns({c: F.lit(0).cast("bigint") for c in ("seq", "line", "cut")}).withColumn("__new", F.lit(False))
+        totals = totals.withColumn("__new", F.lit(True)).unionByName(first.withColumn("pos", F.lit(0)), allowMissingColumns=True)
+    seen = running(totals, ["file"], segments, ["seq", "line", "pos"], before=Running("prev", F.col("total")))
+    seen = seen if stored is None else seen.where("__new")
     zero = F.lit(0).cast("bigint")
 
     def now_(f: str) -> Column:

@@ -7,6 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionmill import contracts as C
 from sessionmill.functions import display as D
@@ -19,6 +20,7 @@ from sessionmill.plans.tables import materialize, new_folder
 from sessionmill.sources import snapshots as SN
 from sessionmill.sources import transcripts as TR
 from sessionmill.streaming import registry_stream, tracking
+from sessionmill.streaming.sinks import append_log, read_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,6 +168,27 @@ def carried_lines(spark, sf):
     return TR.carried_lines(chunks, ["doc_id"], "seq").groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
+@query("""pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS line,
+  len(string_split(text, chr(10))) AS n FROM documents)""", """
+SELECT doc_id, value, count(*) AS n FROM pieces WHERE line < n - 1 AND value <> '' GROUP BY 1, 2""")
+def stream_lines(spark, sf):
+    """The same chunks landing one after the other: a stream with a trigger for each quarter of a text's chunks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text <> ''")
+    last = F.floor((F.length("text") - 1) / 700).cast("int")
+    chunks = docs.select("doc_id", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    value = F.col("text").substr(F.col("seq") * 700 + 1, F.lit(700)).alias("value")
+    quarter = F.floor(F.col("seq") * 4 / (F.col("last") + 1)).cast("int").alias("quarter")
+    landed, out = new_folder(spark, "chunks"), new_folder(spark, "lines")
+    chunks.select("doc_id", "seq", value, quarter).write.partitionBy("quarter").parquet(f"{landed}/all")
+    for q in range(4):
+        spark.read.schema("doc_id long, seq int, value string").parquet(f"{landed}/all/quarter={q}").write.mode("append").parquet(f"{landed}/live")
+        live = spark.readStream.schema("doc_id long, seq int, value string").parquet(f"{landed}/live")
+        lines = TR.stream_carried_lines(live, ["doc_id"], "seq")
+        lines.writeStream.foreachBatch(append_log(f"{out}/log")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    log = read_log(spark, f"{out}/log", T.StructType.fromDDL("doc_id long, seq int, line long, value string"))
+    return log.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
 @query(O.FX, """
 SELECT file AS session_id, CASE WHEN event_type = 'error' THEN 'prompt' ELSE 'resolution' END AS kind,
   CASE WHEN event_type = 'error' THEN 'Needs your PERMISSION to use ' || (event_id % 4) ELSE '' END AS message, event_id AS ord
@@ -827,21 +850,69 @@ def _landed_lines(spark, root: str) -> DataFrame:
         "maxFilesPerTrigger", 4).parquet(root)
 
 
-@query(O.FX, O.MSG, O.FACTS, f"""
-SELECT file, source, CASE WHEN state = 'needs_you' THEN 'x' ELSE state END AS state, pending, {SQL_TOK}, parse_errors, sidechain_records FROM
-  (SELECT s.*, u.* EXCLUDE (file, source) FROM (SELECT * REPLACE (CASE WHEN state = 'needs_you' THEN CASE WHEN pending > 0 THEN 'tool_running' WHEN fin THEN 'done'
-     WHEN now - last_activity >= INTERVAL 30 MINUTE THEN 'stale' WHEN now - last_activity >= INTERVAL 10 SECOND THEN 'idle' ELSE 'thinking' END ELSE state END AS state)
-     FROM stated, nowt) s JOIN used u ON u.file = s.file)""")
+STEPS = 5
+
+
+def _tracking_run(spark, sf) -> str:
+    """The tracking stream over fifths of the lines and hooks, with the real retention; one run per application."""
+    key = ("tracking", spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        root, hooks, out = new_folder(spark, "landing"), new_folder(spark, "hooks"), new_folder(spark, "tracking")
+        lines = materialize(S.transcript_lines(spark, sf).withColumn("event_id", event_id()), "lines")
+        told, top = S.hook_lines(spark, sf), lines.agg(F.max("event_id")).first()[0]
+        for part in range(STEPS):
+            low, high = top * part // STEPS if part else -1, top * (part + 1) // STEPS
+            now = lambda c: (F.col(c) > low) & (F.col(c) <= high)  # noqa: B023, E731
+            lines.where(now("event_id")).drop("event_id").write.mode("append").parquet(root)
+            told.where(now("ord")).write.mode("append").parquet(hooks)
+            live, hook = spark.readStream.schema(C.LINES).parquet(root), spark.readStream.schema(TR.HOOK_COLUMNS).parquet(hooks)
+            for q in tracking.track(live, out, hook, clock=tracking.event_clock):
+                q.awaitTermination()
+        _RUNS[key] = out
+    return _RUNS[key]
+
+
+def _lives_sql() -> str:
+    """Which files the tracking stream holds after each step, and since which step: a file leaves when it has been silent for a day."""
+    cut = " ".join(f"WHEN event_id <= top * {i + 1} // {STEPS} THEN {i}" for i in range(STEPS))
+    parts = ["edge AS (SELECT max(event_id) AS top FROM events)", f"ev AS (SELECT fx.*, CASE {cut} END AS batch FROM fx, edge)", """
+nb AS (SELECT batch, max(greatest(active_ts, CASE WHEN event_type IN ('error', 'click') THEN ts + INTERVAL 1 MINUTE END)) AS now FROM ev GROUP BY 1)"""]
+    for i in range(STEPS):
+        now = f"(SELECT now FROM nb WHERE batch = {i})"
+        parts.append(f"n{i} AS (SELECT file, max(active_ts) AS act FROM ev WHERE batch = {i} GROUP BY 1)")
+        parts.append(f"""st{i} AS (SELECT coalesce(k.file, n.file) AS file, CASE WHEN k.file IS NULL THEN {i} ELSE k.start END AS start, greatest(k.act, n.act) AS act,
+  CASE WHEN n.file IS NOT NULL THEN {now} ELSE k.landed END AS landed FROM kp{i - 1} k FULL JOIN n{i} n ON k.file = n.file)""" if i else f"""
+st0 AS (SELECT file, 0 AS start, act, {now} AS landed FROM n0)""")
+        parts.append(f"kp{i} AS (SELECT * FROM st{i} WHERE coalesce(act, landed) + INTERVAL 24 HOUR > {now})")
+    lives = " UNION ALL ".join(f"SELECT file, start, {i} AS batch FROM st{i}" for i in range(STEPS))
+    parts.append(f"lives AS ({lives})")
+    parts.append(f"fxk AS (SELECT ev.* EXCLUDE (batch) FROM ev JOIN kp{STEPS - 1} k ON k.file = ev.file WHERE batch >= start)")
+    parts.append("fxl AS (SELECT ev.* EXCLUDE (batch) REPLACE (ev.file || '#' || start AS file) FROM ev JOIN lives ON lives.file = ev.file AND lives.batch = ev.batch)")
+    return ",".join(parts)
+
+
+_LIVES = _lives_sql()
+_KEPT = [O.FX, _LIVES, O.MSG.replace("FROM fx ", "FROM fxk "), O.FACTS.replace("FROM fx ", "FROM fxk ")]
+
+
+@query(*_KEPT, f"""
+SELECT s.file, s.source, state, pending, {SQL_TOK}, parse_errors, sidechain_records FROM stated s JOIN used u ON u.file = s.file""")
 def stream_tracking(spark, sf):
-    root, out = _land(spark, sf), new_folder(spark, "tracking")
-    lines = _landed_lines(spark, root)
-    for q in tracking.track(lines, out):
-        q.awaitTermination()
-    state = tracking.tracked(spark, out, lines)
+    """State of every file that was active in the last day, after five steps."""
+    state = tracking.tracked(spark, _tracking_run(spark, sf), hooks=True)
     f = facts.with_pending(state.facts, state.calls)
-    u = facts.session_usage(f, state.messages)
-    return f.join(u, "file").select("file", "source", facts.state_at(S.now_of(spark, sf)).alias("state"), "pending", *tokens("usage"),
-                                    "parse_errors", "sidechain_records")
+    waits = facts.unanswered(state.delivered, f).select("file", F.lit(True).alias("waits"))
+    u = facts.session_usage(f, state.messages).drop("source")
+    return f.join(u, "file").join(waits, "file", "left").select(
+        "file", "source", facts.state_at(S.now_of(spark, sf), F.coalesce("waits", F.lit(False))).alias("state"), "pending", *tokens("usage"),
+        "parse_errors", "sidechain_records")
+
+
+@query(O.FX, _LIVES, O.MSG.replace("FROM fx ", "FROM fxl "), f"""
+SELECT split_part(file, '#', 1) AS file, event_id, epoch_us(ts) AS ts_us, {SQL_TOK} FROM deltas""")
+def stream_usage_deltas(spark, sf):
+    """Increments appended step by step; a file that left the state starts again from nothing."""
+    return tracking.usage_increments(spark, _tracking_run(spark, sf)).select("file", event_id(), us("ts").alias("ts_us"), *tokens())
 
 
 def _landed_files(spark, sf) -> str:
@@ -950,17 +1021,11 @@ def closed_records(spark, sf):
     return _by_session(lines, F.col("file"))
 
 
-@query(O.FX, O.FACTS, "SELECT file, session_id, prompt, epoch_us(prompt_ts) AS prompt_us FROM waiting")
+@query(*_KEPT, "SELECT file, session_id, prompt, epoch_us(prompt_ts) AS prompt_us FROM waiting")
 def stream_prompts(spark, sf):
-    """Waiting prompts from the tracking stream: lines and hook log as streams, joined in their newest state."""
-    root, out, hooks = _land(spark, sf), new_folder(spark, "tracking"), new_folder(spark, "hooks")
-    S.hook_lines(spark, sf).write.parquet(hooks)
-    lines, hook = _landed_lines(spark, root), spark.readStream.schema(TR.HOOK_COLUMNS).parquet(hooks)
-    for q in tracking.track(lines, out, hook):
-        q.awaitTermination()
-    state = tracking.tracked(spark, out, lines, hook)
-    return facts.waiting_prompts(state.hooks, facts.with_pending(state.facts, state.calls)).select(
-        "file", "session_id", "prompt", us("prompt_ts").alias("prompt_us"))
+    """Prompts that the tracking stream delivered to a transcript in which nothing happened since."""
+    state = tracking.tracked(spark, _tracking_run(spark, sf), hooks=True)
+    return facts.unanswered(state.delivered, state.facts).select("file", "session_id", "prompt", us("prompt_ts").alias("prompt_us"))
 
 
 @query(O.FX, O.MSG, f"""
@@ -1000,6 +1065,34 @@ def stream_feed(spark, sf):
     return rows.select(F.col("batch_id").cast("int").alias("batch_id"), "phase", "event", "key", "status")
 
 
+_TICK_HOURS = (0, 6, 13, 48, 100, 130)
+
+
+@query(O.OBS, f"""
+ticks AS (SELECT i, now + h * INTERVAL 1 HOUR AS t FROM nowt, (SELECT unnest(range({len(_TICK_HOURS)})) AS i, unnest([{", ".join(map(str, _TICK_HOURS))}]) AS h)),
+life AS (SELECT machine || '/' || source || '/' || agent_id AS key, decays,
+    (SELECT min(i) FROM ticks WHERE act IS NULL OR t - act >= INTERVAL 36 HOUR) AS s, (SELECT min(i) FROM ticks WHERE act IS NULL OR t - act >= INTERVAL 120 HOUR) AS r
+  FROM aged)""", """
+SELECT CAST(s AS INTEGER) AS batch_id, 'upsert' AS event, key, strftime(t, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM life JOIN ticks ON i = s WHERE decays AND (r IS NULL OR s < r)
+UNION ALL SELECT CAST(r AS INTEGER), 'removed', key, NULL FROM life WHERE r IS NOT NULL""")
+def stream_sweep(spark, sf):
+    """All observations in one step, then ticks only: sessions turn stale after 36 hours and leave after five days, each at its tick."""
+    root, ticks, out = new_folder(spark, "snapshots"), new_folder(spark, "ticks"), new_folder(spark, "registry")
+    obs = S.observations(spark, sf).withColumnRenamed("ts", "received_at").withColumnRenamed("arrival", "sent")
+    obs.write.parquet(root)
+    now = S.now_of(spark, sf)
+    for some in (_TICK_HOURS[:1], _TICK_HOURS[1:]):
+        for hours in some:
+            spark.range(1).select((now + F.make_dt_interval(hours=F.lit(hours))).alias("now")).coalesce(1).write.mode("append").parquet(ticks)
+        tick = spark.readStream.schema("now timestamp").option("maxFilesPerTrigger", 1).parquet(ticks)
+        registry_stream.run_registry(
+            spark.readStream.schema(obs.schema).parquet(root), out, ["sent"], clock=lambda b: b.agg(F.max("received_at").alias("now")), ticks=tick,
+            stale=timedelta(hours=36), keep=timedelta(hours=120)).awaitTermination()
+    swept = read_log(spark, f"{out}/feed", registry_stream.FEED).where(F.col("phase") == registry_stream.SWEPT)
+    times = registry_stream.history(spark, out).select("batch_id", "key", "phase", "at")
+    return swept.join(times, ["batch_id", "key", "phase"], "left").select(F.col("batch_id").cast("int").alias("batch_id"), "event", "key", "at")
+
+
 @query(O.OBS, _STREAM, O.LOGICAL.replace("FROM cur", "FROM kept0").replace("INTERVAL 5 DAY", "INTERVAL 90 SECOND"), """
 v AS (SELECT * FROM fd WHERE batch_id > 0 UNION ALL SELECT 0, 3, 0, 'full', machine || '/' || source || '/' || agent_id, logical_key, machine, status FROM logical),
 sh AS (SELECT logical_key, arg_max({'k': key, 'm': machine, 's': status, 'o': {'b': batch_id, 'p': phase, 'a': arrival}}, {'b': batch_id, 'p': phase, 'a': arrival}) AS w
@@ -1020,5 +1113,5 @@ SELECT f.logical_key, epoch_us(f.ts) AS at_us, CASE WHEN e.source = 'codex' THEN
 FROM fired f JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY logical_key, ts ORDER BY arrival DESC) AS last FROM edges) WHERE last = 1) e
   ON e.logical_key = f.logical_key AND e.ts = f.ts""")
 def stream_alerts(spark, sf):
-    log = registry_stream.read_log(spark, f"{_registry_run(spark, sf)}/alerts", registry_stream.ALERTS)
+    log = read_log(spark, f"{_registry_run(spark, sf)}/alerts", registry_stream.ALERTS)
     return log.select("logical_key", us("fired_at").alias("at_us"), F.substring_index("title", " needs", 1).alias("name"), "body")

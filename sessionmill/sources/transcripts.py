@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-from sessionmill.contracts import SOURCE_A, SOURCE_B, SUBAGENT_DIR
+from sessionmill.contracts import RETENTION, SOURCE_A, SOURCE_B, SUBAGENT_DIR
 from sessionmill.functions import variants as V
 
 
@@ -86,12 +89,8 @@ def carried_lines(chunks: DataFrame, keys: list[str], order: str, value: str = "
     without any newline goes on as a whole. Only the text behind the last newline of the newest chunk is withheld:
     its writer may still add to it. Lines inside a chunk stay where they are; only the pieces at its edges are shuffled.
     """
-    pieces = F.split(F.col(value), "\n", -1)
     kept = [c for c in chunks.columns if c != value]
-    inner = chunks.withColumn("__pieces", pieces).where(F.size("__pieces") > 2)
-    inner = inner.select(*kept, F.posexplode(F.slice("__pieces", 2, F.size("__pieces") - 2)).alias("line", "__text")).withColumn("line", F.col("line") + 1)
-    edges = chunks.select(*kept, pieces.alias("__pieces")).select(
-        *kept, (F.size("__pieces") > 1).alias("__cut"), F.element_at("__pieces", 1).alias("__head"), F.element_at("__pieces", -1).alias("__tail"))
+    inner, edges = _inner_and_edges(chunks, kept, value)
     in_order = Window.partitionBy(*keys).orderBy(order)
     # tails since the last newline before this chunk: those with the same number of cut chunks behind them
     seen = edges.withColumn("__group", F.sum(F.col("__cut").cast("int")).over(in_order))
@@ -102,6 +101,62 @@ def carried_lines(chunks: DataFrame, keys: list[str], order: str, value: str = "
     return _as_lines(inner.unionByName(first), value)
 
 
+def _inner_and_edges(chunks: DataFrame, kept: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Lines that begin and end in their chunk, and the text before the first and behind the last newline of each chunk."""
+    pieces = F.split(F.col(value), "\n", -1)
+    inner = chunks.withColumn("__pieces", pieces).where(F.size("__pieces") > 2)
+    inner = inner.select(*kept, F.posexplode(F.slice("__pieces", 2, F.size("__pieces") - 2)).alias("line", "__text")).withColumn("line", F.col("line") + 1)
+    edges = chunks.select(*kept, pieces.alias("__pieces")).select(
+        *kept, (F.size("__pieces") > 1).alias("__cut"), F.element_at("__pieces", 1).alias("__head"), F.element_at("__pieces", -1).alias("__tail"))
+    return inner, edges
+
+
+class _Carry(StatefulProcessor):
+    """Holds the text behind the last newline of each key until the line's end arrives."""
+
+    def __init__(self, order: str, kept: list[str], ttl: timedelta):
+        self.order, self.kept, self.ttl = order, kept, int(ttl.total_seconds() * 1000)
+
+    def init(self, handle) -> None:
+        self.pieces = handle.getListState("pieces", "text string", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        for row in sorted(rows, key=lambda r: r[self.order]):
+            if row["__cut"]:
+                carried = "".join(p[0] for p in self.pieces.get())
+                self.pieces.clear()
+                yield Row(**{c: row[c] for c in self.kept}, line=0, __text=carried + row["__head"])
+            if row["__tail"]:
+                self.pieces.appendValue((row["__tail"],))
+
+    def close(self) -> None:
+        pass
+
+
+# What stateful processors need, and no batches without data: with a time to live they would never end.
+CARRY_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def stream_carried_lines(chunks: DataFrame, keys: list[str], order: str, value: str = "value", ttl: timedelta = RETENTION) -> DataFrame:
+    """:func:`carried_lines` of a stream: what follows a key's last newline is state between triggers.
+
+    Only the pieces at the edges of chunks pass through the state; each line comes once, after a restart as well. Chunks of a key must
+    land in order; one that lands behind a later one of an earlier trigger goes on from there. An unfinished line that
+    nobody goes on with leaves the state after ``ttl`` by the wall clock. Sets ``CARRY_CONF``
+    on the session.
+    """
+    for setting, setting_value in CARRY_CONF.items():
+        chunks.sparkSession.conf.set(setting, setting_value)
+    kept = [c for c in chunks.columns if c != value]
+    inner, edges = _inner_and_edges(chunks, kept, value)
+    out = T.StructType([*[f for f in chunks.schema.fields if f.name in kept], T.StructField("line", T.IntegerType()), T.StructField("__text", T.StringType())])
+    first = edges.groupBy(*keys).transformWithState(_Carry(order, kept, ttl), out, "Append", "ProcessingTime")
+    return _as_lines(inner.unionByName(first), value)
+
+
 def _plain_path(col: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.regexp_replace(col, r"\+", "%2B")), r"^file:(//)?", "")
 
@@ -133,24 +188,31 @@ def read_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFr
     return carried_lines(_landed(raw, roots), ["file", "source"], "seq").select("file", "source", "seq", "line", "value")
 
 
-def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_files: int = 1000) -> DataFrame:
-    """:func:`read_chunks` as a stream: each landed chunk is delivered once; chunks must end at line ends here, since
-    a trigger sees a chunk without its neighbours."""
-    roots = existing_roots(spark, roots)
+def _lasting(root: str) -> str:
+    """A pattern that only the root matches: a stream may start before its root exists."""
+    last = root[-1]
+    return f"{root[:-1]}[{last}]" if last.isalnum() else root
+
+
+def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_files: int = 1000, ttl: timedelta = RETENTION) -> DataFrame:
+    """:func:`read_chunks` as a stream: each line of landed chunks once, also those cut between chunks (:func:`stream_carried_lines`).
+
+    Roots need not exist yet; their files count once they do.
+    """
+    roots = list(roots)
     if not roots:
-        raise ValueError("no transcript root exists yet")
-    out = None
+        raise ValueError("no transcript root given")
+    raw = None
     for root in _outer_roots(roots):
-        raw = (
+        part = (
             spark.readStream.format("text").schema("value string").option("wholetext", True)
             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
             .option("maxFilesPerTrigger", max_files)
-            .load(root)
+            .load(_lasting(root))
             .select("value", F.col("_metadata.file_path").alias("path"))
         )
-        part = complete_lines(_landed(raw, roots)).select("file", "source", "seq", "line", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+        raw = part if raw is None else raw.unionByName(part)
+    return stream_carried_lines(_landed(raw, roots), ["file", "source"], "seq", ttl=ttl).select("file", "source", "seq", "line", "value")
 
 
 def read_closed_files(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFrame:

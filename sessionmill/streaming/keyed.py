@@ -10,20 +10,20 @@ clock tick opens only the buckets in which something happens.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionmill.plans.tables import remove
-from sessionmill.streaming.sinks import newest_version, write_batch
+from sessionmill.streaming.sinks import newest_version, read_note, write_note
 
-BUCKETS = 64
+BUCKETS = 16
 MOST_PARTS = 8
 FEW_ROWS = 1_000
-MANIFEST = "bucket int, parts array<long>, rows long, added long, due long"
 
 
 @dataclass
@@ -49,7 +49,7 @@ class KeyedTable:
     """Rows of ``schema`` by ``keys`` under ``path``.
 
     ``fold`` turns all rows of some keys (with ``batch_id``) into the current ones; by default the newest row counts and a column
-    ``gone`` marks removals. ``bucket_by`` (all keys by default) decides the bucket, ``due`` is an instant in microseconds or null.
+    ``gone`` marks removals. ``buckets`` is chosen once for a table: a step's tasks, and the rows it looks through, follow from it. ``bucket_by`` (all keys by default) decides the bucket, ``due`` is an instant in microseconds or null.
     """
 
     def __init__(
@@ -62,6 +62,7 @@ class KeyedTable:
         self.stored = T.StructType([*schema.fields, *gone])
         self.fold = fold or newest_rows(keys)
         self.bucket_by, self.due = bucket_by or keys, due
+        self._known: dict[int, str] = {}  # manifests do not change once written
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
@@ -77,8 +78,9 @@ class KeyedTable:
         version = self.version(before)
         if version is None:
             return {}
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/batch_id={version}").collect()
-        return {r["bucket"]: Bucket(list(r["parts"]), r["rows"], r["added"], r["due"]) for r in rows}
+        if version not in self._known:
+            self._known[version] = read_note(self.spark, f"{self.path}/manifest", version)
+        return {int(b): Bucket(**x) for b, x in json.loads(self._known[version]).items()}
 
     def due_by(self, now: int, before: int = 1 << 62) -> set[int]:
         """Buckets in which something may fall due by ``now`` (microseconds)."""
@@ -115,14 +117,15 @@ class KeyedTable:
         columns = self.stored.fieldNames()
         changed = changed.select(*columns).withColumn("bucket", self.bucket())
         in_anew = F.col("bucket").isin(anew) if anew else F.lit(False)
-        changed.where(~in_anew).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(folder)
+        rows = changed
         if anew:
             both = self.raw(batch_id, anew).unionByName(changed.where(in_anew).withColumn("batch_id", F.lit(batch_id).cast("long")))
             whole = self.fold(both)
             if alive is not None:
                 whole = alive(whole)
             whole = whole.withColumn("gone", F.lit(False)) if "gone" in columns else whole
-            whole.select(*columns).withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").mode("append").parquet(folder)
+            rows = changed.where(~in_anew).unionByName(whole.select(*columns).withColumn("bucket", self.bucket()))
+        rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(folder)
 
         full = T.StructType([*self.stored.fields, T.StructField("bucket", T.IntegerType())])
         written = self.spark.read.schema(full).parquet(folder).groupBy("bucket").agg(
@@ -139,8 +142,8 @@ class KeyedTable:
         for b, at in (due or {}).items():
             if b in state and b not in anew:
                 state[b].due = at
-        rows = [(b, x.parts, x.rows, x.added, x.due) for b, x in sorted(state.items()) if x.parts]
-        write_batch(self.spark.createDataFrame(rows, MANIFEST).coalesce(1), f"{self.path}/manifest", batch_id)
+        self._known[batch_id] = json.dumps({b: asdict(x) for b, x in sorted(state.items()) if x.parts})
+        write_note(self.spark, f"{self.path}/manifest", batch_id, self._known[batch_id])
         self._drop_unused(batch_id)
 
     def _drop_unused(self, batch_id: int) -> None:

@@ -28,7 +28,7 @@ from sessionmill.functions.times import micros, parse_rfc3339
 from sessionmill.operators import alerts, entities, feed, registry, views
 from sessionmill.plans.tables import materialize, scratch
 from sessionmill.streaming.keyed import KeyedTable
-from sessionmill.streaming.sinks import expire_versions, newest_version, read_log, write_batch
+from sessionmill.streaming.sinks import read_log, step_time, wall_clock, write_batch
 
 SESSIONS = T.StructType(C.SNAPSHOT.fields)
 FIRED = T.StructType([T.StructField("logical_key", T.StringType()), T.StructField("fired_at", T.TimestampType())])
@@ -118,19 +118,6 @@ def _apply(spark, batch, batch_id, out, now, stale, keep, cooldown) -> None:
     live.write(aged.where(F.col("moved") | F.col("staled") | F.col("gone")), batch_id, due=looked)
 
 
-def _wall_clock(batch: DataFrame) -> DataFrame:
-    return batch.sparkSession.range(1).select(F.current_timestamp().alias("now"))
-
-
-def step_time(batch: DataFrame, batch_id: int, out: str, clock: Callable[[DataFrame], DataFrame] = _wall_clock) -> Column:
-    """The time of a step: taken once, read again on replay."""
-    spark, path = batch.sparkSession, f"{out}/clock"
-    if newest_version(spark, path, batch_id + 1) != batch_id:
-        write_batch(clock(batch).toDF("now"), path, batch_id)
-        expire_versions(spark, path, batch_id)
-    return F.timestamp_micros(F.lit(spark.read.parquet(f"{path}/batch_id={batch_id}").select(F.unix_micros("now")).first()[0]))
-
-
 TICK = "__tick"
 
 
@@ -143,7 +130,7 @@ def run_registry(
     snapshots: DataFrame,
     out: str,
     order: list[str],
-    clock: Callable[[DataFrame], DataFrame] = _wall_clock,
+    clock: Callable[[DataFrame], DataFrame] = wall_clock,
     trigger: dict | None = None,
     ticks: DataFrame | None = None,
     **limits: timedelta,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,29 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, before: int |
     return log if before is None else log.where(F.col("batch_id") < before)
 
 
+def write_note(spark: SparkSession, path: str, batch_id: int, text: str) -> None:
+    """A short text as version ``batch_id`` of ``path``, whole or not at all; no job runs for it."""
+    folder = f"{path}/batch_id={batch_id}"
+    fs, note = _file(spark, f"{folder}/note")
+    out = fs.create(note, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS"), True).close()
+
+
+def read_note(spark: SparkSession, path: str, batch_id: int) -> str:
+    fs, note = _file(spark, f"{path}/batch_id={batch_id}/note")
+    stream = fs.open(note)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def newest_version(spark: SparkSession, path: str, before: int) -> int | None:
     """Greatest batch folder below ``before`` (folder names only, no data)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,10 +81,14 @@ def expire_versions(spark: SparkSession, path: str, newest: int, keep: int = 2)
         remove(spark, f"{path}/batch_id={i}")
 
 
-def current(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest row per key of an update log."""
-    rest = [c for c in log.columns if c not in (*keys, "batch_id")]
-    return (
-        log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("w"))
-        .select(*keys, *[F.col(f"w.{c}").alias(c) for c in rest])
-    )
+def wall_clock(batch: DataFrame) -> DataFrame:
+    return batch.sparkSession.range(1).select(F.current_timestamp().alias("now"))
+
+
+def step_time(batch: DataFrame, batch_id: int, out: str, clock: Callable[[DataFrame], DataFrame] = wall_clock) -> Column:
+    """The time of a step: taken once, read again on replay."""
+    spark, path = batch.sparkSession, f"{out}/clock"
+    if newest_version(spark, path, batch_id + 1) != batch_id:
+        write_batch(clock(batch).toDF("now"), path, batch_id)
+        expire_versions(spark, path, batch_id)
+    return F.timestamp_micros(F.lit(spark.read.parquet(f"{path}/batch_id={batch_id}").select(F.unix_micros("now")).first()[0]))

@@ -3,11 +3,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from sessionmill import contracts as C
 from sessionmill.operators import facts as FA
 from sessionmill.operators import usage as U
 from sessionmill.operators.records import parse_records, write_records
 from sessionmill.sources import transcripts as TR
 from sessionmill.streaming import tracking
+from sessionmill.streaming.sinks import append_log, read_log
 
 
 def land(root, session, seq, text):
@@ -132,7 +134,7 @@ def test_stream_equals_batch(spark, tmp_path):
     chunk("y", 0, 5, 9)
 
     def drain():
-        for q in tracking.track(TR.stream_chunks(spark, roots), out):
+        for q in tracking.track(TR.stream_chunks(spark, roots), out, clock=tracking.event_clock, buckets=2):
             q.awaitTermination()
     drain()
     chunk("x", 1, 10, 23)
@@ -140,7 +142,7 @@ def test_stream_equals_batch(spark, tmp_path):
     drain()
     drain()
     now = F.lit("2026-01-01T00:01:00Z").cast("timestamp")
-    live = tracking.tracked(spark, out, TR.stream_chunks(spark, roots)).snapshots(F.lit("wsl"), now)
+    live = tracking.tracked(spark, out).snapshots(F.lit("wsl"), now)
     r = parse_records(TR.read_chunks(spark, roots))
     f = FA.with_pending(FA.session_facts(r), FA.call_states(FA.with_call_starts(r)))
     batch = FA.snapshots(f, FA.session_usage(f, U.message_usage(r)), None, F.lit("wsl"), now)
@@ -148,6 +150,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert batch.count() == 3
 
 
+def test_stream_carries_lines_cut_between_chunks(spark, tmp_path):
+    """The root appears after the stream; chunks are cut anywhere, one has no newline; each line once over restarts."""
+    root, out = f"{tmp_path}/live", f"{tmp_path}/out"
+    roots = [(root, "claude-code"), (f"{tmp_path}/never", "codex")]
+
+    def drain():
+        stream = TR.stream_chunks(spark, roots)
+        stream.writeStream.foreachBatch(append_log(f"{out}/log")).option("checkpointLocation", f"{out}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    drain()
+    parts = ['{"a": 1}\r\n\n{"b', '": ', '2}\n{"c": "é', '"}\nlast', ' one\nopen']
+    for seq, text in enumerate(parts):
+        land(root, "x", seq, text)
+        if seq in (0, 1, 4):
+            drain()
+    land(root, "y", 0, "only\n")
+    drain()
+    log = read_log(spark, f"{out}/log", C.LINES).drop("batch_id")
+    assert sorted(map(str, log.collect())) == sorted(map(str, TR.read_chunks(spark, roots).collect()))
+    assert {r.value for r in log.collect()} == {'{"a": 1}', '{"b": 2}', '{"c": "é"}', "last one", "only"}
+
+
 def test_persisted_records_read_back(spark, lines, tmp_path):
     r = parse_records(lines({"f": [{"type": "user", "message": {"content": "x"}}]}))
     write_records(r, f"{tmp_path}/records")

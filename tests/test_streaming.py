@@ -6,7 +6,7 @@ from sessionmill import contracts as C
 from sessionmill.operators import feed, registry
 from sessionmill.streaming import registry_stream as RS
 from sessionmill.streaming import tracking
-from sessionmill.streaming.sinks import read_log
+from sessionmill.streaming.sinks import read_log, step_time
 from tests.test_registry import frame, snap
 
 START = datetime(2026, 7, 10, 9, tzinfo=timezone.utc)
@@ -57,9 +57,9 @@ def test_prompts_reach_the_snapshot(spark, tmp_path, lines):
     spark.createDataFrame(hooks, "value string, received_at timestamp, ord long").write.parquet(f"{tmp_path}/hooks")
     live = spark.readStream.schema(C.LINES).parquet(root)
     hook = spark.readStream.schema("value string, received_at timestamp, ord long").parquet(f"{tmp_path}/hooks")
-    for q in tracking.track(live, out, hook):
+    for q in tracking.track(live, out, hook, clock=tracking.event_clock):
         q.awaitTermination()
-    snaps = tracking.tracked(spark, out, live, hook).snapshots(F.lit("wsl"), F.lit(START + timedelta(seconds=8)))
+    snaps = tracking.tracked(spark, out, hooks=True).snapshots(F.lit("wsl"), F.lit(START + timedelta(seconds=8)))
     assert {(r.agent_id, r.status, r.needs_user_reason) for r in snaps.collect()} == {
         ("s", "needs_you", "needs permission"), ("t", "thinking", None)}
 
@@ -142,7 +142,7 @@ def test_step_time_is_taken_once(spark, tmp_path):
     def clock(df):
         return df.sparkSession.createDataFrame([(next(ticks),)], "now timestamp")
 
-    first, again = (spark.range(1).select(RS.step_time(rows, 0, str(tmp_path), clock)).first()[0] for _ in range(2))
+    first, again = (spark.range(1).select(step_time(rows, 0, str(tmp_path), clock)).first()[0] for _ in range(2))
     assert first == again
 
 
