@@ -11,6 +11,8 @@ Everything is a join: addresses are cut into their host suffixes and path prefix
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def _lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _rest(url: Column) -> Column:
     """What follows the first ``://``; null without it."""
     at = F.instr(url, "://")
@@ -44,39 +51,67 @@ def path_of(url: Column) -> Column:
 
 def plain_form(url: Column) -> Column:
     """host + path (``/`` if empty) + query, without fragment and tracking parameters; null for what is no address."""
-    query = F.regexp_extract(_rest(url), r"(?s)^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}$")), "&")
-    return F.when(_rest(url).isNotNull(), F.concat(host_of(url), F.when(path_of(url) == "", "/").otherwise(path_of(url)), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    def form(rest: Column) -> Column:
+        host = _lower_ascii(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0))
+        path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
+        query = F.regexp_extract(rest, r"(?s)^[^?#]*\?([^#]*)", 1)
+        kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}$")), "&")
+        return F.concat(
+            host, _let(path, lambda p: F.when(p == "", "/").otherwise(p)),
+            _let(kept, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+    return _let(_rest(url), lambda rest: F.when(rest.isNotNull(), form(rest)))
+
+
+def _joined_segments(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; ``..`` stops at the root."""
+    def step(done: Column, p: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(p == ".", done).when(p == "..", up).otherwise(F.concat(done, F.array(p)))
+
+    def joined(parts: Column) -> Column:
+        whole = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+        return F.concat(whole, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    return _let(F.split(path, "/", -1), joined)
 
 
 def _without_dots(url: Column) -> Column:
-    """A whole address with the ``.`` and ``..`` segments of its path resolved; ``..`` stops at the root."""
-    parts = F.split(path_of(url), "/", -1)
-    step = lambda done, p: F.when(p == ".", done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(p)))
-    path = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
-    path = F.concat(path, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
-    site, tail = (F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)[^?#]*(.*)$", k) for k in (1, 2))
-    return F.when(path_of(url).rlike(r"(?s)/\.\.?(/|\z)"), F.concat(site, path, tail)).otherwise(url)
+    """A whole address with the ``.`` and ``..`` segments of its path resolved."""
+    def resolved(u: Column) -> Column:
+        site, tail = (F.regexp_extract(u, r"(?s)^(.*?://[^/?#]*)[^?#]*(.*)$", k) for k in (1, 2))
+        return _let(path_of(u), lambda path: F.when(
+            path.rlike(r"(?s)/\.\.?(/|\z)"), F.concat(site, _joined_segments(path), tail)).otherwise(u))
+    return _let(url, resolved)
 
 
 def _absolute(target: Column, base: Column) -> Column:
     """A link as found in a page of ``base``: whole, without scheme, from the root, relative, or a query or fragment alone."""
-    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    site = F.concat(scheme, F.lit("://"), host_of(base))
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)) \
-        .when(target.startswith("/"), F.concat(site, target)).when(target.startswith("?"), F.concat(site, path_of(base), target)) \
-        .when(target.startswith("#"), base).otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
-    return _without_dots(whole)
+    parts = F.struct(
+        F.regexp_extract(base, r"(?s)^(.*?)://", 1).alias("scheme"), host_of(base).alias("host"), path_of(base).alias("path"))
+
+    def whole(b: Column) -> Column:
+        site = F.concat(b["scheme"], F.lit("://"), b["host"])
+        folder = _let(F.regexp_replace(b["path"], r"[^/]*$", ""), lambda f: F.when(f == "", "/").otherwise(f))
+        return (
+            F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.startswith("//"), F.concat(b["scheme"], F.lit(":"), target))
+            .when(target.startswith("/"), F.concat(site, target))
+            .when(target.startswith("?"), F.concat(site, b["path"], target))
+            .when(target.startswith("#"), base)
+            .otherwise(F.concat(site, folder, target))
+        )
+    return _without_dots(_let(parts, whole))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(source, target) plain forms, for the canonical link and the refresh of each page."""
-    found = []
-    for pattern in (CANONICAL, REFRESH):
-        link = F.replace(F.regexp_extract("html", pattern, 1), F.lit("&amp;"), F.lit("&"))
-        found.append(F.when(link != "", plain_form(_absolute(link, F.col("url")))))
-    edges = pages.where("html IS NOT NULL AND url IS NOT NULL").select(plain_form(F.col("url")).alias("source"), F.explode(F.array(*found)).alias("target"))
+    """(source, target) plain forms, for the canonical link and the refresh of each page.
+
+    Links are taken out first; the outer generator stands between this and the parsing, so only pages with a link are parsed.
+    """
+    found = F.array(*[F.regexp_extract("html", p, 1) for p in (CANONICAL, REFRESH)])
+    links = pages.where("html IS NOT NULL AND url IS NOT NULL").select("url", F.explode_outer(found).alias("link")).where("link <> ''")
+    whole = _absolute(F.replace("link", F.lit("&amp;"), F.lit("&")), F.col("url"))
+    pair = F.struct(plain_form(F.col("url")).alias("source"), plain_form(whole).alias("target"))
+    edges = links.select(F.explode_outer(F.array(pair)).alias("e")).select("e.source", "e.target")
     return edges.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct()
 
 

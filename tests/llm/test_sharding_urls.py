@@ -107,3 +107,9 @@ def test_forms_of_links(spark):
     urls = ["https://h/a/b/..", "https://h/..", "https://h/a/./?x=/../", "https://h", "http://h/a/.../b"]
     fixed = spark.createDataFrame([(u,) for u in urls], "u string").select(urlfilter._without_dots(F.col("u"))).collect()
     assert [r[0] for r in fixed] == ["https://h/a/", "https://h/", "https://h/a/?x=/../", "https://h", "http://h/a/.../b"]
+
+
+def test_link_expressions_stay_small(spark):
+    """Each step of reading a link is computed once: the plan does not grow with the number of its uses."""
+    edges = urlfilter.link_edges(spark.createDataFrame([page(1, "http://a.net/1", None)], PAGES).select("url", "html"))
+    assert len(edges._jdf.queryExecution().executedPlan().toString()) < 100_000
