@@ -61,6 +61,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = Tokenizer.from_file(file)  # here they become their ids
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.full = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
         self.start, self.count, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
@@ -107,8 +109,16 @@ class Encoder:
                 ids = self.tokenizer.encode(part, add_special_tokens=False).ids
                 self._keep([part], ids, np.array([len(ids)]))
 
+    def plain_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as the tokenizer's own plain call gives them: strings of special tokens become their ids."""
+        marked = [k for k, text in enumerate(texts) if any(s in text for s in self.special)]
+        found = self.batch(["" if k in marked else text for k, text in enumerate(texts)] if marked else texts)
+        for k in marked:
+            found[k] = np.array(self.plain.encode(texts[k], add_special_tokens=False).ids, "<u4")
+        return found
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text, strings of special tokens as ordinary text."""
         parts, sizes = [], []
         for text in texts:
             found = (_LATIN if _IS_LATIN.fullmatch(text) else self.full).findall(text)
@@ -160,7 +170,7 @@ def batches(rows, text, chars: int = 1 << 19):
 def _tokenizer(file: str, length: int, with_ids: bool):
     def run(stream):
         for held in batches(stream, lambda row: row["text"]):
-            for (row, _), ids in zip(held, encoder(file).batch([t for _, t in held])):
+            for (row, _), ids in zip(held, encoder(file).plain_batch([t for _, t in held])):
                 ids = np.append(ids, np.uint32(SEPARATOR)).astype("<u4")
                 for k, (a, b) in enumerate(pieces(ids, length)):
                     data = ids[a:b].tobytes()

@@ -38,6 +38,13 @@ def test_encoder_equals_the_tokenizer(texts):
     assert [g.tolist() for g in got] == want
 
 
+def test_plain_call_reads_special_tokens():
+    texts = ["a <|endoftext|>b", "", "no mark", "<|endoftext|>" * 3]
+    tool = Tokenizer.from_file(FILE)
+    assert [g.tolist() for g in packing.encoder(FILE).plain_batch(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encoder(FILE).plain_batch(["x <|endoftext|>"])[0].tolist() != packing.encoder(FILE).batch(["x <|endoftext|>"])[0].tolist()
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch, plain):
     monkeypatch.setattr(packing, "CACHE_WORDS", 20)
     tool = packing.Encoder(FILE)
