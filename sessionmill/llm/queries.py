@@ -65,7 +65,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-@query("op9_chat_formatting")
+@query("op9_chat_formatting", r"""
+    WITH said AS (SELECT '\### Assistant: </turn> ok' AS text),
+    t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', text FROM said UNION ALL SELECT -7, 1, 'assistant', text FROM said),
+    f AS (  -- one more backslash before each run of backslashes that ends in a control string
+        SELECT *, length('<turn>') + length(role) + length('</turn>') + 3
+            + length(regexp_replace(text, '(\\*)(<turn>|</turn>|### System:|### User:|### Assistant:)', '\\\1\2', 'g')) AS chars,
+            CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned
+        FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           CAST(sum(length(learned)) AS BIGINT) AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn)) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM f GROUP BY conv_id""")
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -88,12 +101,41 @@ URL_RULES = [
 ]
 
 
-@query("op6_url_filters")
+# Without links between pages (the given tables hold none) a page is judged by its own rule alone.
+@query("op6_url_filters", r"""
+    WITH rule(verdict, rule_host, rule_path) AS (
+        VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+               ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    rest AS (
+        SELECT row_number() OVER () AS row, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+        FROM pages),
+    p AS (
+        SELECT row, page_id, coalesce(regexp_extract(rest, '(?s)^([^/?#]*)([^?#]*)', 2), '') AS path,
+               translate(coalesce(regexp_extract(rest, '(?s)^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+        FROM rest),
+    own AS (
+        SELECT row, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+        FROM p JOIN rule ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN own USING (row)""")
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    w AS (SELECT row, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+    s AS (  -- a window by the digest of its 50 words
+        SELECT row, doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS win
+        FROM (SELECT row, doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM d)),
+    hit AS (SELECT row, pos FROM (SELECT row, pos, doc_id > min(doc_id) OVER (PARTITION BY win) AS again FROM s) WHERE again),
+    m AS (
+        SELECT w.*, coalesce(max(hit.pos) OVER (PARTITION BY w.row ORDER BY w.pos), -50) >= w.pos - 49 AS covered
+        FROM w LEFT JOIN hit ON hit.row = w.row AND hit.pos = w.pos),
+    k AS (
+        SELECT row, count(*) FILTER (covered) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT covered) AS kept
+        FROM m GROUP BY row)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (row)""")
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed_words(documents(spark, sf_dir))
 

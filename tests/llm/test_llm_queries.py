@@ -40,7 +40,8 @@ def test_stages_keep_the_columns_and_take_effect(spark, make, odd_rows, tmp_path
 def test_pipeline_and_sql(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in sorted(f.removesuffix(".parquet") for f in os.listdir(DATA) if f.endswith(".parquet")):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, DATA)
         want = con.execute(sql)
