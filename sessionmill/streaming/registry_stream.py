@@ -8,7 +8,11 @@ step runs at is written before anything else, so a replayed batch rewrites the s
 A step also runs when only a clock tick arrives (``ticks``), so sessions turn stale and leave on a silent stream.
 
 Feed and history rows carry a total order (``registry.STREAM_ORDER``): batch,
-phase (changes before the sweep, an opening state last), row.
+phase (usage reports, changes, the sweep, an opening state last), row.
+
+A step can carry usage reports too: a machine's report goes to the feed when its content differs from the stored one. The cards that
+a reader of the whole feed would show are a table by logical key which each step updates, so no reader folds the
+feed. The feed may be kept for a number of steps only; ``follow`` gives a reader behind them a fresh full state.
 
 Intermediate tables go at the end of each step.
 """
@@ -25,18 +29,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sessionmill import contracts as C
 from sessionmill.functions.times import micros, parse_rfc3339
-from sessionmill.operators import alerts, entities, feed, registry, views
+from sessionmill.operators import alerts, entities, feed, registry, reports, views
 from sessionmill.plans.tables import materialize, scratch
 from sessionmill.streaming.keyed import KeyedTable
-from sessionmill.streaming.sinks import read_log, step_time, wall_clock, write_batch
+from sessionmill.streaming.sinks import expire_versions, oldest_version, read_log, step_time, wall_clock, write_batch
 
 SESSIONS = T.StructType(C.SNAPSHOT.fields)
 FIRED = T.StructType([T.StructField("logical_key", T.StringType()), T.StructField("fired_at", T.TimestampType())])
 ALERTS = T.StructType([*FIRED.fields, *[T.StructField(c, T.StringType()) for c in ("key", "source", "project", "machine", "needs_user_reason", "title", "body")]])
 _PLACE = [T.StructField("phase", T.IntegerType()), T.StructField("arrival", T.LongType())]
 HISTORY = T.StructType([*[T.StructField(c, T.StringType()) for c in ("key", "at", "from_status", "to_status")], *_PLACE])
-FEED = T.StructType([*SESSIONS.fields, *[T.StructField(c, T.StringType()) for c in ("event", "key", "logical_key")], *_PLACE])
-CHANGED, SWEPT, OPENING = 1, 2, 3
+FEED = T.StructType([
+    *SESSIONS.fields, *[T.StructField(c, T.StringType()) for c in ("event", "key", "logical_key")], *_PLACE, T.StructField("report", C.USAGE_REPORT)])
+CARDS = T.StructType([T.StructField("logical_key", T.StringType()), T.StructField("key", T.StringType()), *SESSIONS.fields])
+REPORTED, CHANGED, SWEPT, OPENING = 0, 1, 2, 3
 
 
 def number_arrivals(batch: DataFrame, *order: str) -> DataFrame:
@@ -59,6 +65,34 @@ def fire_table(spark: SparkSession, out: str) -> KeyedTable:
     return KeyedTable(spark, f"{out}/last_fired", FIRED, ["logical_key"], fold=lambda rows: rows.groupBy("logical_key").agg(F.max("fired_at").alias("fired_at")))
 
 
+def report_table(spark: SparkSession, out: str) -> KeyedTable:
+    """Newest usage report of each machine."""
+    return KeyedTable(spark, f"{out}/reports", C.USAGE_REPORT, ["machine"])
+
+
+def card_table(spark: SparkSession, out: str) -> KeyedTable:
+    """The card of each logical session that the feed so far folds to."""
+    return KeyedTable(spark, f"{out}/cards", CARDS, ["logical_key"])
+
+
+def _report_step(spark: SparkSession, arrived: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """Store the newest reports of a step, return the changed ones as feed rows."""
+    table, fields = report_table(spark, out), C.USAGE_REPORT.fieldNames()
+    stored = materialize(table.read(batch_id, table.buckets_of(arrived)), "reports")
+    both = stored.withColumn("arrival", F.lit(-1).cast("bigint")).unionByName(arrived.select(*fields, "arrival"))
+    changed = reports.changed_reports(both, "arrival").where("arrival >= 0")
+    table.write(reports.newest_per_machine(arrived.select(*fields, "arrival"), "arrival").withColumn("gone", F.lit(False)), batch_id)
+    return feed.usage_rows(changed.withColumn("phase", F.lit(REPORTED)))
+
+
+def _card_step(spark: SparkSession, batch_id: int, out: str) -> None:
+    """Bring the cards up to the feed rows of this step."""
+    table = card_table(spark, out)
+    step = spark.read.schema(FEED).parquet(f"{out}/feed/batch_id={batch_id}").where(F.col("event") != "usage")
+    shown = table.read(batch_id, table.buckets_of(step)).join(step.select("logical_key").distinct(), "logical_key", "left_semi")
+    table.write(feed.next_cards(shown.select(*CARDS.fieldNames()), step, "phase", "arrival"), batch_id)
+
+
 def edges_of(changes: DataFrame, at: str, order: str = "arrival") -> DataFrame:
     """One row per logical session and instant at which some machine began to need the user (the last such row)."""
     kept = ["key", "source", "project", "machine", "needs_user_reason"]
@@ -75,13 +109,20 @@ def apply_batch(
     stale: timedelta = C.STALE_SILENCE,
     keep: timedelta = C.RETENTION,
     cooldown: timedelta = C.ALERT_COOLDOWN,
+    arrived_reports: DataFrame | None = None,
+    retain: int | None = None,
 ) -> None:
-    """One registry step. ``batch``: snapshot columns plus ``arrival`` and ``received_at``."""
+    """One registry step. ``batch``: snapshot columns plus ``arrival`` and ``received_at``.
+
+    ``arrived_reports``: usage reports with ``arrival``. ``retain``: steps of the feed that stay (by default all, at least two).
+    """
     with scratch(spark):
-        _apply(spark, batch, batch_id, out, now, stale, keep, cooldown)
+        _apply(spark, batch, batch_id, out, now, stale, keep, cooldown, arrived_reports)
+    if retain is not None:
+        expire_versions(spark, f"{out}/feed", batch_id, max(2, retain))
 
 
-def _apply(spark, batch, batch_id, out, now, stale, keep, cooldown) -> None:
+def _apply(spark, batch, batch_id, out, now, stale, keep, cooldown, arrived_reports) -> None:
     columns = [f.name for f in SESSIONS.fields]
     live, fires = session_table(spark, out, stale, keep), fire_table(spark, out)
     instant = spark.range(1).select(F.unix_micros(now)).first()[0]
@@ -97,7 +138,11 @@ def _apply(spark, batch, batch_id, out, now, stale, keep, cooldown) -> None:
     others = live.read(batch_id, due).join(arrived, registry.KEY, "left_anti").select(*columns, F.lit(False).alias("moved"))
     seen = materialize(newest.unionByName(others), "seen")
     sweep = materialize(number_arrivals(registry.housekeeping(seen.drop("moved"), now, stale, keep), "key").withColumn("phase", F.lit(SWEPT)), "sweep")
-    write_batch(feed.change_feed(changes, sweep), f"{out}/feed", batch_id)
+    rows = feed.change_feed(changes, sweep)
+    if arrived_reports is not None:
+        rows = rows.unionByName(_report_step(spark, arrived_reports, batch_id, out), allowMissingColumns=True)
+    write_batch(rows, f"{out}/feed", batch_id)
+    _card_step(spark, batch_id, out)
     swept = sweep.where(F.col("event") == "upsert").select("key", "at", "from_status", "to_status", "phase", "arrival")
     write_batch(registry.transitions(changes, "phase", "arrival").unionByName(swept), f"{out}/transitions", batch_id)
 
@@ -118,7 +163,7 @@ def _apply(spark, batch, batch_id, out, now, stale, keep, cooldown) -> None:
     live.write(aged.where(F.col("moved") | F.col("staled") | F.col("gone")), batch_id, due=looked)
 
 
-TICK = "__tick"
+TICK, REPORT = "__tick", "__report"
 
 
 def clock_ticks(spark: SparkSession) -> DataFrame:
@@ -133,19 +178,28 @@ def run_registry(
     clock: Callable[[DataFrame], DataFrame] = wall_clock,
     trigger: dict | None = None,
     ticks: DataFrame | None = None,
+    usage: DataFrame | None = None,
+    retain: int | None = None,
     **limits: timedelta,
 ) -> StreamingQuery:
     """Start the registry stream; ``order`` names the columns that give arrival order inside a trigger, ``clock`` makes
     the one row of a step's time from its batch.
 
     ``ticks``: a stream of instants (``now``), such as :func:`clock_ticks`. Steps then run without new snapshots as well, and
-    no step's time lies before its newest tick.
+    no step's time lies before its newest tick. ``usage``: a stream of usage reports with the ``order`` columns. ``retain``: steps of
+    the feed that stay.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch(spark):
             arrived = materialize(batch, "arrived")
-            rows = arrived if ticks is None else arrived.where(F.col(TICK).isNull()).drop(TICK)
+            rows, told = arrived, None
+            if usage is not None:
+                told = rows.where(F.col(REPORT).isNotNull()).select(f"{REPORT}.*", *order)
+                told = materialize(number_arrivals(told, *order).select(*C.USAGE_REPORT.fieldNames(), "arrival"), "reports")
+                rows = rows.where(F.col(REPORT).isNull()).drop(REPORT)
+            if ticks is not None:
+                rows = rows.where(F.col(TICK).isNull()).drop(TICK)
             numbered = materialize(number_arrivals(rows, *order), "arrivals")
 
             def time(df: DataFrame) -> DataFrame:
@@ -153,10 +207,13 @@ def run_registry(
                     return clock(df)
                 return spark.range(1).select(F.greatest(clock(df).scalar(), arrived.agg(F.max(TICK)).scalar()).alias("now"))
 
-            apply_batch(spark, numbered, batch_id, out, step_time(numbered, batch_id, out, time), **limits)
+            apply_batch(spark, numbered, batch_id, out, step_time(numbered, batch_id, out, time), arrived_reports=told, retain=retain, **limits)
 
     if ticks is not None:
         snapshots = snapshots.unionByName(ticks.select(F.col("now").alias(TICK)), allowMissingColumns=True)
+    if usage is not None:
+        packed = usage.select(F.struct(*C.USAGE_REPORT.fieldNames()).alias(REPORT), *order)
+        snapshots = snapshots.unionByName(packed, allowMissingColumns=True)
     return (
         snapshots.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{out}/_checkpoints/registry")
@@ -175,13 +232,33 @@ def history(spark: SparkSession, out: str) -> DataFrame:
 
 
 def opening(spark: SparkSession, out: str, overlap: timedelta = C.OVERLAP_WINDOW) -> DataFrame:
-    """What a reader gets first: the logical sessions of the newest version as full rows behind its batch."""
+    """What a reader gets first: the logical sessions of the newest version as full rows, and each machine's report, behind its batch."""
     version = session_table(spark, out).version()
+    newest = -1 if version is None else version
     merged = entities.logical_sessions(sessions(spark, out), overlap).drop("logical_key")
-    at = {"batch_id": F.lit(-1 if version is None else version).cast("bigint"), "phase": F.lit(OPENING), "arrival": F.lit(0).cast("bigint")}
-    return feed.full_state(merged, **at)
+    at = {"batch_id": F.lit(newest).cast("bigint"), "phase": F.lit(OPENING), "arrival": F.lit(0).cast("bigint")}
+    told = report_table(spark, out).read(newest + 1)
+    return feed.full_state(merged, **at).unionByName(feed.usage_rows(told, **at), allowMissingColumns=True)
+
+
+def cards(spark: SparkSession, out: str) -> DataFrame:
+    """The cards after the newest step, as a reader of the whole feed would show them."""
+    return card_table(spark, out).read()
 
 
 def read_feed(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
     """Feed rows of the batches after ``after``; a late reader takes ``opening`` and goes on from its batch."""
     return read_log(spark, f"{out}/feed", FEED).where(F.col("batch_id") > after)
+
+
+def follow(spark: SparkSession, out: str, after: int | None = None) -> DataFrame:
+    """Feed rows for a reader that has seen the batches up to ``after`` (None: nothing yet).
+
+    If rows it has not seen are no longer kept, it gets a fresh full state and what follows that.
+    """
+    low = oldest_version(spark, f"{out}/feed")
+    if after is not None and (low is None or after + 1 >= low):
+        return read_feed(spark, out, after)
+    version = session_table(spark, out).version()
+    later = read_feed(spark, out, -1 if version is None else version)
+    return opening(spark, out).unionByName(later, allowMissingColumns=True)

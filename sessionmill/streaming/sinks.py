@@ -72,6 +72,16 @@ def newest_version(spark: SparkSession, path: str, before: int) -> int | None:
     return max(ids, default=None)
 
 
+def oldest_version(spark: SparkSession, path: str) -> int | None:
+    """Smallest batch folder (folder names only, no data)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return min((int(n.split("=", 1)[1]) for n in names if n.startswith("batch_id=")), default=None)
+
+
 def expire_versions(spark: SparkSession, path: str, newest: int, keep: int = 2) -> None:
     """Remove versions that no replay can ask for: all below the ``keep`` newest up to ``newest``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
