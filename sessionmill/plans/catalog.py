@@ -19,7 +19,7 @@ from sessionmill.plans import standin as S
 from sessionmill.plans.tables import materialize, new_folder
 from sessionmill.sources import snapshots as SN
 from sessionmill.sources import transcripts as TR
-from sessionmill.streaming import registry_stream, tracking
+from sessionmill.streaming import outage, registry_stream, tracking
 from sessionmill.streaming.sinks import append_log, read_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -947,13 +947,16 @@ def _registry_run(spark, sf) -> str:
     if key not in _RUNS:
         root, out = new_folder(spark, "snapshots"), new_folder(spark, "registry")
         obs = S.observations(spark, sf).withColumnRenamed("ts", "received_at").withColumnRenamed("arrival", "sent")
+        told = _report_stream(spark, sf).withColumnRenamed("arrival", "sent")
         top = obs.agg(F.max("sent")).first()[0]
         clock = lambda batch: batch.agg(F.max("received_at").alias("now"))
         for part in range(BATCHES):
             low, high = top * part // BATCHES if part else -1, top * (part + 1) // BATCHES
-            obs.where((F.col("sent") > low) & (F.col("sent") <= high)).write.mode("append").parquet(root)
-            stream = spark.readStream.schema(obs.schema).parquet(root)
-            registry_stream.run_registry(stream, out, ["sent"], clock=clock).awaitTermination()
+            for rows, name in ((obs, "sessions"), (told, "reports")):
+                rows.where((F.col("sent") > low) & (F.col("sent") <= high)).write.mode("append").parquet(f"{root}/{name}")
+            stream = spark.readStream.schema(obs.schema).parquet(f"{root}/sessions")
+            usage_reports = spark.readStream.schema(told.schema).parquet(f"{root}/reports")
+            registry_stream.run_registry(stream, out, ["sent"], clock=clock, usage=usage_reports).awaitTermination()
             if not part:
                 first = registry_stream.opening(spark, out)
                 first.write.parquet(f"{out}/opening")
@@ -1059,7 +1062,15 @@ def stream_history(spark, sf):
     return log.select(F.col("batch_id").cast("int").alias("batch_id"), "phase", "key", "at", "from_status", "to_status")
 
 
-@query(O.OBS, _STREAM, "SELECT batch_id, phase, event, key, status FROM fd")
+_TOLD = f"""
+usd AS (SELECT *, used IS DISTINCT FROM lag(used) OVER (PARTITION BY machine ORDER BY event_id) AS moved
+  FROM (SELECT event_id, 'm' || (user_id % 4) AS machine, event_id // 40 % 100 AS used FROM events)),
+urow AS (SELECT list_filter(range({BATCHES}), lambda p: event_id <= top * (p + 1) // {BATCHES})[1] AS batch_id, event_id, machine, used FROM usd, edge WHERE moved)"""
+
+
+@query(O.OBS, _STREAM, _TOLD, """
+SELECT batch_id, phase, event, key, status FROM fd
+UNION ALL SELECT CAST(batch_id AS INTEGER), 0, 'usage', machine, NULL FROM urow""")
 def stream_feed(spark, sf):
     rows = registry_stream.read_feed(spark, _registry_run(spark, sf))
     return rows.select(F.col("batch_id").cast("int").alias("batch_id"), "phase", "event", "key", "status")
@@ -1093,6 +1104,56 @@ def stream_sweep(spark, sf):
     return swept.join(times, ["batch_id", "key", "phase"], "left").select(F.col("batch_id").cast("int").alias("batch_id"), "event", "key", "at")
 
 
+@query(O.OBS, _STREAM, _TOLD, "SELECT machine, CAST(arg_max(used, event_id) AS DOUBLE) AS used FROM urow GROUP BY 1")
+def stream_usage_panel(spark, sf):
+    """Each machine's plan usage as a reader shows it who came after the first step: from the feed alone."""
+    out = _registry_run(spark, sf)
+    columns = ["batch_id", "phase", "arrival", "event", "key", "report"]
+    rows = spark.read.parquet(f"{out}/opening").select(*columns).unionByName(registry_stream.read_feed(spark, out, after=0).select(*columns))
+    return feed.newest_reports(rows, *registry.STREAM_ORDER).select("machine", F.col("codex.primary.used_percent").alias("used"))
+
+
+@query(O.OBS, _STREAM, """
+sh AS (SELECT logical_key, arg_max({'k': key, 'm': machine, 's': status, 'o': {'b': batch_id, 'p': phase, 'a': arrival}}, {'b': batch_id, 'p': phase, 'a': arrival}) AS w
+  FROM fd WHERE event <> 'removed' GROUP BY 1)""", """
+SELECT logical_key, w.k AS key, w.m AS machine, w.s AS status FROM sh
+WHERE NOT EXISTS (SELECT 1 FROM fd WHERE event = 'removed' AND fd.key = sh.w.k AND {'b': batch_id, 'p': phase, 'a': arrival} > sh.w.o)""")
+def stream_cards(spark, sf):
+    """The cards kept by the registry steps: the fold of the whole feed."""
+    return registry_stream.cards(spark, _registry_run(spark, sf)).select("logical_key", "key", "machine", "status")
+
+
+_OUTAGE_STEPS, _OUTAGE = 5, (1, 2)
+
+
+@query(f"""
+edge AS (SELECT max(event_id) AS top FROM events),
+step AS (SELECT *, list_filter(range({_OUTAGE_STEPS}), lambda p: event_id <= top * (p + 1) // {_OUTAGE_STEPS})[1] AS p FROM events, edge),
+sent AS (SELECT CASE WHEN p IN {_OUTAGE} THEN {_OUTAGE[-1] + 1} ELSE p END AS batch_id, event_id, user_id, unnest(['session', 'usage']) AS kind FROM step)""", """
+SELECT CAST(batch_id AS INTEGER) AS batch_id, kind, CASE kind WHEN 'session' THEN 's' || user_id ELSE 'm' || (user_id % 4) END AS key, CAST(max(event_id) AS VARCHAR) AS payload
+FROM sent GROUP BY 1, 2, 3""")
+def outage_buffer(spark, sf):
+    """Every event as a session and as a usage payload, in five steps; the sink is down for two of them."""
+    root, out = new_folder(spark, "payloads"), new_folder(spark, "delivery")
+    events = S.events(spark, sf).select(
+        "event_id", F.col("event_id").cast("string").alias("payload"),
+        F.explode(F.create_map(
+            F.lit("session"), F.concat(F.lit("s"), F.col("user_id").cast("string")),
+            F.lit("usage"), F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")))).alias("kind", "key"))
+    top = events.agg(F.max("event_id")).first()[0]
+
+    def sink(rows: DataFrame, batch_id: int) -> None:
+        if batch_id in _OUTAGE:
+            raise outage.SinkDown
+        append_log(f"{out}/sent")(rows, batch_id)
+
+    for part in range(_OUTAGE_STEPS):
+        low, high = top * part // _OUTAGE_STEPS if part else -1, top * (part + 1) // _OUTAGE_STEPS
+        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).write.mode("append").parquet(root)
+        outage.run_delivery(spark.readStream.schema(events.schema).parquet(root), out, ["event_id"], sink).awaitTermination()
+    return read_log(spark, f"{out}/sent", outage.PAYLOAD).select(F.col("batch_id").cast("int").alias("batch_id"), "kind", "key", "payload")
+
+
 @query(O.OBS, _STREAM, O.LOGICAL.replace("FROM cur", "FROM kept0").replace("INTERVAL 5 DAY", "INTERVAL 90 SECOND"), """
 v AS (SELECT * FROM fd WHERE batch_id > 0 UNION ALL SELECT 0, 3, 0, 'full', machine || '/' || source || '/' || agent_id, logical_key, machine, status FROM logical),
 sh AS (SELECT logical_key, arg_max({'k': key, 'm': machine, 's': status, 'o': {'b': batch_id, 'p': phase, 'a': arrival}}, {'b': batch_id, 'p': phase, 'a': arrival}) AS w
