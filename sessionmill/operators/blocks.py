@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill import contracts as C
 from sessionmill.functions.times import age_micros, micros
 
 HOUR = 3600
+PIECE_HOURS = 240  # ten days
 
 
 def hourly_usage(events: DataFrame, account: list[str], now: Column) -> DataFrame:
@@ -21,37 +22,56 @@ def hourly_usage(events: DataFrame, account: list[str], now: Column) -> DataFram
     )
 
 
-def _block_starts(hours: Column) -> Column:
-    """Fold over sorted hours: a block opens at the first hour its predecessor does not cover."""
-    length = C.BLOCK_HOURS * HOUR
-    empty = F.array().cast("array<bigint>")
+def _next_start(start: Column, hour: Column) -> Column:
+    """Start of the block that holds ``hour`` when the block before it started at ``start`` (null: none yet)."""
+    return F.when(start.isNull() | (hour >= start + F.lit(C.BLOCK_HOURS * HOUR)), hour).otherwise(start)
+
+
+def _starts_in(hours: Column, start: Column) -> Column:
+    """The starts of blocks of each of some sorted hours; at most ``PIECE_HOURS`` of them."""
     return F.aggregate(
-        hours, empty,
-        lambda starts, h: F.when(
-            (F.size(starts) > 0) & (h < F.try_element_at(starts, F.lit(-1)) + F.lit(length)), starts
-        ).otherwise(F.concat(starts, F.array(h))),
-    )
+        hours, F.array().cast("array<bigint>"),
+        lambda done, h: F.concat(done, F.array(_next_start(F.coalesce(F.try_element_at(done, F.lit(-1)), start), h))))
 
 
-def blocks(hourly: DataFrame, account: list[str]) -> DataFrame:
+def blocks(hourly: DataFrame, account: list[str], piece_hours: int = PIECE_HOURS) -> DataFrame:
     """All blocks of every account: start, end, token sums, messages.
 
-    A block starts on the hour and lasts whole hours, so membership depends on
-    the hour only and the sequential part runs over hours, never over events.
-    Five silent hours always end a block, so each busy stretch is folded on
-    its own; its array holds at most one entry per hour of the calendar.
+    A block starts on the hour and lasts whole hours, so membership depends on the hour only. The calendar is cut into
+    pieces. What a piece does to the block that runs into it is a small map: the block can have started in
+    one of the last ``BLOCK_HOURS`` - 1 hours before it, or not be open any more; for each case the piece tells the
+    start of its last block. Only these maps are followed in order, one row per account and piece; then each
+    piece finds its blocks from the start that runs into it, so no array is longer than a piece.
+    Null accounts form an account like others.
     """
-    length = C.BLOCK_HOURS * HOUR
-    in_order = Window.partitionBy(*account).orderBy("hour")
-    sofar = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = hourly.withColumn("gap", F.when(F.col("hour") - F.lag("hour").over(in_order) >= length, 1).otherwise(0))
-    marked = marked.withColumn("stretch", F.sum("gap").over(sofar))
-    folded = marked.groupBy(*account, "stretch").agg(F.array_sort(F.collect_list("hour")).alias("hours"))
-    starts = folded.select(*account, F.explode(_block_starts(F.col("hours"))).alias("hour")).withColumn("start", F.col("hour"))
-    # an hour belongs to the last block that starts at or before it
-    each = hourly.join(starts, [*account, "hour"], "left").withColumn("start", F.last("start", True).over(sofar))
+    length, span = C.BLOCK_HOURS * HOUR, piece_hours * HOUR
+    piece = F.floor(F.col("hour") / span).cast("bigint")
+    rows = F.array_sort(F.collect_list(F.struct("hour", *C.TOKEN_FIELDS, "messages")))
+    each = hourly.withColumn("piece", piece).groupBy(*account, "piece").agg(rows.alias("rows")).withColumn("hours", F.col("rows.hour"))
+
+    # case 0: no open block; case k: it started k hours before the piece
+    def last_start(case: int) -> Column:
+        start = F.col("piece") * span - case * HOUR if case else F.lit(None).cast("bigint")
+        return F.aggregate("hours", start.cast("bigint"), _next_start)
+
+    maps = each.withColumn("ends", F.array(*[last_start(k) for k in range(C.BLOCK_HOURS)]))
+    # a bounded number of rows per account: one for each piece of the calendar with use
+    steps = F.array_sort(F.collect_list(F.struct("piece", "ends")))
+
+    def walk(seen: Column, step: Column) -> Column:
+        before = F.try_element_at(seen, F.lit(-1))["leaves"]
+        back = F.floor((step["piece"] * span - before) / HOUR).cast("int")
+        case = F.coalesce(F.when(back < C.BLOCK_HOURS, back), F.lit(0))
+        leaves = F.element_at(step["ends"], case + 1)
+        return F.concat(seen, F.array(F.struct(step["piece"].alias("piece"), before.alias("enters"), leaves.alias("leaves"))))
+
+    empty = F.array().cast("array<struct<piece:bigint,enters:bigint,leaves:bigint>>")
+    walked = maps.groupBy(*account).agg(F.aggregate(steps, empty, walk).alias("s")).select(F.struct(*account).alias("who"), F.explode("s").alias("s"))
+    same = F.struct(*account).eqNullSafe(F.col("who")) & (F.col("piece") == F.col("s.piece"))
+    known = each.join(walked, same).withColumn("starts", _starts_in(F.col("hours"), F.col("s.enters")))
+    placed = known.select(*account, F.explode(F.arrays_zip("rows", "starts")).alias("z")).select(*account, F.col("z.starts").alias("start"), "z.rows.*")
     return (
-        each.groupBy(*account, "start")
+        placed.groupBy(*account, "start")
         .agg(*[F.sum(f).alias(f) for f in C.TOKEN_FIELDS], F.sum("messages").alias("messages"))
         .select(
             *account, F.timestamp_seconds("start").alias("block_start"),

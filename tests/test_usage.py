@@ -157,3 +157,23 @@ def test_reports(spark):
     fresh = reports.fresh_readings(r, F.lit(NOW)).collect()
     assert [(x.machine, x.claude_exact.five_hour.used_percent) for x in fresh] == [("b", 7.0)]
     assert reports.account_exact(r.withColumnRenamed("reading", "claude_exact")).first().claude_exact.five_hour.used_percent == 7.0
+
+
+def test_blocks_of_ten_years_without_a_gap(spark):
+    """The fold by pieces equals a plain fold: dense, sparse and null accounts, hours before the epoch, tiny pieces."""
+    rng = random.Random(1)
+    hours = {"a": [h for h in range(2000) if rng.random() < 0.7], "b": [h for h in range(-300, 900) if rng.random() < 0.2], None: [5, 6, 300], "c": range(24 * 3650)}
+    rows = [(k, h * 3600, 1, 1, 1, 1, 1) for k, hs in hours.items() for h in hs]
+    df = spark.createDataFrame(rows, "account string, hour long, " + ", ".join(f"{f} long" for f in C.TOKEN_FIELDS) + ", messages long")
+
+    def fold(name):
+        start, found = None, {}
+        for h in hours[name]:
+            start = h if start is None or h >= start + C.BLOCK_HOURS else start
+            found[name, start * 3600] = found.get((name, start * 3600), 0) + 1
+        return found
+
+    for piece, names in ((blocks.PIECE_HOURS, ["a", "b", None, "c"]), (7, ["a", "b", None])):
+        some = df if "c" in names else df.where("account IS NULL OR account <> 'c'")
+        got = blocks.blocks(some, ["account"], piece).select("account", F.unix_seconds("block_start").alias("s"), "messages").collect()
+        assert {(r.account, r.s): r.messages for r in got} == {k: n for name in names for k, n in fold(name).items()}
