@@ -1,22 +1,30 @@
-"""Alert throttling: at most one alert per session and cooldown, counted from the last fired one."""
+"""Alert throttling: at most one alert per session and cooldown, counted from the last fired one.
+
+The rule is sequential per key, yet a key may hold most alerts. Time is cut into slots of one cooldown.
+A slot without alerts ends every cooldown that runs into it, so each stretch of filled slots starts with
+a fire and stands alone. Short stretches are folded as sorted arrays of bounded size. In the others
+every alert knows its hop, the alert that fires next after it, and maps "from the alert that enters a
+segment to the one that leaves it" are joined pairwise into segments of 2, 4, 8 … slots. An alert that
+enters a segment lies in its first slot or is the first of its second, so each level holds about half of
+the rows below it. From the top the fires are then handed down, one for each half.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionmill import contracts as C
 from sessionmill.functions import paths
 from sessionmill.functions.times import micros
+from sessionmill.operators.segments import SEGMENT_ROWS, Running, running
 from sessionmill.plans.tables import materialize
 
-# Span of one segment in cooldowns; alerts of one key inside it form one task.
-SEGMENT_COOLDOWNS = 32
+# Alerts of a stretch that are folded as one array; longer stretches go through the tree.
+FOLDED_ALERTS = 1024
+STRETCH = ["k", "stretch"]
 
 
 def throttle(
@@ -28,86 +36,100 @@ def throttle(
 ) -> DataFrame:
     """Alerts that fire, from rows (key, at): the first, then the first one a cooldown later, and so on.
 
-    The rule is sequential per key, yet a key may hold most alerts. Time is
-    cut into segments. Where a chain of fires enters a segment fully decides
-    where it leaves, so each segment is reduced in parallel to the map from
-    entry to last fire (runs with the same result merged). Per key only these
-    maps are walked, and each segment then replays from its known entry.
-    Equal times of one key are one alert. ``last_fired`` (key, fired_at) continues
-    an earlier run.
+    Equal times of one key are one alert; null is a key like any other, rows without a time never fire.
+    ``last_fired`` (key, fired_at) continues an earlier run.
     """
     width = micros(cooldown)
-    span = width * SEGMENT_COOLDOWNS
-    rows = alerts.select(F.col(key).alias("k"), F.unix_micros(at).alias("t")).withColumn(
-        "segment", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
-
+    # a struct, since joins match nulls inside one
+    rows = alerts.select(F.struct(F.col(key).alias("v")).alias("k"), F.unix_micros(at).alias("t")).where(F.col("t").isNotNull())
     if last_fired is not None:
         # what the earlier fire blocks cannot fire, and the first alert after that always does
-        until = last_fired.select(F.col(key).alias("k"), (F.unix_micros("fired_at") + width).alias("until"))
+        until = last_fired.select(F.struct(F.col(key).alias("v")).alias("k"), (F.unix_micros("fired_at") + width).alias("until"))
         rows = rows.join(until, "k", "left").where(F.col("until").isNull() | (F.col("t") >= F.col("until"))).drop("until")
-    # bounded by the alerts of one key within the span of a segment
-    grouped = rows.groupBy("k", "segment").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    grouped = materialize(grouped, "alerts")
-
-    # helpers live in here so that workers get them by value and need no installed package
-    def fires(ts: np.ndarray, cooldown: int, blocked_until: int) -> np.ndarray:
-        """Indexes that fire, first alert at or after ``blocked_until`` first."""
-        out, at = [], int(np.searchsorted(ts, blocked_until))
-        while at < len(ts):
-            out.append(at)
-            at = int(np.searchsorted(ts, ts[at] + cooldown))
-        return np.array(out, dtype=np.int64)
-
-    def last_fire_per_entry(ts: np.ndarray, cooldown: int) -> np.ndarray:
-        """For a chain of fires that starts at each alert: the time of its last fire."""
-        after = np.searchsorted(ts, ts + cooldown)
-        here = np.arange(len(ts))
-        hop = np.where(after < len(ts), after, here)
-        while not np.array_equal(hop, hop[hop]):
-            hop = hop[hop]
-        return ts[hop]
-
-    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            upto, leave = [], []
-            for segment, ts in zip(pdf["segment"], pdf["ts"]):
-                last = last_fire_per_entry(ts, width)
-                # an incoming chain blocks at most one cooldown into the segment
-                reach = min(len(ts), int(np.searchsorted(ts, segment * span + width)) + 1)
-                keep = np.append(last[1:reach] != last[: reach - 1], True)
-                upto.append(ts[:reach][keep])
-                leave.append(last[:reach][keep])
-            yield pd.DataFrame({"k": pdf["k"], "segment": pdf["segment"], "upto": upto, "leave": leave})
-
-    maps = grouped.mapInPandas(exits, "k string, segment bigint, upto array<bigint>, leave array<bigint>")
-    walked = maps.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("segment", "upto", "leave"))).alias("maps"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: dict[str, list] = {"k": [], "segment": [], "blocked": []}
-            for k, steps in zip(pdf["k"], pdf["maps"]):
-                blocked = None
-                for step in steps:
-                    out["k"].append(k)
-                    out["segment"].append(step["segment"])
-                    out["blocked"].append(blocked)
-                    i = 0 if blocked is None else int(np.searchsorted(step["upto"], blocked))
-                    if i < len(step["upto"]):
-                        blocked = int(step["leave"][i]) + width
-            yield pd.DataFrame(out).astype({"blocked": "Int64"})
-
-    entries = walked.mapInPandas(walk, "k string, segment bigint, blocked bigint")
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            start = pdf["blocked"].fillna(np.iinfo(np.int64).min).astype("int64")
-            fired = [ts[fires(ts, width, b)] for ts, b in zip(pdf["ts"], start)]
-            yield pd.DataFrame({
-                "k": np.repeat(pdf["k"].to_numpy(), [len(f) for f in fired]),
-                "t": np.concatenate(fired) if fired else np.array([], dtype=np.int64)})
-
-    fired = grouped.join(entries, ["k", "segment"]).select("k", "ts", "blocked").mapInPandas(replay, "k string, t bigint")
-    return fired.select(F.col("k").alias(key), F.timestamp_micros("t").alias(at))
+    slot = ((F.col("t") - F.pmod("t", F.lit(width))) / width).cast("bigint")
+    rows = materialize(rows.distinct().withColumn("slot", slot), "alerts")
+    slots = materialize(_stretches(rows), "slots")
+    placed = rows.join(slots, ["k", "slot"])
+
+    few = placed.where(F.col("alerts") <= FOLDED_ALERTS).groupBy(*STRETCH).agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    fired = few.select("k", F.explode(_greedy(F.col("ts"), width)).alias("t"))
+    longest = slots.where(F.col("alerts") > FOLDED_ALERTS).agg(F.max("length")).first()[0]
+    if longest is not None:
+        hops = _hops(placed.where(F.col("alerts") > FOLDED_ALERTS), width)
+        fired = fired.unionByName(_tree_fires(hops, (longest - 1).bit_length()))
+    return fired.select(F.col("k.v").alias(key), F.timestamp_micros("t").alias(at))
+
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """Filled slots with their stretch, place in it, first alert and that of the next two; size of the stretch."""
+    filled = rows.groupBy("k", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"))
+    filled = filled.withColumn("stretch", F.col("slot") - F.row_number().over(Window.partitionBy("k").orderBy("slot")))
+    whole, ordered = Window.partitionBy(*STRETCH), Window.partitionBy(*STRETCH).orderBy("slot")
+    return filled.select(
+        "k", "slot", "stretch", "first", F.lead("first", 2).over(ordered).alias("beyond"),
+        (F.col("slot") - F.min("slot").over(whole)).alias("place"), F.sum("n").over(whole).alias("alerts"),
+        F.count(F.lit(1)).over(whole).alias("length"))
+
+
+def _greedy(times: Column, width: int) -> Column:
+    def step(fired: Column, t: Column) -> Column:
+        free = F.coalesce(t >= F.try_element_at(fired, F.lit(-1)) + width, F.lit(True))
+        return F.when(free, F.concat(fired, F.array(t))).otherwise(fired)
+    return F.aggregate(times, F.array().cast("array<bigint>"), step)
+
+
+def _hops(placed: DataFrame, width: int) -> DataFrame:
+    """(k, stretch, place, t, head, hop, hop_place): the alert that fires next after one that fires at ``t``.
+
+    It lies in the next slot, if that has an alert a cooldown later; else it is the first of the slot after that.
+    """
+    offers = placed.select(*STRETCH, "place", (-F.col("t")).alias("back"), F.lit(0).alias("asks"))
+    asks = placed.select(
+        *STRETCH, (F.col("place") + 1).alias("place"), (-F.col("t") - width).alias("back"), F.lit(1).alias("asks"),
+        "t", "beyond", (F.col("t") == F.col("first")).alias("head"))
+    both = offers.unionByName(asks, allowMissingColumns=True)
+    # backwards in time, where at most this many different times lie in a piece
+    both = both.withColumn("piece", F.floor(F.col("back") / F.lit(SEGMENT_ROWS)).cast("bigint"))
+    near = Running("max", F.when(F.col("asks") == 0, F.col("back")))
+    asked = running(both, [*STRETCH, "place"], ["piece"], ["back", "asks"], near=near).where("asks = 1")
+    return asked.select(
+        *STRETCH, (F.col("place") - 1).alias("place"), "t", "head", F.coalesce(-F.col("near"), "beyond").alias("hop"),
+        F.when(F.col("near").isNotNull(), F.col("place")).otherwise(F.col("place") + 1).alias("hop_place"))
+
+
+def _segment(place: str, level: int) -> Column:
+    return F.shiftright(F.col(place), level)
+
+
+def _tree_fires(hops: DataFrame, levels: int) -> DataFrame:
+    """(k, t) of all fires in stretches of at most 2**levels slots."""
+    # maps[j]: for each alert that may enter a segment of 2**j slots the alert that fires first after the segment
+    maps = [materialize(hops, "hops")]
+    for level in range(1, levels):
+        below = maps[-1]
+        start = F.shiftleft(_segment("place", level), level)
+        inside = F.col("hop").isNotNull() & (_segment("place", level) == _segment("hop_place", level))
+        entering = below.where((F.col("place") == start) | (F.col("head") & (F.col("place") == start + 1)))
+        entering = entering.withColumn("via", F.when(inside, F.col("hop")))
+        onward = below.select(*STRETCH, F.col("t").alias("via"), F.col("hop").alias("on"), F.col("hop_place").alias("on_place"), F.lit(True).alias("met"))
+        joined = entering.join(onward, [*STRETCH, "via"], "left")
+        maps.append(materialize(joined.select(
+            *STRETCH, "place", "t", "head", F.when(F.col("met"), F.col("on")).otherwise(F.col("hop")).alias("hop"),
+            F.when(F.col("met"), F.col("on_place")).otherwise(F.col("hop_place")).alias("hop_place")), "hops"))
+    fired = _starts(maps[0])
+    for level in range(levels - 1, -1, -1):
+        fires_next = F.col("hop").isNotNull() & (_segment("place", level + 1) == _segment("hop_place", level + 1))
+        here = maps[level].select(*STRETCH, "t", "hop", "hop_place")
+        both = F.array(
+            F.struct("place", "t"), F.when(fires_next, F.struct(F.col("hop_place").alias("place"), F.col("hop").alias("t"))))
+        fired = fired.join(here, [*STRETCH, "t"], "left").select(*STRETCH, F.explode(both).alias("f"))
+        fired = fired.where(F.col("f").isNotNull()).select(*STRETCH, "f.place", "f.t")
+    return fired.select("k", "t")
+
+
+def _starts(hops: DataFrame) -> DataFrame:
+    """The first alert of each stretch, which always fires."""
+    return hops.where(F.col("head") & (F.col("place") == 0)).select(*STRETCH, "place", "t")
 
 
 # --- fixed values: alert wording ---------------------------------------------

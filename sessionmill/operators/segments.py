@@ -1,10 +1,10 @@
 """Ordered running values that survive one key holding most of the rows.
 
-A plain window puts every row of a key into one task. Here the rows of a key
-are cut into segments of bounded size, the segments are summarised with
-mergeable aggregates (partial aggregation on the map side), the summaries are
-scanned in order per key, and each segment gets what came before it as one
-extra seed row. The full rows are shuffled once, by (key, segment).
+A plain window puts every row of a key into one task, which is right for nearly all keys. The few
+hot ones are found by counting and cut into segments: the segments are summarised with mergeable
+aggregates (partial aggregation on the map side), the summaries are scanned in order per key, and
+each segment gets what came before it as one extra seed row. Rows are shuffled once, by
+(key, segment); keys that are not hot have one segment and no seeds.
 """
 
 from __future__ import annotations
@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 
 # Upper bound of rows per (key, segment) when the order column is a unique integer.
 SEGMENT_ROWS = 1 << 16
+# A key is cut when it holds more rows than this and more than one part in ``HOT_KEYS`` of all rows,
+# so there are fewer than ``HOT_KEYS`` hot keys at any size and their list may be broadcast.
+HOT_ROWS = 1 << 16
+HOT_KEYS = 100_000
+# Segments of a hot key are joined until there is at most one for this many of its rows.
+ROWS_PER_SEED = 100
 
 
 def integer_segment(order: str, rows: int = SEGMENT_ROWS) -> Column:
@@ -32,6 +38,23 @@ class Running:
     value: Column
 
 
+def _cut_hot_keys(df: DataFrame, keys: list[str], segment: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``__hot`` and the columns that number a hot key's segments (null for other keys), and their names."""
+    *outer, inner = segment
+    named = {k: f"__key{i}" for i, k in enumerate(keys)}
+    span = F.max(inner) - F.min(inner) + 1
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in named.items()]).agg(F.count(F.lit(1)).alias("__n"), span.alias("__span"))
+    share = counts.agg(F.sum("__n") / F.lit(HOT_KEYS)).scalar()
+    hot = counts.where((F.col("__n") > HOT_ROWS) & (F.col("__n") > share))
+    hot = hot.withColumn("__wide", F.greatest(F.lit(1), F.ceil(F.col("__span") * ROWS_PER_SEED / F.col("__n"))))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
+    rows = df.join(F.broadcast(hot), same, "left").withColumn("__hot", F.col("__wide").isNotNull())
+    for c in outer:
+        rows = rows.withColumn(f"__cut_{c}", F.when(F.col("__hot"), F.col(c)))
+    rows = rows.withColumn(f"__cut_{inner}", F.floor(F.col(inner) / F.col("__wide")).cast("bigint"))
+    return rows.drop(*named.values(), "__n", "__span", "__wide"), [f"__cut_{c}" for c in segment]
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,11 +62,15 @@ def running(
     order: Sequence[str],
     **specs: Running,
 ) -> DataFrame:
-    """Add one column per spec. ``segment`` columns must be non-decreasing in ``order``."""
+    """Add one column per spec. ``segment`` columns must be non-decreasing in ``order``, the last one an integer.
+
+    Only hot keys are cut. Neighbouring values of the last segment column count as one segment where a key
+    has few rows in each, so seeds are at most one in ``ROWS_PER_SEED`` rows for each value of the others.
+    """
     keys, segment, order = list(keys), list(segment), list(order)
     ordering = F.struct(*[F.col(c) for c in order])
     held = {name: f"__{name}" for name in specs}
-    base = df
+    base, cuts = _cut_hot_keys(df, keys, segment)
     for name, spec in specs.items():
         base = base.withColumn(held[name], F.struct(spec.value.alias("v")) if spec.how == "prev" else spec.value)
 
@@ -53,7 +80,7 @@ def running(
             return getattr(F, spec.how)(col).alias(held[name])
         return F.max_by(col, F.when(col.isNotNull(), ordering)).alias(held[name])
 
-    before = Window.partitionBy(*keys).orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
 
     def carried(name: str, spec: Running) -> Column:
         col = F.col(held[name])
@@ -62,14 +89,16 @@ def running(
         return F.last(col, ignorenulls=True).over(before).alias(held[name])
 
     seeds = (
-        base.groupBy(*keys, *segment)
+        base.where("__hot")
+        .groupBy(*keys, *cuts)
         .agg(*[summary(n, s) for n, s in specs.items()])
-        .select(*keys, *segment, *[carried(n, s) for n, s in specs.items()])
+        .select(*keys, *cuts, *[carried(n, s) for n, s in specs.items()])
         .where(F.coalesce(*[F.when(F.col(held[n]).isNotNull(), F.lit(True)) for n in specs]))
         .withColumn("__seed", F.lit(0))
     )
     rows = base.withColumn("__seed", F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-    at = Window.partitionBy(*keys, *segment).orderBy("__seed", *order)
+    rows = rows.repartition(*[F.col(c) for c in (*keys, *cuts)])  # by key alone would also do for the window
+    at = Window.partitionBy(*keys, *cuts).orderBy("__seed", *order)
     upto = at.rowsBetween(Window.unboundedPreceding, 0)
     for name, spec in specs.items():
         col = F.col(held[name])
@@ -79,7 +108,7 @@ def running(
             rows = rows.withColumn(name, F.last(col, ignorenulls=True).over(upto))
         else:
             rows = rows.withColumn(name, F.lag(col).over(at)["v"])
-    return rows.where(F.col("__seed") == 1).drop("__seed", *held.values())
+    return rows.where(F.col("__seed") == 1).drop("__seed", "__hot", *cuts, *held.values())
 
 
 def dyadic_cover(lo: Column, hi: Column) -> Column:

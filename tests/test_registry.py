@@ -1,10 +1,11 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionmill import contracts as C
-from sessionmill.operators import alerts, entities, feed, registry, views
+from sessionmill.operators import alerts, entities, feed, registry, segments, views
 from sessionmill.operators.segments import SEGMENT_ROWS
 from sessionmill.sources import snapshots as SN
 
@@ -34,7 +35,10 @@ def test_changes_new_unchanged_and_edges(spark):
         (None, "thinking"), ("thinking", "needs_you"), ("needs_you", "thinking")]
 
 
-def test_changes_across_segments_and_stored_rows(spark):
+@pytest.mark.parametrize("hot_rows", [0, SEGMENT_ROWS])
+def test_changes_across_segments_and_stored_rows(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(segments, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(segments, "ROWS_PER_SEED", 1 if hot_rows == 0 else 100)
     far = SEGMENT_ROWS * 3
     rows = [snap(0), snap(far), snap(far + 1, status="done")]
     got = {r.arrival: r.change_type for r in registry.registry_changes(frame(spark, rows)).collect()}
@@ -80,11 +84,13 @@ def greedy(times, cooldown, fired=None):
     return out
 
 
-def test_throttle_equals_greedy_fold(spark):
+@pytest.mark.parametrize("folded", [0, 1024])
+def test_throttle_equals_greedy_fold(spark, monkeypatch, folded):
+    monkeypatch.setattr(alerts, "FOLDED_ALERTS", folded)
     rnd = random.Random(2)
     start = datetime(2026, 1, 1, tzinfo=timezone.utc)
     cooldown, times = 120, {}
-    for key, gap, n in (("hot", 40, 3000), ("calm", 4000, 50), ("one", 1, 1), ("burst", 1, 900)):
+    for key, gap, n in (("hot", 40, 3000), ("calm", 4000, 50), ("one", 1, 1), ("burst", 1, 900), ("sparse", 200, 90), (None, 90, 200)):
         t, times[key] = 0, []
         for _ in range(n):
             t += rnd.randrange(gap + 1)
@@ -99,6 +105,20 @@ def test_throttle_equals_greedy_fold(spark):
     again = [int((r.alert_at.replace(tzinfo=timezone.utc) - start).total_seconds()) for r in
              alerts.throttle(df, timedelta(seconds=cooldown), last_fired=last).where("logical_key = 'hot'").collect()]
     assert sorted(again) == greedy(times["hot"], cooldown, 100)
+    assert alerts.throttle(df.limit(0)).isEmpty()
+    undated = spark.createDataFrame([("a", None), ("a", start), ("a", start)], df.schema)
+    assert alerts.throttle(undated).count() == 1
+
+
+def test_throttle_runs_without_python_workers_and_cuts_a_hot_slot(spark, monkeypatch):
+    """Alerts every few microseconds: one key, chains that never meet, many alerts in a slot."""
+    monkeypatch.setattr(segments, "HOT_ROWS", 50)
+    monkeypatch.setattr(segments, "ROWS_PER_SEED", 10)
+    monkeypatch.setattr(alerts, "SEGMENT_ROWS", 64)
+    df = spark.range(20_000).select(F.lit("k").alias("logical_key"), F.timestamp_micros(F.col("id") * 7).alias("alert_at"))
+    fired = alerts.throttle(df, timedelta(microseconds=1000))
+    assert "Python" not in fired._jdf.queryExecution().toString() and "Pandas" not in fired._jdf.queryExecution().toString()
+    assert sorted(r.t for r in fired.select(F.unix_micros("alert_at").alias("t")).collect()) == greedy([7 * i for i in range(20_000)], 1000)
 
 
 def plain_merge(rows, overlap):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionmill.operators import facts as FA
+from sessionmill.operators import segments
 from sessionmill.operators import timeline as TL
 from sessionmill.operators.records import parse_records
 from sessionmill.operators.segments import Running, newest_covering, running
@@ -84,9 +85,12 @@ def test_timeline_equals_a_plain_fold(lines, monkeypatch, segment_lines):
         assert x.pending == counts[x.file][x.line]
 
 
-def test_running_values_equal_plain_ones(spark):
+@pytest.mark.parametrize("hot_rows,rows_per_seed", [(0, 1), (200, 30), (1 << 16, 100)])
+def test_running_values_equal_plain_ones(spark, monkeypatch, hot_rows, rows_per_seed):
+    monkeypatch.setattr(segments, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(segments, "ROWS_PER_SEED", rows_per_seed)
     rnd = random.Random(5)
-    rows = [(rnd.choice("aaab"), i, rnd.choice([None, rnd.randrange(50)])) for i in range(400)]
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.choice([None, rnd.randrange(50)])) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, i long, v long").withColumn("seg", F.floor(F.col("i") / 7))
     got = {r.i: r for r in running(
         df, ["k"], ["seg"], ["i"], s=Running("sum", F.col("v")), m=Running("max", F.col("v")),
@@ -112,3 +116,18 @@ def test_newest_covering_equals_brute_force(spark):
         for i in range(1, 150):
             ranks = [r for kk, lo, hi, r in spans if kk == k and lo <= i <= hi]
             assert got.get((k, i)) == (f"v{max(ranks)}" if ranks else None)
+
+
+def test_only_hot_keys_are_cut_and_seeds_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(segments, "HOT_ROWS", 1000)
+    # one key with most rows, one just hot but thin among them, many rare ones
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 40 == 1, "thin").otherwise(F.concat(F.lit("r"), F.col("id") % 997)).alias("k"),
+        F.col("id").alias("i"), F.floor(F.col("id") / 20).alias("seg"))
+    rows, cuts = segments._cut_hot_keys(df, ["k"], ["seg"])
+    assert rows.count() == 60_000
+    got = {r.k: (r.n, r.cuts) for r in rows.where("__hot").groupBy("k").agg(
+        F.count("*").alias("n"), F.countDistinct(*cuts).alias("cuts")).collect()}
+    assert set(got) == {"hot", "thin"}
+    assert all(1 < cut <= n / 100 + 1 for n, cut in got.values())
+    assert rows.where(~F.col("__hot") & F.col(cuts[0]).isNotNull()).isEmpty()
