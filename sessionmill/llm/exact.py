@@ -23,12 +23,13 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.frames import empty_text, keep_rows, map_rows, store, streamed_groups
+from sessionmill.llm.frames import empty_text, keep_rows, map_rows, store
 
 BUCKET_KEYS = 1_000
 DIRECTORY_BUCKETS = 1 << 16
 FIRST_BITS, MORE_BITS = 12, 4
 COMBINE_BYTES = 16 << 20
+OWNER_BYTES = 32 << 20  # text of an owner task, on average
 WHOLE = (1 << 64) - 1
 
 
@@ -126,21 +127,26 @@ def _owner(starts: list[int]):
     return run
 
 
+def owner_count(size: int, buckets: int) -> int:
+    """Owner tasks for ``size`` bytes of text: they grow with the text, whatever the session's settings, up to one a bucket."""
+    return max(1, min(buckets, -(-size // OWNER_BYTES)))
+
+
 ENTRY = "bucket int, key long, place int, sha string, chars long, keep_id long, group_size long"
 
 
 def build_index(docs: DataFrame, bucket_keys: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, index): rows is (doc_id, key, sha) of each row, index one entry per different text."""
-    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text().alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = store(text.select("doc_id", "key", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")), "keys")
+    sha = F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")
+    rows = store(text.select("doc_id", "key", sha, F.octet_length("text").cast("long").alias("size")), "keys")
     directory = grow_directory(rows.select("key").distinct(), bucket_keys)
     starts = [prefix << (64 - depth) for prefix, depth in directory]
-    owners = max(1, min(len(starts), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    owners = owner_count(rows.agg(F.sum("size")).first()[0] or 0, len(starts))
     cuts = [starts[len(starts) * k // owners] for k in range(1, owners)]
     dealt = map_rows(text, _combine(cuts), "owner int, key long, text string, doc_id long, n long")
-    dealt = dealt.repartition(owners, "owner").sortWithinPartitions("key").drop("owner")
-    return rows, store(map_rows(dealt, _owner(starts), ENTRY), "index")
+    dealt = dealt.repartitionById(owners, "owner").sortWithinPartitions("key").drop("owner")
+    return rows.drop("size"), store(map_rows(dealt, _owner(starts), ENTRY), "index")
 
 
 def exact_groups(docs: DataFrame, bucket_keys: int | None = None) -> DataFrame:
