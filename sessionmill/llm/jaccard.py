@@ -161,11 +161,12 @@ def _report(left: list[int], right: list[int], linked: np.ndarray, diagonal: boo
 
 def distinct_buckets(met: DataFrame) -> DataFrame:
     """(bucket, blocks) of ``met`` (tid, n, bucket): buckets of several members, one of those with the same members, which
-    would only repeat the comparison."""
+    would only repeat the comparison. There are never more blocks than members, however long the texts."""
     m1, m2 = (F.bit_xor(F.xxhash64(F.lit(k), "tid")) for k in (1, 2))  # cannot overflow; a text is in a bucket once
     full = met.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size"), m1.alias("m1"), m2.alias("m2")).where("members > 1")
     once = full.groupBy("members", "size", "m1", "m2").agg(F.min("bucket").alias("bucket"))
-    return once.select("bucket", F.greatest(F.ceil(F.col("members") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_NGRAMS))
+    return once.select("bucket", F.least("members", blocks).cast("int").alias("blocks"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

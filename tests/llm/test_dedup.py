@@ -207,3 +207,27 @@ def test_buckets_of_very_many_ngrams(spark):
     met = spark.range(80_000).selectExpr("id * 8589934592 + 5 AS tid", "1000L AS n", "explode(array(7L, -7L, 8L, 9L)) AS bucket")
     met = met.where("NOT (bucket = 8 AND tid = 5) AND NOT (bucket = 9 AND tid = 8589934597)").unionByName(spark.sql("SELECT 1L tid, 3L n, 11L bucket"))
     assert sorted(map(tuple, jaccard.distinct_buckets(met).collect())) == [(-7, 313), (8, 313), (9, 313)]
+
+
+def test_owners_follow_the_text(make, odd_rows, monkeypatch):
+    assert [exact.owner_count(n, 10) for n in (0, 1, exact.OWNER_BYTES, exact.OWNER_BYTES + 1, 1 << 50)] == [1, 1, 1, 2, 10]
+    monkeypatch.setattr(exact, "OWNER_BYTES", 40)
+    rows = [*odd_rows, *((1000 + i, f"text {i % 60} " * 3) for i in range(300))]
+    got = exact.exact_groups(make(rows), bucket_keys=2).collect()
+    size, largest = {}, {}
+    for i, t in rows:
+        size[t or ""] = size.get(t or "", 0) + 1
+        largest[t or ""] = max(largest.get(t or "", -1), -1 if i is None else i)
+    want = [(i, None if largest[t or ""] < 0 else largest[t or ""], size[t or ""]) for i, t in rows]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_blocks_never_exceed_members(spark, make, monkeypatch):
+    met = spark.sql("SELECT t tid, 100000000L n, 1L bucket FROM range(2) AS r(t)")
+    assert [tuple(r) for r in jaccard.distinct_buckets(met).collect()] == [(1, 2)]
+    monkeypatch.setattr(jaccard, "BLOCK_NGRAMS", 100)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:15_000], "other", *words[15_000:]])), (3, " ".join(reversed(words)))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(make(rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
