@@ -6,7 +6,7 @@ other texts, and fits a logistic regression on the scaled features; the product
 per place, so scoring a text of any length is one lookup per n-gram.
 
 The classifier is fitted on a bounded sample of the labelled rows (``SAMPLE_DOCS`` of each class, drawn by a hash of
-the id); its weights, 2**BITS numbers, go to the tasks with the function.
+the id; of a text longer than ``SAMPLE_CHARS`` one window of that length, placed by another hash); its weights, 2**BITS numbers, go to the tasks with the function.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from sessionmill.llm.frames import small_batches
 ORDERS = (4, 5, 6)
 BITS = 18
 SAMPLE_DOCS = 1500
+SAMPLE_CHARS = 1 << 16
 EPOCHS = 12
 SMOOTH = 1.0
 CHUNK = 1 << 18
@@ -98,6 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SA
     """Fit on about ``per_class`` rows of each label among the labelled rows for which ``learn`` (of doc_id) holds.
 
     ``labels``: (doc_id, toxic 0/1); other or null labels are left out; of several labels of a document the largest counts.
+    Texts beyond ``SAMPLE_CHARS`` characters are cut to a window in the tasks, so the driver gets rows of bounded size.
     """
     known = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = dict(known.groupBy("toxic").count().collect())
@@ -106,7 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SA
         rate = F.when(F.col("toxic") == label, min(1.0, per_class / n)).otherwise(rate)
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "doc_id"), 11) / F.lit(float(1 << 53))) < rate
     drawn = known.where(draw)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")  # about 2 * per_class rows
+    start = 1 + F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)).cast("int")
+    window = F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), window).where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")  # about 2 * per_class rows
     # repeated ids could pass the bound: it is held here
     got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(4 * per_class).collect()
     return ScaledLinear().fit([r["text"] for r in got], np.array([r["toxic"] for r in got], int))

@@ -107,3 +107,16 @@ def test_features_do_not_depend_on_chunks(monkeypatch):
     whole = toxicity.features(text, seen)
     monkeypatch.setattr(toxicity, "CHUNK", 37)
     assert (toxicity.features(text, seen) == whole).all() and not seen.any()
+
+
+def test_toxicity_learns_from_windows_of_long_texts(spark, make, insults, monkeypatch):
+    docs, labels = insults
+    taken = []
+    fit = toxicity.ScaledLinear.fit
+    monkeypatch.setattr(toxicity.ScaledLinear, "fit", lambda self, texts, y, **o: taken.extend(texts) or fit(self, texts, y, **o))
+    long = make([(9000 + k, w * 100_000) for k, w in enumerate(["plain words follow here and on and on, with more of them to come ", "you blackguard, you scoundrel of all dunderheads, be gone "])])
+    marks = spark.createDataFrame([(9000, 1, 0), (9001, 1, 1)], labels.schema)
+    model = toxicity.train(docs.union(long), labels.union(marks), F.lit(True))
+    assert max(map(len, taken)) == toxicity.SAMPLE_CHARS and sum(len(t) == toxicity.SAMPLE_CHARS for t in taken) == 2
+    got = {r.doc_id: r.s for r in long.select("doc_id", toxicity.scorer(model)("text").alias("s")).collect()}
+    assert got[9000] < 0.5 <= got[9001]
