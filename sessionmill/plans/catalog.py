@@ -915,25 +915,21 @@ def stream_usage_deltas(spark, sf):
     return tracking.usage_increments(spark, _tracking_run(spark, sf)).select("file", event_id(), us("ts").alias("ts_us"), *tokens())
 
 
+# Most lines of a landed chunk, about a megabyte of text: files grow with the sessions and the text, not with the numbers of the events.
+LANDED_LINES = 4096
+
+
 def _landed_files(spark, sf) -> str:
-    """The derived transcripts as text: ``<session>/<seq>.jsonl``, as a shipper lands them."""
+    """The derived transcripts as text, as Spark's writer lands them: ``session=<session>/part-…``, chunks in the order of their names."""
     key = ("landed files", spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
         root = new_folder(spark, "jsonl")
-        lines = S.transcript_lines(spark, sf).select(F.col("file").alias("session"), F.floor(F.col("seq") / 8).alias("part"), "seq", "line", "value")
-        lines.repartition("session", "part").sortWithinPartitions("session", "part", "seq", "line").select("session", F.col("part").alias("seq"), "value") \
-            .write.partitionBy("session", "seq").text(f"{root}/raw")
-        jvm = spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        for session in fs.listStatus(path(f"{root}/raw")):
-            if session.isDirectory():
-                name = session.getPath().getName().split("=")[1]
-                fs.mkdirs(path(f"{root}/live/{name}"))
-                for seq in fs.listStatus(session.getPath()):
-                    part, = fs.globStatus(path(f"{seq.getPath()}/part-*"))
-                    fs.rename(part.getPath(), path(f"{root}/live/{name}/{seq.getPath().getName().split('=')[1]}.jsonl"))
-        _RUNS[key] = f"{root}/live"
+        lines = S.transcript_lines(spark, sf).select(F.col("file").alias("session"), "seq", "line", "value")
+        # tasks put their own files in place; the driver would move them one by one
+        lines.repartitionByRange("session", "seq", "line").sortWithinPartitions("session", "seq", "line").select("session", "value") \
+            .write.options(**{"mapreduce.fileoutputcommitter.algorithm.version": "2", "maxRecordsPerFile": LANDED_LINES}) \
+            .partitionBy("session").text(root)
+        _RUNS[key] = root
     return _RUNS[key]
 
 
@@ -992,8 +988,13 @@ kept{i} AS (SELECT * REPLACE (CASE WHEN staled THEN 'stale' ELSE status END AS s
     return ",".join(parts)
 
 
+def _partition_value(folder: Column) -> Column:
+    return F.substring_index(folder, "=", -1)
+
+
 def _by_session(lines: DataFrame, session: Column) -> DataFrame:
     """Records of landed text, counted by session. Files of either dialect lie under one root, so the first line tells."""
+    lines = materialize(lines, "landed")  # read by both, and opening a session's files again costs more than the text
     dialect = TR.sniff_source(lines)
     found = records.parse_records(lines.drop("source").join(dialect, "file"))
     own = found.withColumn("session", session).groupBy("session", "source")
@@ -1009,18 +1010,18 @@ FROM fx JOIN d ON d.file = fx.file GROUP BY ALL""")
 @query(O.FX, *_LANDED)
 def landed_records(spark, sf):
     """Text chunks of each session read by ``read_chunks`` and parsed."""
-    lines = TR.read_chunks(spark, [(_landed_files(spark, sf), C.SOURCE_A)])
-    lines = lines.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    lines = TR.read_chunks(spark, [(_landed_files(spark, sf), C.SOURCE_A)], "part-*")
+    lines = lines.withColumn("file", _partition_value(F.element_at(F.split("file", "/"), -1)))
     return _by_session(lines, F.col("file"))
 
 
 @query(O.FX, *_LANDED)
 def closed_records(spark, sf):
     """The same text read as closed files; a session's chunks are put in order by their names."""
-    lines = TR.read_closed_files(spark, [(_landed_files(spark, sf), C.SOURCE_A)])
+    lines = TR.read_closed_files(spark, [(_landed_files(spark, sf), C.SOURCE_A)], "part-*")
     parts = F.split("file", "/")
-    chunk = F.regexp_extract(F.element_at(parts, -1), r"^(\d+)", 1).cast("bigint")
-    lines = lines.withColumn("seq", chunk * (1 << 40) + F.col("seq")).withColumn("file", F.element_at(parts, -2))
+    chunk = TR.part_number(F.element_at(parts, -1))
+    lines = lines.withColumn("seq", chunk * (1 << 32) + F.col("seq")).withColumn("file", _partition_value(F.element_at(parts, -2)))
     return _by_session(lines, F.col("file"))
 
 

@@ -157,31 +157,45 @@ def stream_carried_lines(chunks: DataFrame, keys: list[str], order: str, value:
     return _as_lines(inner.unionByName(first), value)
 
 
+NAMES = "*.jsonl"
+# Files of one task and session that Spark's writer may count.
+PART_FILES = 1 << 12
+
+
+def part_number(name: Column) -> Column:
+    """Place of a file by the name that Spark's writer gave it, ``part-<task>-….c<file>.txt``; null for other names."""
+    task, file = (F.regexp_extract(name, r"^part-(\d+)-.*\.c(\d+)\.txt$", i).try_cast("bigint") for i in (1, 2))
+    return F.when(file < PART_FILES, task * PART_FILES + file)
+
+
 def _plain_path(col: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.regexp_replace(col, r"\+", "%2B")), r"^file:(//)?", "")
 
 
 def _landed(raw: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:
-    """Chunks with file, source, seq and text: ``<session>/<seq>.jsonl``, or any other ``.jsonl`` as a session of one chunk."""
+    """Chunks with file, source, seq and text: ``<session>/<seq>.jsonl``, ``<session>/part-…`` (:func:`part_number`), or any other
+    file as a session of one chunk."""
     parts = F.split("path", "/")
     tagged = tag_source(raw.withColumn("path", _plain_path(F.col("path"))), roots)
-    seq = F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.jsonl$", 1).try_cast("bigint")
+    name = F.element_at(parts, -1)
+    seq = F.coalesce(F.regexp_extract(name, r"^(\d+)\.jsonl$", 1).try_cast("bigint"), part_number(name))
     folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     named = tagged.withColumn("seq", seq).withColumn("file", F.when(F.col("seq").isNotNull(), folder).otherwise(F.col("path")))
     named = named.where(~is_subagent(F.col("file")) & ~is_subagent(F.col("path")))
     return named.select("file", "source", F.coalesce("seq", F.lit(0)).alias("seq"), "value")
 
 
-def read_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFrame:
+def read_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], names: str = NAMES) -> DataFrame:
     """Landed transcripts: ``<root>/.../<session>/<seq>.jsonl``, immutable chunks, or ``<root>/.../<session>.jsonl``.
 
     Shippers keep chunks to tens of megabytes, so a chunk is read as one value and the line number inside it
-    is exact. Chunks may be cut anywhere: see :func:`carried_lines`.
+    is exact. Chunks may be cut anywhere: see :func:`carried_lines`. With ``names`` as ``part-*`` chunks are read
+    where Spark's writer left them, in the order of its tasks: ``<root>/.../<session>/part-…``.
     """
     roots = existing_roots(spark, roots)
     raw = (
         spark.read.format("text").option("wholetext", True)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", names)
         .load(_outer_roots(roots))
         .select("value", F.col("_metadata.file_path").alias("path"))
     ) if roots else spark.createDataFrame([], "value string, path string")
@@ -206,7 +220,7 @@ def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_fil
     for root in _outer_roots(roots):
         part = (
             spark.readStream.format("text").schema("value string").option("wholetext", True)
-            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+            .option("recursiveFileLookup", True).option("pathGlobFilter", NAMES)
             .option("maxFilesPerTrigger", max_files)
             .load(_lasting(root))
             .select("value", F.col("_metadata.file_path").alias("path"))
@@ -215,8 +229,8 @@ def stream_chunks(spark: SparkSession, roots: Iterable[tuple[str, str]], max_fil
     return stream_carried_lines(_landed(raw, roots), ["file", "source"], "seq", ttl=ttl).select("file", "source", "seq", "line", "value")
 
 
-def read_closed_files(spark: SparkSession, roots: Iterable[tuple[str, str]]) -> DataFrame:
-    """Backfill of finished transcripts of any size, one file per session.
+def read_closed_files(spark: SparkSession, roots: Iterable[tuple[str, str]], names: str = NAMES) -> DataFrame:
+    """Backfill of finished transcripts of any size, one file per session; ``names`` is the pattern of their names.
 
     Files are split by Spark; ``seq`` is the start of the split and ``line``
     grows inside it, so order is kept without reading a file in one piece.
@@ -225,7 +239,7 @@ def read_closed_files(spark: SparkSession, roots: Iterable[tuple[str, str]]) ->
     roots = existing_roots(spark, roots)
     raw = (
         spark.read.format("text").option("lineSep", "\n")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", names)
         .load(_outer_roots(roots)).where(F.col("value") != "")
         .select(
             F.regexp_replace("value", "\r$", "").alias("value"),
