@@ -99,10 +99,14 @@ _B_BODY = """CASE event_type
             IF(event_id % 8 = 3, 'x <turn_aborted> y', 'hello'), '"}]}') END END"""
 
 
+# Rows of the events that one task turns into lines and parses, some ten seconds of work.
+TASK_ROWS = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Test tables come as one split: use all cores for the CPU-heavy derivation. Results do not depend on it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Test tables come as few splits, some of them empty: use all cores for the CPU-heavy derivation, and more tasks, not longer ones,
+    for more rows. Results do not depend on it."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)))
 
 
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

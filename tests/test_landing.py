@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from sessionmill.plans import catalog
+from sessionmill.plans import catalog, standin
 from sessionmill.sources import transcripts as TR
 
 
@@ -37,3 +37,23 @@ def test_chunks_of_a_session_in_the_order_of_their_names(spark, tmp_path, monkey
     assert lines.select("seq").distinct().count() >= 13
     found = [int(r.value.split("go on ")[1].split('"')[0]) for r in lines.orderBy("seq", "line").collect()]
     assert found == list(range(1, 41))
+
+
+def test_more_rows_are_more_tasks(spark, monkeypatch):
+    """The number of tasks was that of the cores, so the longest one grew with the rows."""
+    monkeypatch.setattr(standin, "TASK_ROWS", 100)
+    assert standin.spread(spark.range(0, 5_000, 1, 2)).rdd.getNumPartitions() == 50
+    assert standin.spread(spark.range(0, 50, 1, 2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("files,triggers", [(8, 2), (80, 8)])
+def test_triggers_of_the_landed_lines(spark, tmp_path, files, triggers):
+    """A trigger took four files however many there were: 20 triggers of 80 files."""
+    row = ("s1", "claude-code", 0, 0, "{}")
+    spark.createDataFrame([row] * files, "file string, source string, seq long, line long, value string").repartition(files) \
+        .write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/in")
+    seen = []
+    stream = catalog._landed_lines(spark, f"{tmp_path}/in")
+    stream.writeStream.foreachBatch(lambda batch, i: seen.append(batch.count())).trigger(availableNow=True) \
+        .option("checkpointLocation", f"{tmp_path}/check").start().awaitTermination()
+    assert len(seen) == triggers and sum(seen) == files
