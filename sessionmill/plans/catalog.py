@@ -846,8 +846,10 @@ def _land(spark, sf) -> str:
 
 
 def _landed_lines(spark, root: str) -> DataFrame:
+    """The landed lines in several triggers, each of enough files for all cores."""
+    files, cores = len(spark.read.schema(C.LINES).parquet(root).inputFiles()), spark.sparkContext.defaultParallelism
     return spark.readStream.schema(C.LINES).option(
-        "maxFilesPerTrigger", 4).parquet(root)
+        "maxFilesPerTrigger", max(4, min(cores, files // 3), files // 8)).parquet(root)
 
 
 STEPS = 5
