@@ -39,13 +39,15 @@ class Running:
 
 
 def _cut_hot_keys(df: DataFrame, keys: list[str], segment: list[str]) -> tuple[DataFrame, list[str]]:
-    """``df`` with ``__hot`` and the columns that number a hot key's segments (null for other keys), and their names."""
+    """``df`` with ``__hot`` and the columns that number a hot key's segments (null for other keys), and their names; no names if no key is hot."""
     *outer, inner = segment
     named = {k: f"__key{i}" for i, k in enumerate(keys)}
     span = F.max(inner) - F.min(inner) + 1
     counts = df.groupBy(*[F.col(k).alias(n) for k, n in named.items()]).agg(F.count(F.lit(1)).alias("__n"), span.alias("__span"))
     share = counts.agg(F.sum("__n") / F.lit(HOT_KEYS)).scalar()
     hot = counts.where((F.col("__n") > HOT_ROWS) & (F.col("__n") > share))
+    if hot.isEmpty():
+        return df, []
     hot = hot.withColumn("__wide", F.greatest(F.lit(1), F.ceil(F.col("__span") * ROWS_PER_SEED / F.col("__n"))))
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
     rows = df.join(F.broadcast(hot), same, "left").withColumn("__hot", F.col("__wide").isNotNull())
@@ -88,7 +90,8 @@ def running(
             return getattr(F, spec.how)(col).over(before).alias(held[name])
         return F.last(col, ignorenulls=True).over(before).alias(held[name])
 
-    seeds = (
+    rows = base.withColumn("__seed", F.lit(1))
+    seeds = None if not cuts else (
         base.where("__hot")
         .groupBy(*keys, *cuts)
         .agg(*[summary(n, s) for n, s in specs.items()])
@@ -96,7 +99,8 @@ def running(
         .where(F.coalesce(*[F.when(F.col(held[n]).isNotNull(), F.lit(True)) for n in specs]))
         .withColumn("__seed", F.lit(0))
     )
-    rows = base.withColumn("__seed", F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+    if seeds is not None:
+        rows = rows.unionByName(seeds, allowMissingColumns=True)
     rows = rows.repartition(*[F.col(c) for c in (*keys, *cuts)])  # by key alone would also do for the window
     at = Window.partitionBy(*keys, *cuts).orderBy("__seed", *order)
     upto = at.rowsBetween(Window.unboundedPreceding, 0)
