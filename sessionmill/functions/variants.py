@@ -1,7 +1,8 @@
 """Strictly typed reads from parsed JSON (VARIANT).
 
 A plain variant cast is looser than the record format allows (``"5"`` and
-``5.0`` both cast to 5), so every read checks the stored type first.
+``5.0`` both cast to 5), so a read checks the stored type first. Each look-up
+walks the value again, so reads take as few as they can.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ def _stored(v: Column, path: str, kind: str) -> Column:
 
 
 def text(v: Column, path: str) -> Column:
-    return F.when(_stored(v, path, "STRING"), F.try_variant_get(v, path, "string"))
+    # of the types of JSON only strings cast to bytes
+    return F.try_variant_get(v, path, "binary").cast("string")
 
 
-def text_nonempty(v: Column, path: str) -> Column:
-    value = text(v, path)
-    return F.when(value != "", value)
+def members(v: Column, schema: str) -> Column:
+    """The members of an object in one walk; missing ones cost nothing. Members of type ``binary`` are strings only, as :func:`text` reads them."""
+    return F.try_variant_get(v, "$", f"struct<{schema}>")
+
+
+def nonempty(text: Column) -> Column:
+    return F.when(text != "", text)
 
 
 def flag(v: Column, path: str) -> Column:
@@ -44,7 +50,7 @@ def unsigned(v: Column, path: str) -> Column:
 
 
 def unsigned_or_zero(v: Column, path: str) -> Column:
-    return F.coalesce(unsigned(v, path), F.lit(0).cast("bigint"))
+    return F.greatest(integer(v, path), F.lit(0).cast("bigint"))
 
 
 def number(v: Column, path: str) -> Column:
@@ -71,4 +77,4 @@ def items(v: Column, path: str) -> Column:
 def flat_text(v: Column, path: str) -> Column:
     """A string, or the ``text`` members of an array joined by newlines."""
     parts = F.filter(F.transform(items(v, path), lambda b: text(b, "$.text")), lambda t: t.isNotNull())
-    return F.coalesce(F.when(items(v, path).isNotNull(), F.array_join(parts, "\n")), text(v, path), F.lit(""))
+    return F.coalesce(F.array_join(parts, "\n"), text(v, path), F.lit(""))

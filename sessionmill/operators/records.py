@@ -19,44 +19,53 @@ from sessionmill import contracts as C
 from sessionmill.functions import variants as V
 from sessionmill.functions.times import parse_rfc3339
 
+# The members of a line, of a content block and of a dialect-B payload that are read; strings as ``binary``.
+LINE = """type: binary, timestamp: binary, isSidechain: variant, isMeta: variant, sessionId: binary, cwd: binary, gitBranch: binary,
+  message: struct<content: variant, stop_reason: binary, model: binary, id: binary, usage: variant>, payload: variant"""
+BLOCK = "type: binary, id: binary, tool_use_id: binary, content: variant, text: binary, name: binary, input: struct<description: binary, todos: array<variant>>"
+PAYLOAD = """type: binary, id: binary, cwd: binary, model: binary, approval_policy: binary, originator: binary, role: binary, call_id: binary, name: binary,
+  git: struct<branch: binary, repository_url: binary>"""
 
 
-def _stage_a(v: Column) -> list[dict[str, Column]]:
+def _string(member: str) -> Column:
+    return F.col(member).cast("string")
+
+
+def _stage_a() -> list[dict[str, Column]]:
     """Helper columns of dialect A, computed once per line."""
-    dialect = F.col("source") != C.SOURCE_B
+    dialect = ~F.col("__in_b")
     says = dialect & ~F.col("__side") & F.coalesce(F.col("__type") == "assistant", F.lit(False))
     asks = dialect & ~F.col("__side") & F.coalesce(F.col("__type") == "user", F.lit(False))
+    content, usage = F.col("__m.message.content"), F.col("__m.message.usage")
     return [
-        {"__side": F.coalesce(dialect & V.flag(v, "$.isSidechain"), F.lit(False)),
-         "__meta": F.coalesce(dialect & V.flag(v, "$.isMeta"), F.lit(False))},
+        {"__side": F.coalesce(dialect & V.flag(F.col("__m.isSidechain"), "$"), F.lit(False)),
+         "__meta": F.coalesce(dialect & V.flag(F.col("__m.isMeta"), "$"), F.lit(False))},
         {"__says": says, "__asks": asks},
-        {"__blocks": F.when(F.col("__says") | F.col("__asks"), V.items(v, "$.message.content")),
-         "__stop": F.when(F.col("__says"), V.text(v, "$.message.stop_reason")),
-         "__counts": F.col("__says") & V.present(v, "$.message.usage")},
+        {"__blocks": F.when(F.col("__says") | F.col("__asks"), F.try_variant_get(content, "$", f"array<struct<{BLOCK}>>")),
+         "__stop": F.when(F.col("__says"), _string("__m.message.stop_reason")),
+         "__tokens": F.when(F.col("__says") & usage.isNotNull(), F.struct(
+             V.unsigned_or_zero(usage, "$.input_tokens").alias("input_tokens"),
+             V.unsigned_or_zero(usage, "$.output_tokens").alias("output_tokens"),
+             V.unsigned_or_zero(usage, "$.cache_read_input_tokens").alias("cache_read_tokens"),
+             V.unsigned_or_zero(usage, "$.cache_creation_input_tokens").alias("cache_creation_tokens"),
+         )),
+         "__session": V.nonempty(_string("__m.sessionId")), "__cwd": V.nonempty(_string("__m.cwd")), "__branch": V.nonempty(_string("__m.gitBranch")),
+         "__model": F.when(F.col("__says"), _string("__m.message.model")), "__message": F.when(F.col("__says"), _string("__m.message.id"))},
         {"__fresh": F.col("__asks") & ~F.col("__meta") & ~F.coalesce(
-            F.exists("__blocks", lambda b: V.text(b, "$.type") == "tool_result"), F.lit(False)),
-         "__whole": F.when(F.col("__asks") & F.col("__blocks").isNull(), V.text(v, "$.message.content"))},
+            F.exists("__blocks", lambda b: b["type"].cast("string") == "tool_result"), F.lit(False)),
+         "__whole": F.when(F.col("__asks") & F.col("__blocks").isNull(), V.text(content, "$"))},
     ]
 
 
-def _record_a(v: Column) -> dict[str, Column]:
+def _record_a() -> dict[str, Column]:
     """Effects of a dialect-A record as a whole."""
-    says, cleared, stop, has_usage = (F.col(c) for c in ("__says", "__fresh", "__stop", "__counts"))
+    says, cleared, stop, tokens = (F.col(c) for c in ("__says", "__fresh", "__stop", "__tokens"))
     return dict(
         kind=F.lit("record"),
         active_ts=F.when(says | F.col("__asks"), F.col("__ts")),
         sidechain=F.col("__side"),
-        session_id=V.text_nonempty(v, "$.sessionId"),
-        cwd=V.text_nonempty(v, "$.cwd"),
-        git_branch=V.text_nonempty(v, "$.gitBranch"),
-        model=F.when(says, V.text(v, "$.message.model")),
-        message_id=F.when(has_usage, V.text(v, "$.message.id")),
-        tokens=F.when(has_usage, F.struct(
-            V.unsigned_or_zero(v, "$.message.usage.input_tokens").alias("input_tokens"),
-            V.unsigned_or_zero(v, "$.message.usage.output_tokens").alias("output_tokens"),
-            V.unsigned_or_zero(v, "$.message.usage.cache_read_input_tokens").alias("cache_read_tokens"),
-            V.unsigned_or_zero(v, "$.message.usage.cache_creation_input_tokens").alias("cache_creation_tokens"),
-        )),
+        session_id=F.col("__session"), cwd=F.col("__cwd"), git_branch=F.col("__branch"), model=F.col("__model"),
+        message_id=F.when(tokens.isNotNull(), F.col("__message")), tokens=tokens,
         interrupted=F.when(says, F.lit(False)),
         finished=F.when(says & stop.isNotNull(), stop == C.END_TURN).when(cleared, F.lit(False)),
         stop=F.when(says & stop.isNotNull(), F.struct(stop.alias("reason")))
@@ -64,9 +73,9 @@ def _record_a(v: Column) -> dict[str, Column]:
     )
 
 
-def _call_a(block: Column) -> dict[str, Column]:
-    name = F.coalesce(V.text(block, "$.name"), F.lit(C.DEFAULT_TOOL))
-    todos = F.transform(V.items(block, "$.input.todos"), lambda t: F.struct(
+def _call_a() -> dict[str, Column]:
+    name = F.coalesce(_string("__block.name"), F.lit(C.DEFAULT_TOOL))
+    todos = F.transform("__block.input.todos", lambda t: F.struct(
         F.coalesce(V.text(t, "$.content"), F.lit("")).alias("content"),
         F.coalesce(V.text(t, "$.status"), F.lit("")).alias("status"),
         V.text(t, "$.activeForm").alias("active_form"),
@@ -74,7 +83,7 @@ def _call_a(block: Column) -> dict[str, Column]:
     call_id = F.col("__id")
     return dict(
         kind=F.lit("call"), call_id=call_id, opens=F.when(call_id.isNotNull(), F.lit(True)),
-        call_name=name, call_label=V.text(block, "$.input.description"),
+        call_name=name, call_label=_string("__block.input.description"),
         todos=F.when(name == C.TODO_TOOL, todos),
     )
 
@@ -107,52 +116,64 @@ def _limit_window(v: Column, path: str) -> Column:
     ))
 
 
+ENVELOPES = ("session_meta", "turn_context", "event_msg", "response_item")
+
+
+def _stage_b(v: Column) -> list[dict[str, Column]]:
+    """Helper columns of dialect B from its payload ``v``, computed once per line."""
+    event, item = F.col("__event_msg"), F.col("__response_item")
+    inner, counts = F.col("__inner"), F.col("__event_msg") & (F.col("__inner") == "token_count")
+    return [
+        {"__inner": _string("__p.type"), **{f"__{name}": F.col("__enveloped") & (F.col("__type") == name) for name in ENVELOPES}},
+        {"__calls": F.coalesce(item & inner.isin("function_call", "custom_tool_call"), F.lit(False)),
+         "__outputs": F.coalesce(item & inner.isin("function_call_output", "custom_tool_call_output"), F.lit(False)),
+         "__aborted": F.coalesce(event & (inner == "turn_aborted"), F.lit(False)) | F.coalesce(F.when(
+             item & (inner == "message"),
+             (_string("__p.role") == "user") & V.flat_text(v, "$.content").contains(C.ABORT_MARKER)), F.lit(False)),
+         "__counted": F.coalesce(F.when(counts, V.present_nonnull(v, "$.info")), F.lit(False)),
+         "__limited": F.coalesce(F.when(counts, V.present_nonnull(v, "$.rate_limits")), F.lit(False))},
+    ]
+
+
 def _record_b(v: Column) -> dict[str, Column]:
-    """Effects of a dialect-B envelope; one row holds them all."""
+    """Effects of a dialect-B envelope with payload ``v``; one row holds them all."""
     ts = F.col("__ts")
     inner = F.col("__inner")
-    meta, context, event, item = (
-        F.col("__enveloped") & (F.col("__type") == name)
-        for name in ("session_meta", "turn_context", "event_msg", "response_item"))
+    meta, context, event, item = (F.col(f"__{name}") for name in ENVELOPES)
 
     def says(*names: str) -> Column:
         return F.coalesce(event & inner.isin(*names), F.lit(False))
 
-    calls = F.coalesce(item & inner.isin("function_call", "custom_tool_call"), F.lit(False))
-    outputs = F.coalesce(item & inner.isin("function_call_output", "custom_tool_call_output"), F.lit(False))
-    marked = F.coalesce("__marked", F.lit(False))
-    aborted = says("turn_aborted") | marked
+    calls, outputs, aborted, counted, limited = (F.col(c) for c in ("__calls", "__outputs", "__aborted", "__counted", "__limited"))
     started, completed, prompted = says("task_started"), says("task_complete"), says("user_message")
-    counted = says("token_count") & V.present_nonnull(v, "$.payload.info")
-    limited = says("token_count") & V.present_nonnull(v, "$.payload.rate_limits")
-    total = "$.payload.info.total_token_usage"
-    call_id = F.when(calls | outputs, F.col("__id"))
+    total = "$.info.total_token_usage"
+    call_id = F.when(calls | outputs, _string("__p.call_id"))
 
     return dict(
         kind=F.when(calls, "call").when(outputs, "result").otherwise("record"),
         active_ts=F.when(meta | context | event | item, ts),
         sidechain=F.lit(False),
-        session_id=F.when(meta, V.text(v, "$.payload.id")),
-        cwd=F.when(meta | context, V.text(v, "$.payload.cwd")),
-        git_branch=F.when(meta, V.text(v, "$.payload.git.branch")),
-        repository_url=F.when(meta, V.text(v, "$.payload.git.repository_url")),
-        originator=F.when(meta, V.text(v, "$.payload.originator")),
-        model=F.when(context, V.text(v, "$.payload.model")),
-        approval_policy=F.when(context, V.text(v, "$.payload.approval_policy")),
+        session_id=F.when(meta, _string("__p.id")),
+        cwd=F.when(meta | context, _string("__p.cwd")),
+        git_branch=F.when(meta, _string("__p.git.branch")),
+        repository_url=F.when(meta, _string("__p.git.repository_url")),
+        originator=F.when(meta, _string("__p.originator")),
+        model=F.when(context, _string("__p.model")),
+        approval_policy=F.when(context, _string("__p.approval_policy")),
         total=F.when(counted & V.present(v, total), F.struct(
             V.unsigned_or_zero(v, f"{total}.input_tokens").alias("input_tokens"),
             V.unsigned_or_zero(v, f"{total}.cached_input_tokens").alias("cached_input_tokens"),
             V.unsigned_or_zero(v, f"{total}.output_tokens").alias("output_tokens"),
         )),
         last_total_tokens=F.when(
-            counted & V.present(v, "$.payload.info.last_token_usage"),
-            V.unsigned_or_zero(v, "$.payload.info.last_token_usage.total_tokens")),
-        context_window=F.when(started, V.unsigned(v, "$.payload.model_context_window"))
-        .when(counted, V.unsigned(v, "$.payload.info.model_context_window")),
+            counted & V.present(v, "$.info.last_token_usage"),
+            V.unsigned_or_zero(v, "$.info.last_token_usage.total_tokens")),
+        context_window=F.when(started, V.unsigned(v, "$.model_context_window"))
+        .when(counted, V.unsigned(v, "$.info.model_context_window")),
         rate_limits=F.when(limited, F.struct(
-            _limit_window(v, "$.payload.rate_limits.primary").alias("primary"),
-            _limit_window(v, "$.payload.rate_limits.secondary").alias("secondary"),
-            V.text(v, "$.payload.rate_limits.plan_type").alias("plan_type"),
+            _limit_window(v, "$.rate_limits.primary").alias("primary"),
+            _limit_window(v, "$.rate_limits.secondary").alias("secondary"),
+            V.text(v, "$.rate_limits.plan_type").alias("plan_type"),
             ts.alias("observed_at"),
         )),
         interrupted=F.when(aborted, F.lit(True)).when(started | prompted, F.lit(False)),
@@ -160,50 +181,50 @@ def _record_b(v: Column) -> dict[str, Column]:
         clears=F.when(started | completed | aborted, F.lit(True)),
         call_id=call_id,
         opens=F.when(call_id.isNotNull(), calls),
-        call_name=F.when(calls, F.coalesce(V.text(v, "$.payload.name"), F.lit(C.DEFAULT_TOOL))),
+        call_name=F.when(calls, F.coalesce(_string("__p.name"), F.lit(C.DEFAULT_TOOL))),
     )
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """(file, source, seq, line, value) to the record table. Works on streams too."""
-    v = F.col("v")
-    stages = lines.select("file", "source", "seq", "line", F.try_parse_json("value").alias("v"))
-    in_b = F.col("source") == C.SOURCE_B
-    stages = stages.withColumn("__stamp", V.text(v, "$.timestamp")).withColumns({
-        "__ts": parse_rfc3339(F.col("__stamp")),
-        "__type": V.text(v, "$.type"),
-        "__inner": F.when(in_b, V.text(v, "$.payload.type")),
-        "__enveloped": F.coalesce(in_b & V.present(v, "$.payload"), F.lit(False)),
-    })
-    for columns in _stage_a(v):
+    stages = lines.select("file", "source", "seq", "line", (F.col("source") == C.SOURCE_B).alias("__in_b"), F.try_parse_json("value").alias("v"))
+    in_b, payload = F.col("__in_b"), F.col("__payload")
+    stages = stages.withColumns({"__broken": F.col("v").isNull(), "__m": V.members(F.col("v"), LINE)}).drop("v")
+    stages = stages.withColumns({
+        "__stamp": _string("__m.timestamp"), "__type": _string("__m.type"), "__payload": F.when(in_b, F.col("__m.payload"))})
+    stages = stages.withColumns({
+        "__ts": parse_rfc3339(F.col("__stamp")), "__p": V.members(payload, PAYLOAD), "__enveloped": payload.isNotNull()})
+    for columns in _stage_a():
+        stages = stages.withColumns(columns)
+    stages = stages.drop("__m", "__stamp")
+    for columns in _stage_b(payload):
         stages = stages.withColumns(columns)
     # the record itself comes first, then its content blocks; plain text counts as one block
-    nothing = F.array(F.lit(None).cast("variant"))
+    nothing = F.array(F.lit(None).cast(f"struct<{BLOCK}>"))
     parts = F.when(F.col("__blocks").isNotNull(), F.concat(nothing, F.col("__blocks"))).when(
         F.col("__whole").isNotNull(), F.concat(nothing, nothing)).otherwise(nothing)
     rows = stages.select("*", F.posexplode(parts).alias("__at", "__block")).drop("__blocks")
-    block, head = F.col("__block"), F.col("__at") == 0
     rows = rows.withColumn("__kind", F.when(
-        F.col("__at") > 0, F.coalesce(V.text(block, "$.type"), F.when(F.col("__whole").isNotNull(), "text"))))
-    call = F.coalesce(F.col("__says") & (F.col("__kind") == "tool_use"), F.lit(False))
-    result = F.coalesce(F.col("__asks") & (F.col("__kind") == "tool_result"), F.lit(False))
-    said = F.coalesce(F.col("__asks") & (F.col("__kind") == "text"), F.lit(False))
+        F.col("__at") > 0, F.coalesce(_string("__block.type"), F.when(F.col("__whole").isNotNull(), "text"))))
+    rows = rows.withColumns({
+        "__head": F.col("__at") == 0,
+        "__call": F.coalesce(F.col("__says") & (F.col("__kind") == "tool_use"), F.lit(False)),
+        "__result": F.coalesce(F.col("__asks") & (F.col("__kind") == "tool_result"), F.lit(False)),
+        "__said": F.coalesce(F.col("__asks") & (F.col("__kind") == "text"), F.lit(False)),
+    })
+    head, call, result, said = (F.col(f"__{c}") for c in ("head", "call", "result", "said"))
     staged = rows.where(head | call | result | said).withColumns({
-        "__id": F.when(call, V.text(block, "$.id")).when(result, V.text(block, "$.tool_use_id"))
-        .when(F.col("__enveloped"), V.text(v, "$.payload.call_id")),
-        "__text": F.when(result, V.flat_text(block, "$.content")).when(said, F.coalesce("__whole", V.text(block, "$.text"), F.lit(""))),
-        "__marked": F.when(
-            F.col("__enveloped") & (F.col("__type") == "response_item") & (F.col("__inner") == "message"),
-            (V.text(v, "$.payload.role") == "user") & V.flat_text(v, "$.payload.content").contains(C.ABORT_MARKER)),
+        "__id": F.when(call, _string("__block.id")).when(result, _string("__block.tool_use_id")),
+        "__text": F.when(result, V.flat_text(F.col("__block.content"), "$")).when(said, F.coalesce("__whole", _string("__block.text"), F.lit(""))),
     })
     variants = [
-        (in_b, _record_b(v)), (head, _record_a(v)), (call, _call_a(block)), (result, _result_a()), (said, _text_a()),
+        (in_b, _record_b(payload)), (head, _record_a()), (call, _call_a()), (result, _result_a()), (said, _text_a()),
     ]
-    fixed = {"pos": F.col("__at") - 1, "ts": F.col("__ts"), "parse_error": v.isNull()}
+    fixed = {"pos": F.col("__at") - 1, "ts": F.col("__ts"), "parse_error": F.col("__broken")}
     broken = {"kind": F.lit("record"), "sidechain": F.lit(False)}
 
     def column(name: str) -> Column:
-        out = F.when(v.isNull(), broken.get(name, F.lit(None)))
+        out = F.when(F.col("__broken"), broken.get(name, F.lit(None)))
         for test, effects in variants:
             if name in effects:
                 out = out.when(test, effects[name])

@@ -128,3 +128,33 @@ def test_shuffled_rows_give_the_same_facts(lines):
     two = one.repartition(7, F.rand(3))
     a, b = (FA.with_pending(FA.session_facts(r), FA.call_states(FA.with_call_starts(r))).collect() for r in (one, two))
     assert a == b
+
+
+def test_a_line_is_walked_once(spark, lines):
+    """Every member was looked up on its own, strings twice: over a hundred walks in the plan of the parser."""
+    plan = parse_records(lines({"f": ["{}"]}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(v#") == 1
+
+
+def test_odd_types_of_every_member(lines):
+    """Members of other types than a record may have count as missing, each on its own."""
+    odd = [5, 5.5, True, None, "", "x", [], ["x", {"type": 5}], {}, {"content": 5, "usage": 5, "type": [], "info": 1, "git": "b"}]
+    a = [{"type": kind, "timestamp": T0 % 1, "sessionId": v, "cwd": v, "gitBranch": v, "isSidechain": "true", "isMeta": v,
+          "message": {"content": w, "stop_reason": v, "model": v, "id": v, "usage": w}} for kind in ("user", "assistant") for v in odd for w in odd]
+    a += [{"type": "assistant", "message": {"content": [None, 1, use(v), {**use("c"), "name": v, "input": v}], "usage": {"input_tokens": v}}} for v in odd]
+    a += [{"type": v, "message": v, "payload": v} for v in odd]
+    b = [{"type": kind, "payload": v} for kind in ("event_msg", "session_meta") for v in odd]
+    b += [{"type": "event_msg", "payload": {"type": "token_count", "info": v, "rate_limits": v}} for v in odd]
+    rows = parse_records(lines({"a": a}).unionByName(lines({"b": b}, source="codex"))).where("pos < 0").collect()
+    assert len(rows) == len(a) + len(b)
+    assert {r.session_id for r in rows} == {None, "x"} == {r.cwd for r in rows} == {r.git_branch for r in rows}
+    assert {r.model for r in rows} == {None, "", "x"} and not any(r.sidechain or r.parse_error for r in rows)
+    # a usage of any type counts, what is no whole number in it is zero
+    assert {r.tokens and r.tokens.input_tokens for r in rows} == {None, 0, 5}
+    assert {r.stop.reason for r in rows if r.stop} == {None, "", "x"}
+
+
+def test_scalars_are_no_sessions(lines):
+    rows = parse_records(lines({"f": ["5", "null", '"x"', "[]", "{}", "{oops"]})).collect()
+    assert [r.parse_error for r in sorted(rows, key=lambda r: r.line)] == [False] * 5 + [True]
+    assert {(r.kind, r.sidechain, r.session_id, r.active_ts) for r in rows} == {("record", False, None, None)}
