@@ -148,7 +148,7 @@ def hook_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 'view' THEN concat('{"session_id":"s', user_id, '","message":"waiting for input","hook_event_name":"Notification"}')
         WHEN 'signup' THEN concat('{"message":"permission", "n":', event_id, '}')
         ELSE 'not json' END""")
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         value.alias("value"), F.expr("ts + INTERVAL 1 MINUTE").alias("received_at"), F.col("event_id").alias("ord"))
 
 

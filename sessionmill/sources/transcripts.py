@@ -278,14 +278,15 @@ def hook_events(hooks: DataFrame, since: Column | None = None) -> DataFrame:
     """
     from sessionmill.contracts import PERMISSION_WORD, RESOLVING_HOOK
 
-    v = F.try_parse_json(F.col("value"))
-    message = F.coalesce(V.text(v, "$.message"), F.lit(""))
+    members = V.members(F.try_parse_json(F.col("value")), "session_id: binary, message: binary, hook_event_name: binary")
+    message = F.coalesce(F.col("m.message").cast("string"), F.lit(""))
     events = hooks if since is None else hooks.where(F.col("received_at") >= since)
     return (
-        events.select(
-            V.text(v, "$.session_id").alias("session_id"),
+        # the row below comes out of a generator, so the filter on it does not parse the line again
+        events.select("received_at", "ord", F.explode(F.array(members)).alias("m")).select(
+            F.col("m.session_id").cast("string").alias("session_id"),
             F.when(F.lower(message).contains(PERMISSION_WORD), F.lit("prompt"))
-            .when(V.text(v, "$.hook_event_name") == RESOLVING_HOOK, F.lit("resolution")).alias("kind"),
+            .when(F.col("m.hook_event_name").cast("string") == RESOLVING_HOOK, F.lit("resolution")).alias("kind"),
             message.alias("message"), "received_at", "ord",
         )
         .where(F.col("session_id").isNotNull() & F.col("kind").isNotNull())

@@ -46,6 +46,17 @@ def test_more_rows_are_more_tasks(spark, monkeypatch):
     assert standin.spread(spark.range(0, 50, 1, 2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_hook_lines_over_all_tasks(spark, tmp_path, monkeypatch):
+    """They were parsed in the few splits of the events file, one here."""
+    sf = events(spark, tmp_path, [(i + 1, i % 4, KINDS[i % 5]) for i in range(800)])
+    monkeypatch.setattr(standin, "TASK_ROWS", 100)
+    hooks = standin.hook_lines(spark, sf)
+    assert hooks.rdd.getNumPartitions() == 8
+    plan = TR.hook_events(hooks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1  # the filter parsed each line again
+    assert TR.hook_events(hooks).groupBy("kind").count().orderBy("kind").collect() == [("prompt", 160), ("resolution", 160)]
+
+
 @pytest.mark.parametrize("files,triggers", [(8, 2), (80, 8)])
 def test_triggers_of_the_landed_lines(spark, tmp_path, files, triggers):
     """A trigger took four files however many there were: 20 triggers of 80 files."""
